@@ -27,19 +27,39 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import token_output
+
+    return token_output(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored
+
+    return scored(_documents(spark, sf_dir).select("doc_id", "text")).selectExpr("doc_id", "_junk AS junk_score", "_weak AS weak_posterior", "_kept AS kept")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
     return near_groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op4_source_mixing, op8_simhash_near_dedup)}
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import compared
+
+    return compared(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op6_quality_classifier, op8_simhash_near_dedup, op10_merkle_fingerprints)}
 
 SQL = {
     "op1_exact_dedup": """
