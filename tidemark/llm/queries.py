@@ -41,6 +41,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import lm_scores
+
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import scored
 
@@ -59,7 +65,7 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op6_quality_classifier, op8_simhash_near_dedup, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op8_simhash_near_dedup, op10_merkle_fingerprints)}
 
 SQL = {
     "op1_exact_dedup": """
