@@ -53,6 +53,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_documents(spark, sf_dir).select("doc_id", "text")).selectExpr("doc_id", "_junk AS junk_score", "_weak AS weak_posterior", "_kept AS kept")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
@@ -71,7 +77,7 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op8_simhash_near_dedup, op9_toxicity, op10_merkle_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op7_html_extraction, op8_simhash_near_dedup, op9_toxicity, op10_merkle_fingerprints)}
 
 SQL = {
     "op1_exact_dedup": """
