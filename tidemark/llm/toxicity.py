@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import byte_words
 
 WINDOW, STRIDE, SIZE, HIDDEN = 32, 24, 12, 8
-WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 12
-SAMPLE, EPOCHS, PER_TEXT, CUT, SEED, KNOWN = 2400, 6, 12, 0.3, 23, 200_000
+WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 12
+RARE, DROPPED, DECAY, PRIOR = 3, 0.1, 1e-4, 0.3
+SAMPLE, PER_TEXT, CUT, SEED, KNOWN = 2400, 12, 0.3, 23, 200_000
 
 
 def held_out() -> Column:
@@ -57,7 +58,7 @@ class Network:
     def __init__(self, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         near = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        self.p = {"word": near(WORD_ROWS, SIZE) * 0.3, "char": near(CHAR_ROWS, SIZE), "v": near(2 * HIDDEN), "o": near(2 * HIDDEN), "b": np.full(1, -1, np.float32)}
+        self.p = {"word": np.zeros((WORD_ROWS, SIZE), np.float32), "char": near(CHAR_ROWS, SIZE) * 0.3, "v": near(2 * HIDDEN), "o": near(2 * HIDDEN), "b": np.full(1, -1, np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": near(SIZE, 3 * HIDDEN), f"U{d}": near(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
@@ -128,14 +129,20 @@ class Network:
         return grads, d_x
 
 
-def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """AdaGrad over windows; toxic and other texts weigh the same in all."""
+def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None, seed: int = SEED) -> Network:
+    """AdaGrad over windows; toxic texts weigh PRIOR in all. Few texts are gone over more often: 24 times, many 10 times.
+
+    A word's own embedding is learnt if RARE texts or more hold it, else it stays zero and its
+    trigrams speak for it. Words are dropped from a window by chance, so that no single one explains it.
+    """
     net, rng, sums = Network(seed), np.random.default_rng(seed), {}
     vocabulary: dict[bytes, int] = {}
+    epochs = epochs or min(24, max(10, 24_000 // max(1, len(texts))))
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
     words = [hashed(w) for w in vocabulary]
+    common = np.bincount(np.concatenate([np.unique(c) for c in coded] or [[]]).astype(np.int64), minlength=len(words)) >= RARE
     y = np.array(labels, np.float32)
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 0.02), 0.5 / max(1 - y.mean(), 0.02)) if len(y) else y
+    balance = np.where(y == 1, PRIOR / max(y.mean(), 0.02), (1 - PRIOR) / max(1 - y.mean(), 0.02)) if len(y) else y
 
     def apply(name: str, grad: np.ndarray, rows: np.ndarray | None = None, rate: float = 0.1) -> None:
         total = sums.setdefault(name, np.full_like(net.p[name], 1e-4))
@@ -175,20 +182,22 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, see
             ids, mask = laid(flat[k : k + 128])
             mine = np.array([i for i, _ in flat[k : k + 128]])
             used, place = np.unique(ids, return_inverse=True)
-            x = net.inputs([words[i] for i in used])[place.reshape(ids.shape)]
+            seen = (mask & (rng.random(ids.shape) >= DROPPED))[:, :, None]
+            x = net.inputs([words[i] for i in used])[place.reshape(ids.shape)] * seen
             weights = balance[mine] * (share[k : k + 128] if epoch >= 2 else 0.2)
             grads, d_x = net.step(x, mask, y[mine], weights)
             for name, grad in grads.items():
                 apply(name, grad)
             d_word = np.zeros((len(used), SIZE), np.float32)
-            np.add.at(d_word, place.ravel(), (d_x * mask[:, :, None]).reshape(-1, SIZE))
-            rows, at = np.unique([words[i][0] for i in used], return_inverse=True)
-            total = np.zeros((len(rows), SIZE), np.float32)
-            np.add.at(total, at, d_word)
-            apply("word", total, rows)
+            np.add.at(d_word, place.ravel(), (d_x * seen).reshape(-1, SIZE))
+            rows, at = np.unique([words[i][0] for i in used[common[used]]], return_inverse=True)
+            if len(rows):
+                total = DECAY * net.p["word"][rows]
+                np.add.at(total, at, d_word[common[used]])
+                apply("word", total, rows)
             sizes = [len(words[i][1]) for i in used]
             rows, at = np.unique(np.concatenate([words[i][1] for i in used]), return_inverse=True)
-            total = np.zeros((len(rows), SIZE), np.float32)
+            total = DECAY * net.p["char"][rows]
             np.add.at(total, at, np.repeat(d_word / np.array(sizes)[:, None], sizes, axis=0))
             apply("char", total, rows)
     return net
