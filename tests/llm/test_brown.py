@@ -45,6 +45,26 @@ def test_gains_are_differences_of_likelihood():
         assert np.allclose(got - got[0], np.array(want) - want[0])
 
 
+def test_class_counts(spark):
+    rng = np.random.default_rng(5)
+    k, size = 4, 15
+    pairs = Counter(map(tuple, rng.integers(0, size, (400, 2)).tolist()))
+    classes, movers = rng.integers(0, k, size), rng.random(size) < 0.5
+    table = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a long, b long, n long")
+    got, want = Counter(), Counter()
+    for r in brown.class_counts(brown.neighbours(table).repartition(3), classes, k, movers).collect():
+        got[r.u, r.side, r.c] += r.n
+    for (a, b), n in pairs.items():
+        want[classes[a], 3, classes[b]] += n
+        if movers[b]:
+            want[b, 0, classes[a]] += n
+        if movers[a]:
+            want[a, 1, classes[b]] += n
+        if movers[a] and a == b:
+            want[a, 2, 0] += n
+    assert got == want
+
+
 def test_scores(spark, small, odd, empty):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for table, head in ((docs, 20_000), (docs, 300), (odd, 3)):

@@ -5,7 +5,8 @@ also what its first word follows. The vocabulary and its counts cover all traini
 a table. The units that get classes are the HEAD commonest words (all words of a count stay together)
 and, for the others, FORMS groups of words alike in first and last letters. Exchange rounds move
 units to the class that raises the class bigrams' likelihood most; unit pair counts over all
-training documents are a table, and a round hands each unit its counts by neighbouring class.
+training documents are a table dealt by unit, from which a round takes each unit's counts by
+neighbouring class, so that no round shuffles the pairs again.
 
 P(word | before) = (1 - u) (1 - MIX) P(class | class before) count / class count + MIX (count + 1) / (N + V + 1)
 for a word with a count, and u = 1 / (N + V + 1) for any other: together they make 1. Units, classes
@@ -79,8 +80,8 @@ def unit_pairs(training: DataFrame, units: Units) -> DataFrame:
         keys, held = [], 0
 
         def out() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key // units.size), pa.array(key % units.size), pa.array(n)], ["a", "b", "n"])
+            pair, n = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -92,7 +93,15 @@ def unit_pairs(training: DataFrame, units: Units) -> DataFrame:
                     keys, held = [], 0
         yield out()
 
-    return training.select("text").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return pairs.selectExpr(f"pair div {units.size} AS a", f"pair % {units.size} AS b", "n")
+
+
+def neighbours(pairs: DataFrame) -> DataFrame:
+    """(u, v, side, n): side 0, unit v before unit u n times; 1, v after u. Dealt by u, which has at most two rows for each unit."""
+    both = pairs.select("a", "b", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    before = F.col("side") == 0
+    return both.select(F.when(before, F.col("b")).otherwise(F.col("a")).cast("int").alias("u"), F.when(before, F.col("a")).otherwise(F.col("b")).cast("int").alias("v"), "side", "n").repartition("u")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -125,51 +134,67 @@ def gains(matrix: np.ndarray, own: int, before: np.ndarray, after: np.ndarray, t
     return put + corner - _xlogx(to + x.sum() + twice) + _xlogx(to) - _xlogx(from_ + y.sum() + twice) + _xlogx(from_)
 
 
-def class_counts(pairs: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
-    """(u, side, c, n): side 0, class c before unit u; 1, class c after it; 2, unit u after itself."""
+def class_counts(links: DataFrame, classes: np.ndarray, k: int, movers: np.ndarray) -> DataFrame:
+    """(u, side, c, n), each task's sums. For units u that may move: side 0, class c before u; 1, class c after u; 2, u after itself.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+    Side 3 is for all units: class c after class u. As links are dealt by u, a unit's sums lie in one task, or
+    a few where a file is split, and the rows don't grow with the text.
+    """
+    size = len(classes)
 
-        def out() -> pa.RecordBatch:
-            key = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)])
-            n = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-            key, place = np.unique(key, return_inverse=True)
-            sums = np.bincount(place, n, len(key)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(key // (3 * k)), pa.array(key // k % 3), pa.array(key % k), pa.array(sums)], ["u", "side", "c", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_class, twice, matrix = np.zeros(size * 2 * k), np.zeros(size), np.zeros(k * k)
+        parts: list[list[np.ndarray]] = []
+        held = 0
+
+        def add() -> None:
+            u, v, side, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            into = side == 0
+            np.add(matrix, np.bincount(classes[v[into]] * k + classes[u[into]], n[into], k * k), out=matrix)
+            may = movers[u]
+            u, v, side, n = u[may].astype(np.int64), v[may], side[may], n[may]
+            np.add(by_class, np.bincount((u * 2 + side) * k + classes[v], n, size * 2 * k), out=by_class)
+            same = (u == v) & (side == 1)
+            np.add(twice, np.bincount(u[same], n[same], size), out=twice)
 
         for batch in batches:
-            a, b, n = (batch.column(i).to_numpy() for i in range(3))
-            same = a == b
-            parts += [((b * 3) * k + classes[a], n), ((a * 3 + 1) * k + classes[b], n), ((a[same] * 3 + 2) * k, n[same])]
-            held += 2 * len(a)
-            if held > 2_000_000:
-                yield out()
+            parts.append([batch.column(i).to_numpy() for i in range(4)])
+            held += batch.num_rows
+            if held > 1_000_000:
+                add()
                 parts, held = [], 0
-        yield out()
+        if parts:
+            add()
+        at, own, cells = np.flatnonzero(by_class), np.flatnonzero(twice), np.flatnonzero(matrix)
+        u = np.concatenate([at // (2 * k), own, cells // k])
+        side = np.concatenate([at // k % 2, np.full(len(own), 2), np.full(len(cells), 3)])
+        c = np.concatenate([at % k, np.zeros(len(own), np.int64), cells % k])
+        n = np.concatenate([by_class[at], twice[own], matrix[cells]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (u, side, c)] + [pa.array(n)], ["u", "side", "c", "n"])
 
-    return pairs.mapInArrow(run, "u long, side long, c long, n long").groupBy("u", "side", "c").agg(F.sum("n").alias("n"))
+    return links.mapInArrow(run, "u int, side int, c int, n long")
 
 
 def cluster(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Each unit's class, and how often each class follows each. Half the units may move in a round."""
     spark, classes = pairs.sparkSession, np.arange(size) % k
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows, but much to compute
+    links = written(neighbours(pairs), "neighbours")
+    half = np.random.default_rng(size).random(size) < 0.5
     for turn in range(rounds + 1):
-        sides = written(class_counts(pairs, classes, k), "sides")
-        named = spark.createDataFrame([(i, int(c)) for i, c in enumerate(classes)], "u long, d long")
+        movers = np.zeros(size, bool) if turn == rounds else half ^ bool(turn % 2)
+        sides = written(class_counts(links, classes, k, movers), "sides")
         matrix = np.zeros((k, k))
-        for r in sides.where("side = 0").join(F.broadcast(named), "u").groupBy("c", "d").agg(F.sum("n").alias("n")).collect():
-            matrix[r["c"], r["d"]] = r["n"]
+        for r in sides.where("side = 3").groupBy("u", "c").agg(F.sum("n").alias("n")).collect():  # at most k * k
+            matrix[r["u"], r["c"]] = r["n"]
         if turn == rounds:
             return classes, matrix
 
         def move(batches: Iterator[pa.RecordBatch], classes=classes, matrix=matrix, turn=turn) -> Iterator[pa.RecordBatch]:
-            got = [[batch.column(i).to_numpy() for i in range(4)] for batch in batches]  # at most 2 * k + 1 for each unit
+            got = [[batch.column(i).to_numpy() for i in range(4)] for batch in batches]  # at most 2 * k + 1 for each unit and file split
             u, side, c, n = (np.concatenate([x[i] for x in got] or [np.zeros(0, np.int64)]) for i in range(4))
             mine, at = np.unique(u, return_inverse=True)
-            counts = np.zeros((len(mine), 3, k))
-            counts[at, side, c] = n
+            counts = np.bincount((at * 3 + side) * k + c, n, len(mine) * 3 * k).reshape(-1, 3, k)
             moved = []
             for u, (before, after, twice) in zip(mine.tolist(), counts, strict=True):
                 put = gains(matrix, int(classes[u]), before, after, twice[0])
@@ -178,8 +203,7 @@ def cluster(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS)
             columns = list(zip(*moved, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["u", "c"])
 
-        mine = F.pmod(F.xxhash64("u"), F.lit(2)) == turn % 2
-        moves = sides.where(mine).repartition(tasks, "u").mapInArrow(move, "u long, c long").collect()
+        moves = sides.where("side < 3").repartition(tasks, "u").mapInArrow(move, "u long, c long").collect()
         classes = classes.copy()
         for r in moves:
             classes[r["u"]] = r["c"]
