@@ -118,3 +118,15 @@ def test_mix(spark, small, odd, empty):
     assert mixing.mix(empty).count() == mixing.mixed(empty).count() == 0
     words = sum(len((r.text or "").encode().split()) for r in mixing.mixed(docs).collect())
     assert words == sum(r.taken for r in mixing.mix(docs).collect())
+
+
+def test_takes_of_rows_with_null_or_repeated_ids_are_the_planned_ones(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "word " * 5 + f"w{i}", "abc"[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    planned = mixing.mix(docs, share=0.5).collect()
+    got = mixing.mixed(docs, share=0.5).collect()
+    for source in "ab":
+        words = sum(len(r.text.split()) for r in got if r.source == source)
+        goal = next(r.target for r in planned if r.source == source)
+        assert words == sum(r.taken for r in planned if r.source == source) and abs(words - goal) <= 6
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs.repartition(5), share=0.5).collect()))

@@ -70,15 +70,15 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], n_rows: int, block_rows: int = 20_000) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], n_rows: int, block_rows: int = 20_000, ties: list[Column] | None = None) -> DataFrame:
     """Add rank (from 0, gapless) within equal keys, without bringing a key's rows together.
 
     Rows are dealt to hash blocks of about block_rows over the whole table; a rank is the place in
-    the block plus the prefix sum of the key's earlier blocks. The order is by block, then order.
+    the block plus the prefix sum of the key's earlier blocks. The order is by block, then order, then ties.
     """
     blocks = max(1, math.ceil(n_rows / block_rows))
     dealt = df.withColumn("_block", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(blocks)))
-    by_block = Window.partitionBy(*keys, "_block").orderBy(*order)
+    by_block = Window.partitionBy(*keys, "_block").orderBy(*order, *(ties or []))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         dealt.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))

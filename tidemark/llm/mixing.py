@@ -7,8 +7,7 @@ of the longest; then a bounded knapsack over the documents left, exactly or as n
 comes. The chosen number of each length goes to the documents first in a seeded order.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; null ids
-and repeated rows are documents like others (which of several rows equal in id and size is taken
-does not show); documents of size 0 are never counted on; an empty table gives an empty result.
+and repeated rows are documents like others, each taken by itself; documents of size 0 are never counted on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,13 +94,13 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: its columns but text, and size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, and the columns of carry, which also order ties.
 
     The sources, one row each, come to the driver for their targets; lengths and documents do not.
     """
     sized = docs.withColumn("size", F.regexp_count(text_of(), F.lit(WORD)).cast("long")).withColumn("_row", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    sized = written(sized.select("doc_id", "source", "size", "_row"), "sizes")
+    sized = written(sized.select("doc_id", "source", "size", "_row", *carry), "sizes")
     histogram = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     by_source = {r["source"]: (r["words"], r["docs"]) for r in histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs")).collect()}
     order = sorted(by_source, key=lambda s: (s is None, s or ""))
@@ -118,20 +117,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
     chosen = histogram.groupBy("source").applyInPandas(plan, "source string, size long, passes long, extra long, source_size long, target double")
     chosen = chosen.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "passes", "extra", "source_size", "target")
-    ranked = rank_within(sized, ["source", "size"], [F.col("_row"), F.col("doc_id")], sum(n for _, n in by_source.values()))
+    ranked = rank_within(sized, ["source", "size"], [F.col("_row"), F.col("doc_id")], sum(n for _, n in by_source.values()), ties=[F.col(c) for c in carry])
     joined = ranked.join(chosen, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
     taken = F.col("size") * (F.col("passes") + (F.col("rank") < F.col("extra")).cast("long"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *carry)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs' rows as often as the mix takes them, with docs' own columns.
 
-    Rows equal in id, source and size share one number of takes: the least that any of them has.
+    Every row has a key, written with the table before the plan is made, by which its takes come back:
+    rows equal in id, source and size are taken each by itself. Among such rows a hash of all columns
+    says which come first, so only rows equal in everything change places.
     """
-    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("taken").alias("_taken"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_taken")
-    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    met = docs.withColumn("_size", size).join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    times = F.when(F.col("_taken") > 0, (F.col("_taken") / F.col("_size")).cast("int")).otherwise(0)
-    return met.where("_taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    keyed = written(docs.withColumns({"_content": F.xxhash64(*docs.columns), "_key": F.monotonically_increasing_id()}), "keyed")
+    plan = mix(keyed, **options, carry=("_content", "_key")).where("taken > 0")
+    plan = plan.select("_key", F.expr("taken div size").cast("int").alias("_times"))
+    return keyed.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
