@@ -80,3 +80,23 @@ def test_quality_keeps_clean_documents(spark, odd, empty):
     got = quality.quality_filter(odd)
     assert got.columns == odd.columns and {3, 4, 5} <= {r.doc_id for r in got.select("doc_id").collect()}
     assert quality.quality_filter(empty).count() == 0
+
+
+def test_every_byte_of_a_long_word_is_scored():
+    net = toxicity.Network(5)
+    scorer = toxicity.Scorer(net)
+    clean, other = "中文字".encode() * 200, "坏人坏".encode()
+    for at in (0, 39, 900, 1791):
+        changed = clean[:at] + other + clean[at + 9 :]
+        cut = {t for w in toxicity.pieces([changed]) for t in (w.strip(b"\n")[i : i + 3] for i in range(len(w.strip(b"\n")) - 2))}
+        assert cut == {changed[i : i + 3] for i in range(len(changed) - 2)}
+        x, y = (net.inputs(list(map(toxicity.hashed, toxicity.pieces([w])))) for w in (clean, changed))
+        assert abs(x - y).max() > 1e-3
+    assert max(map(len, toxicity.pieces([clean]))) <= toxicity.PIECE + 2
+    assert toxicity.pieces([b"short", b"a" * 38]) == [b"short", b"a" * 38]
+    assert len(scorer.scores([[clean]])) == 1
+
+
+def test_a_short_last_piece_has_grams():
+    for n in range(36, 130):
+        assert all(grams for _, grams in map(toxicity.hashed, toxicity.pieces([b"x" * n])))

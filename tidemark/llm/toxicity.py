@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as its own hashed embedding plus the mean of its character trigrams' embeddings, so a
-form not met in training still resembles its kin. Texts are scored in windows of WINDOW words, each
+form not met in training still resembles its kin. A word of more than PIECE bytes (unspaced scripts,
+long runs) enters as several words of at most PIECE bytes, neighbours sharing LAP, so that each of
+its trigrams is read. Texts are scored in windows of WINDOW words, each
 begun STRIDE words after the last; a text's score is its highest window's. Training takes at most
 SAMPLE labelled rows (the least seeded hashes, half of them toxic where there are so many), never
 held-out ones: first every window under its text's label, then only each text's highest window.
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import byte_words
 
 WINDOW, STRIDE, SIZE, HIDDEN = 32, 24, 12, 8
+PIECE, LAP = 38, 12
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 12
 RARE, DROPPED, DECAY, PRIOR = 3, 0.1, 1e-4, 0.3
+MARKS = b".,;:!?()\"'"
 SAMPLE, PER_TEXT, CUT, SEED, KNOWN = 2400, 12, 0.3, 23, 200_000
 
 
@@ -36,11 +40,30 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def pieces(words: list[bytes]) -> list[bytes]:
+    """The words, long ones cut into overlapping pieces; a line feed, which no word holds, marks a side where a word goes on."""
+    if not words or max(map(len, words)) <= PIECE:
+        return words
+    out = []
+    for word in words:
+        if len(word) > PIECE:
+            word = word.strip(MARKS) or word
+        at = 0
+        while at + PIECE < len(word):
+            out.append((b"\n" if at else b"") + word[at : at + PIECE] + b"\n")
+            at += PIECE - LAP
+        out.append(b"\n" + word[at:] if at else word)
+    return out
+
+
 def hashed(word: bytes) -> tuple[int, list[int]]:
     """Rows of the word, and of its trigrams and first letters (bytes of UTF-8), ends marked; punctuation around it is left off."""
-    word = word.strip(b".,;:!?()\"'") or word
-    padded = b"^" + word[:38] + b"$"
-    grams = [crc32(padded[i : i + 3]) % CHAR_ROWS for i in range(len(padded) - 2)]
+    if b"\n" in word:  # a piece
+        padded = (word[1:] if word[:1] == b"\n" else b"^" + word).removesuffix(b"\n") + (b"" if word[-1:] == b"\n" else b"$")
+    else:
+        word = word.strip(MARKS) or word
+        padded = b"^" + word + b"$"
+    grams = [crc32(padded[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(padded) - 2))]
     return crc32(word) % WORD_ROWS, [*grams, crc32(padded[:5]) % CHAR_ROWS]
 
 
@@ -136,6 +159,7 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
     trigrams speak for it. Words are dropped from a window by chance, so that no single one explains it.
     """
     net, rng, sums = Network(seed), np.random.default_rng(seed), {}
+    texts = list(map(pieces, texts))
     vocabulary: dict[bytes, int] = {}
     epochs = epochs or min(24, max(10, 24_000 // max(1, len(texts))))
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
@@ -240,7 +264,7 @@ class Scorer:
                 np.maximum.at(best, of, self.net.logits({d: self.gates[d][ids] for d in "fb"}, mask))
             held, of, size = [], [], 0
 
-        for i, words in enumerate(texts):
+        for i, words in enumerate(map(pieces, texts)):
             for a in starts(len(words)) if words else ():
                 held.append(words[a : a + WINDOW])
                 of.append(i)
