@@ -78,3 +78,40 @@ def test_scores(spark, small, odd, empty):
             new = [r for r in got if r.held_out]
             assert sum(r.score for r in new) > sum(r.base_score for r in new) + 0.05 * sum(r.n_tokens for r in new)
     assert brown.lm_scores(empty, classes=4, rounds=1).count() == 0
+
+
+def test_gains_of_many_units_are_those_of_each():
+    rng = np.random.default_rng(6)
+    k, size = 5, 12
+    pairs = Counter(map(tuple, rng.integers(0, size, (300, 2)).tolist()))
+    classes = rng.integers(0, k, size)
+    matrix, _ = likelihood(pairs, classes, k)
+    before, after = np.zeros((size, k)), np.zeros((size, k))
+    for (a, b), n in pairs.items():
+        before[b, classes[a]] += n
+        after[a, classes[b]] += n
+    twice = np.array([float(pairs[u, u]) for u in range(size)])
+    each = [brown.gains(matrix, classes[u], before[u], after[u], twice[u]) for u in range(size)]
+    assert np.allclose(brown.many_gains(matrix, classes, before, after, twice), each)
+
+
+def test_words_outside_the_head_get_classes_by_exchange(spark):
+    """Rare words of two kinds, alike in their letters: only their neighbours tell them apart."""
+    rng, k = np.random.default_rng(7), 7
+    texts = [" ".join(f"the qq{i:03d}zzz runs a qq{i + 200:03d}zzz sleeps" for i in rng.integers(0, 200, 20)) for _ in range(40)]
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    units = brown.Units([b"the", b"runs", b"a", b"sleeps", brown.END], 1)
+    by_class, matrix = np.arange(6), np.zeros((k, k))
+    for r in brown.unit_pairs(training, units).collect():
+        matrix[r.a, r.b] = r.n
+    words = sorted({w for t in texts for w in tokens(t)} - set(units.head))
+    start = spark.createDataFrame([(brown._hash(w), int(by_class[-1])) for w in words], "u long, c long")
+    table, after = brown.cluster_tail(start, brown.tail_links(training, units, by_class, k), matrix)
+    found = dict(map(tuple, table.collect()))
+    want = np.zeros((k, k))
+    of = {w: int(by_class[i]) for w, i in units.head.items()} | {w: found[brown._hash(w)] for w in words}
+    for t in texts:
+        for a, b in zip([b"\n", *tokens(t)], tokens(t), strict=False):
+            want[of[a], of[b]] += 1
+    assert (after == want).all() and brown.likelihood(after) > brown.likelihood(matrix)
+    assert len(found) == len(words) and len(set(found.values())) > 1

@@ -2,16 +2,19 @@
 
 Words are what white space leaves, A-Z lower-cased; every document ends with one end token, which is
 also what its first word follows. The vocabulary and its counts cover all training documents and are
-a table. The units that get classes are the HEAD commonest words (all words of a count stay together)
-and, for the others, FORMS groups of words alike in first and last letters. Exchange rounds move
-units to the class that raises the class bigrams' likelihood most; unit pair counts over all
-training documents are a table dealt by unit, from which a round takes each unit's counts by
-neighbouring class, so that no round shuffles the pairs again.
+a table. Every training word gets a class by exchange. First the HEAD commonest words (all words of a
+count stay together) move, the others taking the class of one of FORMS groups of words alike in first
+and last letters; unit pair counts are a table dealt by unit, from which a round takes each unit's
+counts by neighbouring class, so that no round shuffles the pairs again. Then every other word moves
+by itself from its form's class, with the head's classes as they are; these words' classes are a
+table, joined to their neighbours in each round. Half the units or words may move in a round. Rounds
+end when two together gain less than GAIN of log-likelihood for each training token.
 
 P(word | before) = (1 - u) (1 - MIX) P(class | class before) count / class count + MIX (count + 1) / (N + V + 1)
 for a word with a count, and u = 1 / (N + V + 1) for any other: together they make 1. Units, classes
-and class pairs are bounded by parameters and go to every task; other words meet their counts in a
-join. Defined cases: null text is empty (its end token only); a null id hashes as the empty text;
+and class pairs are bounded by parameters and go to every task; other words meet their counts and
+classes in a join. A word without a class (not in training) is followed by each class as often as the
+whole text holds it. Defined cases: null text is empty (its end token only); a null id hashes as the empty text;
 repeated rows count and score each; extra columns play no part; an empty table gives an empty result.
 """
 
@@ -19,17 +22,20 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_words, written
 
-CLASSES, HEAD, FORMS, ROUNDS, MIX = 64, 30_000, 2_048, 5, 0.05
+CLASSES, HEAD, FORMS, ROUNDS, MIX = 64, 30_000, 2_048, None, 0.05
+GAIN = 1e-3
 END = b"\n"  # no word holds white space
 
 
@@ -108,6 +114,10 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(matrix: np.ndarray) -> float:
+    return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(0)).sum() - _xlogx(matrix.sum(1)).sum())
+
+
 def gains(matrix: np.ndarray, own: int, before: np.ndarray, after: np.ndarray, twice: float) -> np.ndarray:
     """Change of the class bigrams' log-likelihood, for each class that a unit, taken out, could be put in.
 
@@ -175,19 +185,21 @@ def class_counts(links: DataFrame, classes: np.ndarray, k: int, movers: np.ndarr
     return links.mapInArrow(run, "u int, side int, c int, n long")
 
 
-def cluster(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit's class, and how often each class follows each. Half the units may move in a round."""
+def cluster(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int | None = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit's class, and how often each class follows each. Half the units may move in a round; rounds: how many, else until they gain little."""
     spark, classes = pairs.sparkSession, np.arange(size) % k
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows, but much to compute
     links = written(neighbours(pairs), "neighbours")
     half = np.random.default_rng(size).random(size) < 0.5
-    for turn in range(rounds + 1):
+    reached: list[float] = []
+    for turn in count():
         movers = np.zeros(size, bool) if turn == rounds else half ^ bool(turn % 2)
         sides = written(class_counts(links, classes, k, movers), "sides")
         matrix = np.zeros((k, k))
         for r in sides.where("side = 3").groupBy("u", "c").agg(F.sum("n").alias("n")).collect():  # at most k * k
             matrix[r["u"], r["c"]] = r["n"]
-        if turn == rounds:
+        reached.append(likelihood(matrix))
+        if turn == rounds or rounds is None and turn >= 2 and reached[-1] - reached[-3] < GAIN * matrix.sum():
             return classes, matrix
 
         def move(batches: Iterator[pa.RecordBatch], classes=classes, matrix=matrix, turn=turn) -> Iterator[pa.RecordBatch]:
@@ -210,7 +222,120 @@ def cluster(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int = ROUNDS)
     raise AssertionError
 
 
-def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, forms: int = FORMS, rounds: int = ROUNDS, mix: float = MIX) -> DataFrame:
+def many_gains(matrix: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """gains() of many units, a row each; quick where each has few neighbouring classes."""
+    at = np.arange(len(own))
+    x, y, t = before.copy(), after.copy(), twice[:, None]
+    x[at, own] -= twice
+    y[at, own] -= twice
+    diagonal, to, from_ = np.tile(np.diag(matrix), (len(own), 1)), matrix.sum(0) - after, matrix.sum(1) - before
+    diagonal[at, own] += twice - before[at, own] - after[at, own]
+    to[at, own] += twice - before.sum(1)
+    from_[at, own] += twice - after.sum(1)
+    to, from_ = to + y, from_ + x
+    put = np.zeros(before.shape)
+    for mine, other, m, w in ((before, after, matrix, x), (after, before, matrix.T, y)):
+        slots = np.argsort(-w, axis=1, kind="stable")
+        for s in range(int((w > 0).sum(1).max(initial=0))):
+            i = slots[:, s]
+            rows, n = m[i], w[at, i][:, None]
+            rows[at, own] -= mine[at, i]
+            home = i == own
+            rows[home] -= other[home]
+            rows[at[home], own[home]] += twice[home]
+            put += _xlogx(rows + n) - _xlogx(rows)
+    corner = _xlogx(diagonal + x + y + t) + _xlogx(diagonal) - _xlogx(diagonal + x) - _xlogx(diagonal + y)
+    return put + corner - _xlogx(to + x.sum(1, keepdims=True) + t) + _xlogx(to) - _xlogx(from_ + y.sum(1, keepdims=True) + t) + _xlogx(from_)
+
+
+def _hash(word: bytes) -> int:
+    """A word's 64 bits, signed; words that share them (hardly ever) share a class."""
+    h = xxhash.xxh64_intdigest(word, 7)
+    return h - (h >> 63 << 64)
+
+
+def tail_links(training: DataFrame, units: Units, by_class: np.ndarray, k: int) -> DataFrame:
+    """(u, cell, v): each neighbour of each word u outside the head: side * k + class of a head word, v null; or -1 - side and v, a word outside too."""
+    first = len(units.head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                columns: list[list] = [[], [], []]
+                for text in batch.column(0).slice(start, 500):
+                    words = [END, *byte_words(text.as_py()), END]
+                    at = units.of(words)
+                    tail = np.flatnonzero(at >= first).tolist()
+                    keys = {i: _hash(words[i]) for i in tail}
+                    for i in tail:
+                        for side, j in ((0, i - 1), (1, i + 1)):
+                            if 0 <= j < len(words):
+                                other = keys.get(j)
+                                for column, value in zip(columns, (keys[i], side * k + int(by_class[at[j]]) if other is None else -1 - side, other), strict=True):
+                                    column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["u", "cell", "v"])
+
+    return training.select("text").mapInArrow(run, "u long, cell int, v long")
+
+
+def _counts(lists: pa.Array, k: int) -> np.ndarray:
+    """How often each list holds each of 2 * k cells."""
+    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return np.bincount(of * 2 * k + lists.flatten().to_numpy(), minlength=len(lists) * 2 * k).reshape(-1, 2, k).astype(float)
+
+
+def cluster_tail(words: DataFrame, links: DataFrame, matrix: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(u, c) of words (u, c at the start) after exchange, and how often each class follows each."""
+    k, links = len(matrix), written(links, "tail-links")
+    none = F.array().cast("array<int>")
+    heads = links.where("v is null").groupBy("u").agg(F.collect_list("cell").alias("cells"))  # at most two for each time the word occurs
+    classes = written(words.groupBy("u").agg(F.min("c").alias("c")), "tail-classes")
+    base = written(classes.select("u").join(heads, "u", "left").select("u", F.coalesce("cells", none).alias("cells")), "tail-heads")
+    tails = written(links.where("v is not null").select("u", "v", (-1 - F.col("cell")).alias("side")), "tail-tails")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            c = batch.column(1).to_numpy()
+            near, far = _counts(batch.column(2), k), _counts(batch.column(3), k)
+            np.add.at(total.T, c, near[:, 0])
+            np.add.at(total, c, near[:, 1] + far[:, 1])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["cell", "n"])
+
+    fixed, kept, reached = None, [], []
+    for turn in count():
+        met = tails.join(classes.withColumnsRenamed({"u": "v", "c": "cv"}), "v")
+        far = met.groupBy("u").agg(F.collect_list(F.col("side") * k + F.col("cv")).cast("array<int>").alias("far"), F.sum(((F.col("u") == F.col("v")) & (F.col("side") == 1)).cast("long")).alias("twice"))
+        state = written(base.join(classes, "u").join(far, "u", "left").select("u", F.col("c").cast("int").alias("c"), "cells", F.coalesce("far", none).alias("far"), F.coalesce("twice", F.lit(0).cast("long")).alias("twice")), "tail-state")
+        own = np.zeros(k * k)
+        for r in state.mapInArrow(sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
+            own[r["cell"]] = r["n"]
+        fixed = matrix - own.reshape(k, k) if fixed is None else fixed
+        now = fixed + own.reshape(k, k)
+        kept.append((classes, now))
+        reached.append(likelihood(now))
+        if turn >= 2 and reached[-1] - reached[-3] < GAIN * now.sum():
+            return kept[int(np.argmax(reached))]
+
+        def move(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                u, c, twice = (batch.column(i).to_numpy() for i in (0, 1, 4))
+                counts, c = _counts(batch.column(2), k) + _counts(batch.column(3), k), c.copy()
+                may = np.flatnonzero((u >> 1 & 1) == turn % 2)
+                may = may[np.argsort((counts[may] > 0).sum((1, 2)), kind="stable")]
+                for at in (may[i : i + 256] for i in range(0, len(may), 256)):
+                    put = many_gains(now, c[at], counts[at, 0], counts[at, 1], twice[at].astype(float))
+                    best = put.argmax(1)
+                    better = put[np.arange(len(at)), best] > put[np.arange(len(at)), c[at]] + 1e-6
+                    c[at[better]] = best[better]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64())], ["u", "c"])
+
+        classes = written(state.mapInArrow(move, "u long, c long"), "tail-classes")
+    raise AssertionError
+
+
+def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, forms: int = FORMS, rounds: int | None = ROUNDS, mix: float = MIX) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     training = rows.where("not held_out")
@@ -225,41 +350,67 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, forms:
     common = sorted(((r["n"], bytes(r["word"])) for r in words.where(F.col("n") >= least).collect()), reverse=True)
     counts, units = np.array([n for n, _ in common], np.int64), Units([w for _, w in common], forms)
     by_class, matrix = cluster(written(unit_pairs(training, units), "pairs"), units.size, classes, rounds)
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_hash, mine), pa.int64()), pa.array(by_class[units.of(mine)], pa.int64())], ["word", "n", "u", "c"])
+
+    tail = written(words.where(F.col("n") < least).select("word", "n").mapInArrow(started, "word binary, n long, u long, c long"), "tail")
+    if kinds > len(common):
+        by_word, matrix = cluster_tail(tail, tail_links(training, units, by_class, classes), matrix)
+        tail = tail.drop("c").join(by_word, "u")
     rare = 1 / (total + kinds + 1)
     share = (matrix.sum(0) + 1) / (matrix.sum() + classes)
-    follow = (matrix + 2 * share) / (matrix.sum(1, keepdims=True) + 2)
-    #: By class before and class: what a word's count is to be multiplied by.
+    follow = np.vstack([(matrix + 2 * share) / (matrix.sum(1, keepdims=True) + 2), share])
+    #: By class before (the last for none) and class: what a word's count is to be multiplied by.
     factor = (1 - rare) * (1 - mix) * follow / np.maximum(matrix.sum(0), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             for doc_id, text, out_of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                tokens = [*byte_words(text.as_py()), END]
-                at = units.of([END, *tokens])
-                c = by_class[at]
-                f, at = factor[c[:-1], c[1:]], at[1:]
-                known = at < len(counts)
-                n = counts[at[known]]
+                words_ = [END, *byte_words(text.as_py()), END]
+                at = units.of(words_)
+                head = at < len(counts)
+                n = counts[at[1:][head[1:]]]
                 base = np.log10((n + 1) * rare).sum()
-                score = np.log10(f[known] * n + mix * (n + 1) * rare).sum()
-                rest = np.flatnonzero(~known)
-                for column, x in zip(out, (first, doc_id, out_of, len(tokens), int(known.sum()), base, score, [tokens[i] for i in rest], f[rest]), strict=True):
+                both = np.flatnonzero(head[1:] & head[:-1])
+                n = counts[at[both + 1]]
+                score = np.log10(factor[by_class[at[both]], by_class[at[both + 1]]] * n + mix * (n + 1) * rare).sum()
+                rest = np.flatnonzero(~head)
+                before = np.where(rest == 0, -2, np.where(head[rest - 1], by_class[at[rest - 1]], -1))
+                last = np.append(np.where(head, at, -1), -1)
+                for column, x in zip(out, (first, doc_id, out_of, len(words_) - 1, int(head[1:].sum()), base, score, [words_[i] for i in rest], before, last[rest + 1]), strict=True):
                     column.append(x)
                 first += 1
-            kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "factors"])
-
-    done = written(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<binary>, factors array<double>"), "scores")
-    each = done.select("row", F.explode(F.arrays_zip("words", "factors")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.factors").alias("f"))
-    met = each.join(words.where(F.col("n") < least), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    own = F.when(F.col("n") > 0, F.col("f") * F.col("n") + mix * (F.col("n") + 1) * rare).otherwise(rare)
-    rest = met.groupBy("row").agg(
-        F.sum(F.log10((F.col("n") + 1) * rare)).alias("base_rest"), F.sum(F.log10(own)).alias("own_rest"), F.sum((F.col("n") > 0).cast("long")).alias("known_rest")
-    )
+            kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "before", "next"])
+
+    def rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column(1)
+            of = np.repeat(np.arange(len(items)), np.diff(items.offsets.to_numpy()))
+            pos, before, after, n, c = (x.to_numpy() for x in items.flatten().flatten())
+            order = np.lexsort((pos, of))
+            before, after, n, c = before[order], after[order], n[order], c[order]
+            token, led = before != -2, after >= 0
+            before = np.where(before < 0, np.append(classes, c[:-1]), before)  # -1: the word before is the item before
+            own = np.where(n > 0, factor[before, np.minimum(c, classes - 1)] * n + mix * (n + 1) * rare, rare)
+            m = counts[after[led]]
+            score = np.where(token, np.log10(own), 0)
+            score[led] += np.log10(factor[c[led], by_class[after[led]]] * m + mix * (m + 1) * rare)
+            sums = [np.bincount(of, x, len(items)) for x in (np.where(token, np.log10((n + 1) * rare), 0), score, token & (n > 0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["row", "base_rest", "own_rest", "known_rest"])
+
+    done = written(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<binary>, before array<long>, next array<long>"), "scores")
+    each = done.select("row", F.posexplode(F.arrays_zip("words", "before", "next")).alias("pos", "x")).select("row", "pos", F.col("x.words").alias("word"), F.col("x.before").alias("before"), F.col("x.next").alias("next"))
+    met = each.join(tail.select("word", "n", "c"), "word", "left")
+    item = F.struct(F.col("pos").cast("long").alias("pos"), "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
+    rest = met.groupBy("row").agg(F.collect_list(item).alias("items")).mapInArrow(rest_of, "row long, base_rest double, own_rest double, known_rest long")
     some = lambda name: F.coalesce(name, F.lit(0))
-    return done.drop("words", "factors").join(rest, "row", "left").select(
+    return done.drop("words", "before", "next").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + some("known_rest")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + some("base_rest")).alias("base_score"), (F.col("own") + some("own_rest")).alias("score"),
     )
