@@ -2,40 +2,48 @@
 
 Words are what white space leaves, A-Z lower-cased; every document ends with one end token, which is
 also what its first word follows. The vocabulary and its counts cover all training documents and are
-a table. Every training word gets a class by exchange. First the HEAD commonest words (all words of a
-count stay together) move, the others taking the class of one of FORMS groups of words alike in first
-and last letters; unit pair counts are a table dealt by unit, from which a round takes each unit's
-counts by neighbouring class, so that no round shuffles the pairs again. Then every other word moves
-by itself from its form's class, with the head's classes as they are; these words' classes are a
-table, joined to their neighbours in each round. Half the units or words may move in a round. Rounds
-end when two together gain less than GAIN of log-likelihood for each training token.
+a table. Texts are cut into words twice: for the vocabulary, and for the table of codes that all
+later steps read, in which the HEAD commonest words (and the end) are numbers and others stay words.
+
+Every training word gets its class by exchange, that is, by moving to the class that raises the
+class bigrams' log-likelihood most, until two rounds together gain less than GAIN for each training token:
+
+1. the CORE commonest words, one after another, in one task (at most CORE * CORE pair counts);
+2. the head: each word first joins the class that fits its neighbours in the core; then in each round every
+   word says whether it would move, and those that would do so one after another, in one task. Pair counts are
+   a table dealt by word, which no round shuffles;
+3. every other word by its neighbours' classes, a share of the words in each round, all at once. Words with head neighbours only need no join; for
+   others a round joins the classes of their neighbours. Nothing here is held by word in memory.
+
+A round that lowers the likelihood is taken back, and half as many words move in the next.
 
 P(word | before) = (1 - u) (1 - MIX) P(class | class before) count / class count + MIX (count + 1) / (N + V + 1)
-for a word with a count, and u = 1 / (N + V + 1) for any other: together they make 1. Units, classes
-and class pairs are bounded by parameters and go to every task; other words meet their counts and
-classes in a join. A word without a class (not in training) is followed by each class as often as the
-whole text holds it. Defined cases: null text is empty (its end token only); a null id hashes as the empty text;
-repeated rows count and score each; extra columns play no part; an empty table gives an empty result.
+for a word with a count, and u = 1 / (N + V + 1) for any other: together they make 1. The head's words, their
+classes and class pairs are bounded by parameters and go to every task. A word without a class (not in
+training) is followed by each class as often as the whole text holds it. Defined cases: null text is empty
+(its end token only); a null id hashes as the empty text; repeated rows count and score each; texts of any
+length are read whole; extra columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from itertools import count
-from zlib import crc32
+from collections.abc import Callable, Iterator
+from itertools import count, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, written
+from .common import byte_words, released, written
 
-CLASSES, HEAD, FORMS, ROUNDS, MIX = 64, 30_000, 2_048, None, 0.05
-GAIN = 1e-3
+CLASSES, HEAD, CORE, MIX = 64, 30_000, 2_048, 0.05
+GAIN = 5e-3
+MOST = 8  # changes of a count by up to so many are looked up
 END = b"\n"  # no word holds white space
 
 
@@ -65,22 +73,36 @@ def vocabulary(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Units:
-    """Word to unit: a head word's place, or behind them the group of its form."""
+def coded(rows: DataFrame, head: list[bytes]) -> DataFrame:
+    """row, doc_id, held_out, codes (32-bit numbers: a head word's place, -1 for others; the end last) and others, those words in order."""
 
-    def __init__(self, head: list[bytes], forms: int) -> None:
-        self.head, self.forms = {w: i for i, w in enumerate(head)}, forms
-        self.size = len(head) + forms
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, row = {w: i for i, w in enumerate(head)}.get, TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                codes, others = [], []
+                for text in part.column(1):
+                    words = byte_words(text.as_py())
+                    words.append(END)
+                    code = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
+                    codes.append(code.tobytes())
+                    others.append([words[i] for i in np.flatnonzero(code < 0).tolist()])
+                rows = np.arange(row, row + part.num_rows)
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column(0), part.column(2), pa.array(codes, pa.binary()), pa.array(others, pa.list_(pa.binary()))], ["row", "doc_id", "held_out", "codes", "others"])
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        at, first = list(map(self.head.get, words)), len(self.head)
-        if None in at:
-            at = [first + crc32(w[:2] + b" " + w[-3:]) % self.forms if i is None else i for i, w in zip(at, words, strict=True)]
-        return np.array(at, np.int64)
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, codes binary, others array<binary>")
 
 
-def unit_pairs(training: DataFrame, units: Units) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a, over all training texts."""
+def _joined(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All codes of a batch, after one end (0), and each document's number of codes."""
+    flat = np.frombuffer(b"".join(codes.to_pylist()), "<i4")
+    return np.concatenate((np.zeros(1, np.int32), flat)), pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+
+
+def head_pairs(codes: DataFrame, size: int) -> DataFrame:
+    """(a, b, n): how often head word b follows head word a. Every text ends as the one before it does, so a batch is one chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
@@ -90,17 +112,17 @@ def unit_pairs(training: DataFrame, units: Units) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                at = units.of([END, *byte_words(text.as_py()), END])
-                keys.append(at[:-1] * units.size + at[1:])
-                held += len(at)
-                if held > 3_000_000:
+            for at in range(0, batch.num_rows, 1000):
+                chain = _joined(batch.column(0).slice(at, 1000))[0].astype(np.int64)
+                keys.append((chain[:-1] * size + chain[1:])[(chain[:-1] >= 0) & (chain[1:] >= 0)])
+                held += len(keys[-1])
+                if held > 4_000_000:
                     yield out()
                     keys, held = [], 0
         yield out()
 
-    pairs = training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return pairs.selectExpr(f"pair div {units.size} AS a", f"pair % {units.size} AS b", "n")
+    pairs = codes.select("codes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return pairs.selectExpr(f"pair div {size} AS a", f"pair % {size} AS b", "n")
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
@@ -118,37 +140,158 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(0)).sum() - _xlogx(matrix.sum(1)).sum())
 
 
-def gains(matrix: np.ndarray, own: int, before: np.ndarray, after: np.ndarray, twice: float) -> np.ndarray:
-    """Change of the class bigrams' log-likelihood, for each class that a unit, taken out, could be put in.
+def gains(matrix: np.ndarray, own: np.ndarray, counts: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Change of the class bigrams' log-likelihood for each unit (a row) and class that it, taken out, could be put in.
+
+    counts: by unit, side (0 before, 1 after) and class of its neighbours, pairs with itself (twice) included
+    in its own class. A column's common part is left out.
+    """
+    at, before, after = np.arange(len(own)), counts[:, 0], counts[:, 1]
+    x, y, t = before.copy(), after.copy(), twice[:, None]
+    x[at, own] -= twice
+    y[at, own] -= twice
+    diagonal, to, from_ = np.tile(np.diag(matrix), (len(own), 1)), matrix.sum(0) - after, matrix.sum(1) - before
+    diagonal[at, own] += twice - before[at, own] - after[at, own]
+    to[at, own] += twice - before.sum(1)
+    from_[at, own] += twice - after.sum(1)
+    to, from_ = np.maximum(to + y, 0), np.maximum(from_ + x, 0)  # wherever the unit goes, its neighbours' classes regain its counts
+    diagonal = np.maximum(diagonal, 0)
+    put = np.zeros(before.shape)
+    for mine, other, m, w in ((before, after, matrix, x), (after, before, matrix.T, y)):
+        near = np.argsort(-w, axis=1, kind="stable")[:, : int((w > 0).sum(1).max(initial=0))]  # a rare unit has few neighbouring classes
+        rows, n = m[near], np.take_along_axis(w, near, 1)[:, :, None]
+        rows[at, :, own] -= np.take_along_axis(mine, near, 1)
+        i, j = np.nonzero(near == own[:, None])
+        rows[i, j] -= other[i]
+        rows[i, j, own[i]] += twice[i]
+        rows = np.maximum(rows, 0)  # below only in a sweep, whose counts are as of its start
+        put += (_xlogx(rows + n) - _xlogx(rows)).sum(1)
+    corner = _xlogx(diagonal + x + y + t) + _xlogx(diagonal) - _xlogx(diagonal + x) - _xlogx(diagonal + y)
+    return put + corner - _xlogx(to + x.sum(1, keepdims=True) + t) + _xlogx(to) - _xlogx(from_ + y.sum(1, keepdims=True) + t) + _xlogx(from_)
+
+
+class Moves:
+    """The best class of many units, classes staying as they are in matrix.
 
-    before, after: the unit's counts by class of its neighbours, pairs with itself included in its own class.
+    Where no neighbour is in a unit's own class (or it has none yet: -1), taking it out changes its own
+    class's column only, so the other columns add up changes that are looked up.
     """
-    to, from_, diagonal = matrix.sum(0) - after, matrix.sum(1) - before, np.diag(matrix).copy()
-    to[own] += twice - before.sum()
-    from_[own] += twice - after.sum()
-    diagonal[own] += twice - before[own] - after[own]
-    x, y = before.copy(), after.copy()
+
+    def __init__(self, matrix: np.ndarray) -> None:
+        self.matrix, self.k = matrix, len(matrix)
+        self.sums = (matrix.sum(0), matrix.sum(1))  # to, from
+        self.sides = np.stack([matrix, matrix.T])  # by side, a neighbour's class and the unit's
+        self.f = _xlogx(self.sides)
+        steps = np.arange(MOST + 1)[:, None, None, None]
+        self.table = (_xlogx(self.sides + steps) - self.f).reshape(-1, self.k)
+
+    def _changes(self, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+        few = np.minimum(n, MOST).astype(np.int64)
+        out = self.table[few * 2 * self.k + cell]
+        many = np.flatnonzero(n > MOST)
+        if len(many):
+            rows = self.sides.reshape(-1, self.k)[cell[many]]
+            out[many] = _xlogx(rows + n[many, None]) - self.f.reshape(-1, self.k)[cell[many]]
+        return out
+
+    def _lone(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Best classes of units without neighbours in their own class."""
+        n, k = len(own), self.k
+        unit, cell = np.nonzero(counts.reshape(n, 2 * k))
+        x, put = counts.reshape(n, 2 * k)[unit, cell], np.zeros((n, k))
+        for a in range(0, n, 1024):
+            i, j = np.searchsorted(unit, (a, a + 1024))
+            if i < j:
+                first = np.flatnonzero(np.diff(unit[i:j], prepend=-1))
+                put[unit[i:j][first]] = np.add.reduceat(self._changes(cell[i:j], x[i:j]), first)
+        i, c = np.nonzero(counts.min(1))
+        a, b, d = counts[i, 0, c], counts[i, 1, c], np.diag(self.matrix)[c]
+        put[i, c] += _xlogx(d + a + b) + _xlogx(d) - _xlogx(d + a) - _xlogx(d + b)
+        totals = counts.sum(2)
+        pair, which = np.unique(totals, axis=0, return_inverse=True)
+        cost = sum(_xlogx(s + pair[:, side, None]) - _xlogx(s) for side, s in enumerate(self.sums))
+        put -= cost[which.ravel()]
+        placed = np.flatnonzero(own >= 0)
+        home = own[placed]
+        mine = self.sides.reshape(-1, k)[cell, own[unit]]
+        back = np.bincount(unit, np.where(own[unit] >= 0, _xlogx(mine) - _xlogx(mine - x), 0), n)[placed]
+        put[placed, home] = back - sum(_xlogx(s[home]) - _xlogx(s[home] - totals[placed, side]) for side, s in enumerate(self.sums))
+        best = put.argmax(1)
+        stays = (own >= 0) & (put[np.arange(n), best] <= put[np.arange(n), own] + 1e-6)
+        return np.where(stays, own, best)
+
+    def best(self, own: np.ndarray, counts: np.ndarray, twice: np.ndarray) -> np.ndarray:
+        at, out = np.arange(len(own)), own.copy()
+        beside = (own >= 0) & ((twice > 0) | (counts[at, :, own] > 0).any(1))
+        lone = np.flatnonzero(~beside)
+        if len(lone):
+            out[lone] = self._lone(own[lone], counts[lone])
+        rest = np.flatnonzero(beside)
+        rest = rest[np.argsort((counts[rest] > 0).sum((1, 2)), kind="stable")]
+        for at in (rest[i : i + 256] for i in range(0, len(rest), 256)):
+            put = gains(self.matrix, own[at], counts[at], twice[at])
+            best, here = put.argmax(1), np.arange(len(at))
+            better = put[here, best] > put[here, own[at]] + 1e-6
+            out[at[better]] = best[better]
+        return out
+
+
+def _move(matrix: np.ndarray, own: int, counts: np.ndarray, twice: float) -> int:
+    """A unit's best class; matrix takes its move. counts: by side and class of its neighbours."""
+    put = gains(matrix, np.array([own]), counts[None], np.array([twice]))[0]
+    new = int(put.argmax())
+    if put[new] <= put[own] + 1e-6:
+        return own
+    x, y = counts.copy()
     x[own] -= twice
     y[own] -= twice
-    to, from_ = to + y, from_ + x  # wherever the unit goes, its neighbours' classes regain its counts
-    i, j = np.flatnonzero(x), np.flatnonzero(y)  # a rare unit has few neighbouring classes
-    rows, columns = matrix[i], matrix[:, j]
-    rows[:, own] -= before[i]
-    rows[i == own] -= after
-    rows[i == own, own] += twice
-    columns[own] -= after[j]
-    columns[:, j == own] -= before[:, None]
-    columns[own, j == own] += twice
-    put = (_xlogx(rows + x[i, None]) - _xlogx(rows)).sum(0) + (_xlogx(columns + y[j]) - _xlogx(columns)).sum(1)
-    corner = _xlogx(diagonal + x + y + twice) + _xlogx(diagonal) - _xlogx(diagonal + x) - _xlogx(diagonal + y)
-    return put + corner - _xlogx(to + x.sum() + twice) + _xlogx(to) - _xlogx(from_ + y.sum() + twice) + _xlogx(from_)
+    for c, sign in ((own, -1), (new, 1)):
+        matrix[:, c] += sign * x
+        matrix[c] += sign * y
+        matrix[c, c] += sign * twice
+    return new
+
+
+def exchange(table: np.ndarray, k: int, tokens: float) -> np.ndarray:
+    """Classes of the units of a table of pair counts: each in turn moves to its best class, until a sweep gains little."""
+    size = len(table)
+    classes, reached = np.arange(size) % k, []
+    member = np.eye(k)[classes]
+    sums = np.stack([table.T @ member, table @ member], 1)  # by unit, side and neighbours' class
+    matrix = member.T @ sums[:, 1]
+    while len(reached) < 2 or reached[-1] - reached[-2] >= GAIN * tokens / 2:
+        for u in range(size):
+            own = int(classes[u])
+            new = _move(matrix, own, sums[u], float(table[u, u]))
+            if new != own:
+                for side, w in enumerate((table[u], table[:, u])):
+                    sums[:, side, own] -= w
+                    sums[:, side, new] += w
+                classes[u] = new
+        reached.append(likelihood(matrix))
+    return classes
+
+
+def core_classes(pairs: DataFrame, size: int, k: int) -> np.ndarray:
+    """Classes of the first `size` units by their pairs with each other, found in one task that holds size * size counts."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros((size, size))
+        table[group["a"], group["b"]] = group["n"]
+        return pd.DataFrame({"u": np.arange(size), "c": exchange(table, k, table.sum())})
+
+    classes = np.arange(size) % k
+    inner = pairs.where((F.col("a") < size) & (F.col("b") < size)).select("a", "b", "n")
+    for r in inner.groupBy(F.lit("all")).applyInPandas(run, "u long, c long").collect():
+        classes[r["u"]] = r["c"]
+    return classes
 
 
 def class_counts(links: DataFrame, classes: np.ndarray, k: int, movers: np.ndarray) -> DataFrame:
     """(u, side, c, n), each task's sums. For units u that may move: side 0, class c before u; 1, class c after u; 2, u after itself.
 
-    Side 3 is for all units: class c after class u. As links are dealt by u, a unit's sums lie in one task, or
-    a few where a file is split, and the rows don't grow with the text.
+    Side 3 is for all units: class c after class u. Units of class -1 aren't counted as neighbours. As links are dealt
+    by u, a unit's sums lie in one task, or a few where a file is split, and the rows don't grow with the text.
     """
     size = len(classes)
 
@@ -159,13 +302,14 @@ def class_counts(links: DataFrame, classes: np.ndarray, k: int, movers: np.ndarr
 
         def add() -> None:
             u, v, side, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            into = side == 0
+            known = classes[v] >= 0
+            into = (side == 0) & known & (classes[u] >= 0)
             np.add(matrix, np.bincount(classes[v[into]] * k + classes[u[into]], n[into], k * k), out=matrix)
-            may = movers[u]
+            may = movers[u] & known
             u, v, side, n = u[may].astype(np.int64), v[may], side[may], n[may]
-            np.add(by_class, np.bincount((u * 2 + side) * k + classes[v], n, size * 2 * k), out=by_class)
+            np.add.at(by_class, (u * 2 + side) * k + classes[v], n)
             same = (u == v) & (side == 1)
-            np.add(twice, np.bincount(u[same], n[same], size), out=twice)
+            np.add.at(twice, u[same], n[same])
 
         for batch in batches:
             parts.append([batch.column(i).to_numpy() for i in range(4)])
@@ -185,232 +329,327 @@ def class_counts(links: DataFrame, classes: np.ndarray, k: int, movers: np.ndarr
     return links.mapInArrow(run, "u int, side int, c int, n long")
 
 
-def cluster(pairs: DataFrame, size: int, k: int = CLASSES, rounds: int | None = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit's class, and how often each class follows each. Half the units may move in a round; rounds: how many, else until they gain little."""
-    spark, classes = pairs.sparkSession, np.arange(size) % k
+def _matrix(cells: DataFrame, k: int) -> np.ndarray:
+    """Summed (cell, n) rows, at most k * k of them."""
+    out = np.zeros(k * k)
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out.reshape(k, k)
+
+
+class Rounds:
+    """Whether to go on, and which part of the units moves: one in `parts`, in turn."""
+
+    def __init__(self, parts: int, tokens: float) -> None:
+        self.parts, self.tokens, self.turn, self.reached = parts, tokens, 0, []
+
+    def lower(self, now: float) -> bool:
+        """Takes note of a likelihood; True if it's lower than the last, whose classes are to come back."""
+        if self.reached and now < self.reached[-1]:
+            self.parts *= 2
+            self.turn -= 1
+            return True
+        self.reached.append(now)
+        return False
+
+    def over(self) -> bool:
+        return self.parts > 16 or len(self.reached) > 2 and self.reached[-1] - self.reached[-3] < GAIN * self.tokens
+
+    def movers(self, mixed: np.ndarray) -> np.ndarray:
+        """Of units numbered at random, those of this turn."""
+        return (mixed & (self.parts - 1)) == self.turn % self.parts
+
+
+def _sweep(classes: np.ndarray, matrix: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Over units (u, c to go to, counts) in their order: each moves as the classes by then would have it; one without a class goes to c."""
+    k = len(matrix)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        now, group = matrix.copy(), group.sort_values("u")
+        to = [c if classes[u] < 0 else _move(now, int(classes[u]), x.reshape(3, k)[:2], x[2 * k]) for u, c, x in zip(group["u"], group["c"], group["counts"], strict=True)]
+        return pd.DataFrame({"u": group["u"], "c": to})
+
+    return run
+
+
+def cluster(pairs: DataFrame, size: int, k: int = CLASSES, core: int = CORE, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit's class, and how often each class follows each. rounds: how many at most, else until they gain little."""
+    spark, core = pairs.sparkSession, min(core, size)
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows, but much to compute
     links = written(neighbours(pairs), "neighbours")
-    half = np.random.default_rng(size).random(size) < 0.5
-    reached: list[float] = []
+    classes = np.concatenate([core_classes(pairs, core, k), np.full(size - core, -1, np.int64)])
+    mixed = np.random.default_rng(size).integers(0, 64, size)
+    going, kept = None, None
     for turn in count():
-        movers = np.zeros(size, bool) if turn == rounds else half ^ bool(turn % 2)
+        placing = bool((classes < 0).any())
+        movers = classes < 0 if placing else going.movers(mixed) if going else mixed >= 0
         sides = written(class_counts(links, classes, k, movers), "sides")
-        matrix = np.zeros((k, k))
-        for r in sides.where("side = 3").groupBy("u", "c").agg(F.sum("n").alias("n")).collect():  # at most k * k
-            matrix[r["u"], r["c"]] = r["n"]
-        reached.append(likelihood(matrix))
-        if turn == rounds or rounds is None and turn >= 2 and reached[-1] - reached[-3] < GAIN * matrix.sum():
-            return classes, matrix
-
-        def move(batches: Iterator[pa.RecordBatch], classes=classes, matrix=matrix, turn=turn) -> Iterator[pa.RecordBatch]:
+        matrix = _matrix(sides.where("side = 3").select((F.col("u") * k + F.col("c")).alias("cell"), "n"), k)
+        if not placing:
+            going = going or Rounds(1, matrix.sum())
+            if going.lower(likelihood(matrix)):
+                classes, _, matrix, sides = kept
+                movers = going.movers(mixed) & kept[1]
+            if going.over() or rounds is not None and turn > rounds:
+                return classes, matrix
+            kept = classes, movers, matrix, sides
+
+        def willing(batches: Iterator[pa.RecordBatch], classes=classes, matrix=matrix, movers=movers) -> Iterator[pa.RecordBatch]:
             got = [[batch.column(i).to_numpy() for i in range(4)] for batch in batches]  # at most 2 * k + 1 for each unit and file split
             u, side, c, n = (np.concatenate([x[i] for x in got] or [np.zeros(0, np.int64)]) for i in range(4))
             mine, at = np.unique(u, return_inverse=True)
             counts = np.bincount((at * 3 + side) * k + c, n, len(mine) * 3 * k).reshape(-1, 3, k)
-            moved = []
-            for u, (before, after, twice) in zip(mine.tolist(), counts, strict=True):
-                put = gains(matrix, int(classes[u]), before, after, twice[0])
-                if put.max() > put[classes[u]] + 1e-6:
-                    moved.append((u, int(put.argmax())))
-            columns = list(zip(*moved, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["u", "c"])
-
-        moves = sides.where("side < 3").repartition(tasks, "u").mapInArrow(move, "u long, c long").collect()
-        classes = classes.copy()
+            new = Moves(matrix).best(classes[mine], counts[:, :2], counts[:, 2, 0])
+            moved = np.flatnonzero((new != classes[mine]) & movers[mine])
+            yield pa.RecordBatch.from_arrays([pa.array(mine[moved], pa.int64()), pa.array(new[moved], pa.int64()), pa.array(list(counts[moved].reshape(-1, 3 * k)), pa.list_(pa.float64()))], ["u", "c", "counts"])
+
+        wishes = sides.where("side < 3").repartition(tasks, "u").mapInArrow(willing, "u long, c long, counts array<double>")
+        # At most a row for each unit. One after another, so that not all of them fill the same class at once.
+        moves = wishes.groupBy(F.lit("all")).applyInPandas(_sweep(classes, matrix), "u long, c long").collect()
+        classes = np.where(classes < 0, np.arange(size) % k, classes)
         for r in moves:
             classes[r["u"]] = r["c"]
+        if going:
+            going.turn += 1
     raise AssertionError
 
 
-def many_gains(matrix: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    """gains() of many units, a row each; quick where each has few neighbouring classes."""
-    at = np.arange(len(own))
-    x, y, t = before.copy(), after.copy(), twice[:, None]
-    x[at, own] -= twice
-    y[at, own] -= twice
-    diagonal, to, from_ = np.tile(np.diag(matrix), (len(own), 1)), matrix.sum(0) - after, matrix.sum(1) - before
-    diagonal[at, own] += twice - before[at, own] - after[at, own]
-    to[at, own] += twice - before.sum(1)
-    from_[at, own] += twice - after.sum(1)
-    to, from_ = to + y, from_ + x
-    put = np.zeros(before.shape)
-    for mine, other, m, w in ((before, after, matrix, x), (after, before, matrix.T, y)):
-        slots = np.argsort(-w, axis=1, kind="stable")
-        for s in range(int((w > 0).sum(1).max(initial=0))):
-            i = slots[:, s]
-            rows, n = m[i], w[at, i][:, None]
-            rows[at, own] -= mine[at, i]
-            home = i == own
-            rows[home] -= other[home]
-            rows[at[home], own[home]] += twice[home]
-            put += _xlogx(rows + n) - _xlogx(rows)
-    corner = _xlogx(diagonal + x + y + t) + _xlogx(diagonal) - _xlogx(diagonal + x) - _xlogx(diagonal + y)
-    return put + corner - _xlogx(to + x.sum(1, keepdims=True) + t) + _xlogx(to) - _xlogx(from_ + y.sum(1, keepdims=True) + t) + _xlogx(from_)
+def occurrences(codes: DataFrame) -> DataFrame:
+    """Each occurrence of a word outside the head: word, row, pos, before and next (codes), and the word before where it's outside too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                chain, sizes = _joined(part.column(2))
+                at = np.flatnonzero(chain < 0)  # never a text's last code, which is the end
+                ends = np.cumsum(sizes)
+                of = np.searchsorted(ends, at)
+                first = ends[of] - sizes[of]  # its place in chain is that of the end before the text
+                words = part.column(3).flatten()
+                led = np.where(chain[at - 1] < 0, np.arange(len(at)) - 1, -1)
+                before = words.take(pa.array(led, mask=led < 0))
+                rows = part.column(0).to_numpy()[of]
+                out = part.column(1).to_numpy(zero_copy_only=False)[of].astype(bool)
+                columns = [words, before, pa.array(rows), pa.array(out), pa.array((at - 1 - first).astype(np.int32)), pa.array(chain[at - 1]), pa.array(chain[at + 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "led", "row", "held_out", "pos", "before", "next"])
+
+    return codes.select("row", "held_out", "codes", "others").mapInArrow(run, "word binary, led binary, row long, held_out boolean, pos int, before int, next int")
+
+
+def outer_words(occurring: DataFrame, by_class: np.ndarray, k: int) -> DataFrame:
+    """word, n, u, cells and counts of every training word outside the head: its head neighbours by side * k + class; and whether others are beside it.
+
+    occurring: word, before, next of each occurrence. Rows come sorted by word; only one word's sums are open at a time.
+    """
 
-def _hash(word: bytes) -> int:
-    """A word's 64 bits, signed; words that share them (hardly ever) share a class."""
-    h = xxhash.xxh64_intdigest(word, 7)
-    return h - (h >> 63 << 64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, sums = None, 0, np.zeros(2 * k + 1, np.int64)
+        spot = np.append(by_class, 2 * k)  # -1 is the last: a neighbour outside the head
 
+        def out(words: list, ns: np.ndarray, run_of: np.ndarray, cell: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+            far = np.zeros(len(words), bool)
+            far[run_of[cell == 2 * k]] = True
+            near = cell < 2 * k
+            offsets = pa.array(np.searchsorted(run_of[near], np.arange(len(words) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[near].astype(np.int32))) for x in (cell, many)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64()), *lists, pa.array(far)], ["word", "n", "cells", "counts", "far"])
 
-def tail_links(training: DataFrame, units: Units, by_class: np.ndarray, k: int) -> DataFrame:
-    """(u, cell, v): each neighbour of each word u outside the head: side * k + class of a head word, v null; or -1 - side and v, a word outside too."""
-    first = len(units.head)
+        for batch in batches:
+            words = batch.column(0)
+            if not len(words):
+                continue
+            new = np.ones(len(words), bool)
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            left, right = spot[batch.column(1).to_numpy()], spot[batch.column(2).to_numpy()]
+            cells = np.concatenate([left, np.where(right < 2 * k, right + k, right)])
+            key, many = np.unique(np.tile(run_of, 2) * (2 * k + 1) + cells, return_counts=True)
+            run_of, cell = np.divmod(key, 2 * k + 1)
+            ns = np.diff(np.append(starts, len(words)))
+            names = words.take(pa.array(starts)).to_pylist()
+            if held is not None and names[0] != held:
+                at = np.flatnonzero(sums)
+                yield out([held], np.array([n]), np.zeros(len(at), np.int64), at, sums[at])
+            elif held is not None:  # goes on in this batch
+                at = np.flatnonzero(sums)
+                first = run_of == 0
+                total = sums.copy()
+                np.add.at(total, cell[first], many[first])
+                at = np.flatnonzero(total)
+                run_of, cell, many = np.concatenate([np.zeros(len(at), np.int64), run_of[~first]]), np.concatenate([at, cell[~first]]), np.concatenate([total[at], many[~first]])
+                ns[0] += n
+            last = run_of == len(names) - 1
+            sums = np.zeros(2 * k + 1, np.int64)
+            sums[cell[last]] = many[last]
+            held, n = names[-1], int(ns[-1])
+            if len(names) > 1:
+                yield out(names[:-1], ns[:-1], run_of[~last], cell[~last], many[~last])
+        if held is not None:
+            at = np.flatnonzero(sums)
+            yield out([held], np.array([n]), np.zeros(len(at), np.int64), at, sums[at])
+
+    dealt = occurring.select("word", "before", "next").repartition("word").sortWithinPartitions("word")
+    found = dealt.mapInArrow(run, "word binary, n long, cells array<int>, counts array<int>, far boolean")
+    return found.withColumn("u", F.xxhash64("word"))
+
+
+def _dense(cells: pa.Array, counts: pa.Array, width: int) -> np.ndarray:
+    of = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
+    return np.bincount(of * width + cells.flatten().to_numpy(), counts.flatten().to_numpy(), len(cells) * width).reshape(-1, width)
+
+
+def _spread(u: np.ndarray) -> np.ndarray:
+    return (u >> 7) & 63
+
+
+def cluster_outer(words: DataFrame, occurring: DataFrame, matrix: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(u, c) of the words of outer_words(), and how often each class follows each; matrix: the head's own pairs.
+
+    u is a word's 64-bit hash; words that share it (hardly ever) move each for itself, and the least class holds.
+    """
+    k, spark = len(matrix), words.sparkSession
+    kinds = "u long, c int, far boolean, cells array<int>, counts array<int>"
+    names = [x.split()[0] for x in kinds.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves = Moves(matrix)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                columns: list[list] = [[], [], []]
-                for text in batch.column(0).slice(start, 500):
-                    words = [END, *byte_words(text.as_py()), END]
-                    at = units.of(words)
-                    tail = np.flatnonzero(at >= first).tolist()
-                    keys = {i: _hash(words[i]) for i in tail}
-                    for i in tail:
-                        for side, j in ((0, i - 1), (1, i + 1)):
-                            if 0 <= j < len(words):
-                                other = keys.get(j)
-                                for column, value in zip(columns, (keys[i], side * k + int(by_class[at[j]]) if other is None else -1 - side, other), strict=True):
-                                    column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["u", "cell", "v"])
-
-    return training.select("text").mapInArrow(run, "u long, cell int, v long")
-
-
-def _counts(lists: pa.Array, k: int) -> np.ndarray:
-    """How often each list holds each of 2 * k cells."""
-    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    return np.bincount(of * 2 * k + lists.flatten().to_numpy(), minlength=len(lists) * 2 * k).reshape(-1, 2, k).astype(float)
-
-
-def cluster_tail(words: DataFrame, links: DataFrame, matrix: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(u, c) of words (u, c at the start) after exchange, and how often each class follows each."""
-    k, links = len(matrix), written(links, "tail-links")
-    none = F.array().cast("array<int>")
-    heads = links.where("v is null").groupBy("u").agg(F.collect_list("cell").alias("cells"))  # at most two for each time the word occurs
-    classes = written(words.groupBy("u").agg(F.min("c").alias("c")), "tail-classes")
-    base = written(classes.select("u").join(heads, "u", "left").select("u", F.coalesce("cells", none).alias("cells")), "tail-heads")
-    tails = written(links.where("v is not null").select("u", "v", (-1 - F.col("cell")).alias("side")), "tail-tails")
+            u = batch.column(0).to_numpy()
+            counts = _dense(batch.column(2), batch.column(3), 2 * k).reshape(-1, 2, k)
+            c = moves.best(np.full(len(u), -1), counts, np.zeros(len(u)))
+            c = np.where(counts.any((1, 2)), c, u % k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int32()), *batch.columns[1:]], names)
+
+    state = written(words.select("u", "far", "cells", "counts").mapInArrow(place, kinds), "outer-0")
+    pairs = occurring.where("led is not null").groupBy(F.xxhash64("led").alias("a"), F.xxhash64("word").alias("b")).agg(F.count("*").alias("n"))
+    pairs = written(pairs, "outer-pairs")
+    links = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("side"), "n").unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By pair of classes: a word's head neighbours on both sides, and, of the words beside it, those after."""
         total = np.zeros((k, k))
         for batch in batches:
             c = batch.column(1).to_numpy()
-            near, far = _counts(batch.column(2), k), _counts(batch.column(3), k)
-            np.add.at(total.T, c, near[:, 0])
-            np.add.at(total, c, near[:, 1] + far[:, 1])
+            near, far = (_dense(batch.column(i), batch.column(i + 1), 2 * k + 1) for i in (3, 5))
+            np.add.at(total.T, c, near[:, :k])
+            np.add.at(total, c, near[:, k : 2 * k] + far[:, k : 2 * k])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["cell", "n"])
 
-    fixed, kept, reached = None, [], []
+    none = F.array().cast("array<int>")
+    going, kept = None, None
     for turn in count():
-        met = tails.join(classes.withColumnsRenamed({"u": "v", "c": "cv"}), "v")
-        far = met.groupBy("u").agg(F.collect_list(F.col("side") * k + F.col("cv")).cast("array<int>").alias("far"), F.sum(((F.col("u") == F.col("v")) & (F.col("side") == 1)).cast("long")).alias("twice"))
-        state = written(base.join(classes, "u").join(far, "u", "left").select("u", F.col("c").cast("int").alias("c"), "cells", F.coalesce("far", none).alias("far"), F.coalesce("twice", F.lit(0).cast("long")).alias("twice")), "tail-state")
-        own = np.zeros(k * k)
-        for r in state.mapInArrow(sums, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most k * k
-            own[r["cell"]] = r["n"]
-        fixed = matrix - own.reshape(k, k) if fixed is None else fixed
-        now = fixed + own.reshape(k, k)
-        kept.append((classes, now))
-        reached.append(likelihood(now))
-        if turn >= 2 and reached[-1] - reached[-3] < GAIN * now.sum():
-            return kept[int(np.argmax(reached))]
-
-        def move(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
+        classes = state.where("far").groupBy("u").agg(F.min("c").alias("c"))
+        met = links.join(classes.withColumnsRenamed({"u": "v", "c": "cv"}), "v")
+        cell = F.col("side") * k + F.col("cv")
+        by_cell = met.groupBy("u", cell.alias("cell")).agg(F.sum("n").alias("n"), F.sum(F.when((F.col("u") == F.col("v")) & (F.col("side") == 1), F.col("n")).otherwise(0)).alias("t"))
+        beside = by_cell.groupBy("u").agg(F.collect_list(F.struct("cell", "n")).alias("x"), F.sum("t").alias("twice"))  # at most 2 * k
+        beside = beside.select("u", F.col("x.cell").cast("array<int>").alias("far_cells"), F.col("x.n").cast("array<int>").alias("far_counts"), "twice")
+        several = written(state.where("far").join(beside, "u").select(*names, "far_cells", "far_counts", "twice"), f"outer-met-{turn}")
+        alone = state.where("not far").select(*names, none.alias("far_cells"), none.alias("far_counts"), F.lit(0).cast("long").alias("twice"))
+        whole = several.unionByName(alone)
+        now = matrix + _matrix(whole.mapInArrow(sums, "cell long, n long"), k)
+        going = going or Rounds(2, now.sum())
+        if going.lower(likelihood(now)):
+            whole, now, state = kept
+        if going.over():
+            return state.groupBy("u").agg(F.min("c").alias("c")), now
+        kept = whole, now, state
+
+        def move(batches: Iterator[pa.RecordBatch], now=now, going=(going.parts, going.turn)) -> Iterator[pa.RecordBatch]:
+            moves, mine = Moves(now), Rounds(going[0], 1)
+            mine.turn = going[1]
             for batch in batches:
-                u, c, twice = (batch.column(i).to_numpy() for i in (0, 1, 4))
-                counts, c = _counts(batch.column(2), k) + _counts(batch.column(3), k), c.copy()
-                may = np.flatnonzero((u >> 1 & 1) == turn % 2)
-                may = may[np.argsort((counts[may] > 0).sum((1, 2)), kind="stable")]
-                for at in (may[i : i + 256] for i in range(0, len(may), 256)):
-                    put = many_gains(now, c[at], counts[at, 0], counts[at, 1], twice[at].astype(float))
-                    best = put.argmax(1)
-                    better = put[np.arange(len(at)), best] > put[np.arange(len(at)), c[at]] + 1e-6
-                    c[at[better]] = best[better]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int64())], ["u", "c"])
-
-        classes = written(state.mapInArrow(move, "u long, c long"), "tail-classes")
+                u, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+                counts = sum(_dense(batch.column(i), batch.column(i + 1), 2 * k + 1)[:, : 2 * k] for i in (3, 5)).reshape(-1, 2, k)
+                may = np.flatnonzero(mine.movers(_spread(u)))
+                c[may] = moves.best(c[may], counts[may], batch.column(7).to_numpy()[may].astype(float))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int32()), *batch.columns[2:5]], names)
+
+        state = written(whole.mapInArrow(move, kinds), f"outer-{turn + 1}")
+        going.turn += 1
+        released(spark)
     raise AssertionError
 
 
-def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, forms: int = FORMS, rounds: int | None = ROUNDS, mix: float = MIX) -> DataFrame:
+def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: int = CORE, rounds: int | None = None, mix: float = MIX) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    training = rows.where("not held_out")
-    words = written(vocabulary(training), "vocabulary")
+    words = written(vocabulary(rows.where("not held_out")), "vocabulary")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least, fit = 1, 0
-    for r in sorted(words.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):
-        fit += r["m"]
-        if fit > head:
-            least = r["n"] + 1
-            break
-    common = sorted(((r["n"], bytes(r["word"])) for r in words.where(F.col("n") >= least).collect()), reverse=True)
-    counts, units = np.array([n for n, _ in common], np.int64), Units([w for _, w in common], forms)
-    by_class, matrix = cluster(written(unit_pairs(training, units), "pairs"), units.size, classes, rounds)
-
-    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mine = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_hash, mine), pa.int64()), pa.array(by_class[units.of(mine)], pa.int64())], ["word", "n", "u", "c"])
-
-    tail = written(words.where(F.col("n") < least).select("word", "n").mapInArrow(started, "word binary, n long, u long, c long"), "tail")
-    if kinds > len(common):
-        by_word, matrix = cluster_tail(tail, tail_links(training, units, by_class, classes), matrix)
-        tail = tail.drop("c").join(by_word, "u")
+    end = F.col("word") == F.lit(END)
+    common = words.where(~end).orderBy(F.desc("n"), "word").limit(head).union(words.where(end)).collect()
+    n_of = {bytes(r["word"]): r["n"] for r in common}
+    first = [END, *sorted(n_of.keys() - {END}, key=lambda w: (-n_of[w], w))]
+    counts = np.array([n_of.get(w, 0) for w in first], np.int64)
+    codes = written(coded(rows, first), "codes")
+    training = codes.where("not held_out")
+    pairs = written(head_pairs(training, len(first)), "pairs")
+    by_class, matrix = cluster(pairs, len(first), classes, core, rounds)
+    occurring = written(occurrences(codes), "occurrences")
+    outer, found = None, occurring.where("false").select("word", F.lit(0).cast("long").alias("n"), F.lit(0).alias("c"))
+    if kinds > len(n_of):
+        known = occurring.where("not held_out")
+        outer = written(outer_words(known, by_class, classes), "outer")
+        by_word, matrix = cluster_outer(outer, known, matrix)
+        found = written(outer.select("word", "n", "u").join(by_word, "u").select("word", "n", "c"), "outer-classes")
     rare = 1 / (total + kinds + 1)
     share = (matrix.sum(0) + 1) / (matrix.sum() + classes)
     follow = np.vstack([(matrix + 2 * share) / (matrix.sum(1, keepdims=True) + 2), share])
     #: By class before (the last for none) and class: what a word's count is to be multiplied by.
     factor = (1 - rare) * (1 - mix) * follow / np.maximum(matrix.sum(0), 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 33
+    def chance(before: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.log10(np.where(n > 0, factor[before, c] * n + mix * (n + 1) * rare, rare))
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = np.log10((counts + 1) * rare)
         for batch in batches:
-            out: list[list] = [[] for _ in range(10)]
-            for doc_id, text, out_of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words_ = [END, *byte_words(text.as_py()), END]
-                at = units.of(words_)
-                head = at < len(counts)
-                n = counts[at[1:][head[1:]]]
-                base = np.log10((n + 1) * rare).sum()
-                both = np.flatnonzero(head[1:] & head[:-1])
-                n = counts[at[both + 1]]
-                score = np.log10(factor[by_class[at[both]], by_class[at[both + 1]]] * n + mix * (n + 1) * rare).sum()
-                rest = np.flatnonzero(~head)
-                before = np.where(rest == 0, -2, np.where(head[rest - 1], by_class[at[rest - 1]], -1))
-                last = np.append(np.where(head, at, -1), -1)
-                for column, x in zip(out, (first, doc_id, out_of, len(words_) - 1, int(head[1:].sum()), base, score, [words_[i] for i in rest], before, last[rest + 1]), strict=True):
-                    column.append(x)
-                first += 1
-            kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds_, strict=True)], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "words", "before", "next"])
-
-    def rest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                chain, sizes = _joined(part.column(3))
+                code, before = chain[1:], chain[:-1]
+                mine, both = code >= 0, (code >= 0) & (before >= 0)
+                score = np.zeros(len(code))
+                score[both] = chance(by_class[before[both]], by_class[code[both]], counts[code[both]])
+                bounds = np.cumsum(sizes) - sizes  # no document is without its end
+                sums = [np.add.reduceat(x, bounds) if len(bounds) else x for x in (mine & (counts[code] > 0), np.where(mine, base[code], 0), score)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by document and place: sums by document. A document that ends a batch is held until the next."""
+        held, sums, last = None, np.zeros(3), classes
+
+        def out(rows: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(parts[0].astype(np.int64)), pa.array(parts[1]), pa.array(parts[2])], ["row", "known_rest", "base_rest", "own_rest"])
+
         for batch in batches:
-            items = batch.column(1)
-            of = np.repeat(np.arange(len(items)), np.diff(items.offsets.to_numpy()))
-            pos, before, after, n, c = (x.to_numpy() for x in items.flatten().flatten())
-            order = np.lexsort((pos, of))
-            before, after, n, c = before[order], after[order], n[order], c[order]
-            token, led = before != -2, after >= 0
-            before = np.where(before < 0, np.append(classes, c[:-1]), before)  # -1: the word before is the item before
-            own = np.where(n > 0, factor[before, np.minimum(c, classes - 1)] * n + mix * (n + 1) * rare, rare)
-            m = counts[after[led]]
-            score = np.where(token, np.log10(own), 0)
-            score[led] += np.log10(factor[c[led], by_class[after[led]]] * m + mix * (m + 1) * rare)
-            sums = [np.bincount(of, x, len(items)) for x in (np.where(token, np.log10((n + 1) * rare), 0), score, token & (n > 0))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], ["row", "base_rest", "own_rest", "known_rest"])
-
-    done = written(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double, words array<binary>, before array<long>, next array<long>"), "scores")
-    each = done.select("row", F.posexplode(F.arrays_zip("words", "before", "next")).alias("pos", "x")).select("row", "pos", F.col("x.words").alias("word"), F.col("x.before").alias("before"), F.col("x.next").alias("next"))
-    met = each.join(tail.select("word", "n", "c"), "word", "left")
-    item = F.struct(F.col("pos").cast("long").alias("pos"), "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
-    rest = met.groupBy("row").agg(F.collect_list(item).alias("items")).mapInArrow(rest_of, "row long, base_rest double, own_rest double, known_rest long")
+            if not batch.num_rows:
+                continue
+            row, before, after, n, c = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
+            beside = np.append(last, c[:-1])  # the class of the word outside the head that stands before
+            own = chance(np.where(before < 0, beside, by_class[before]), np.minimum(c, classes - 1), n)
+            led = after >= 0
+            own[led] += chance(c[led], by_class[after[led]], counts[after[led]])
+            starts = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
+            parts = np.stack([np.add.reduceat(x.astype(float), starts) for x in (n > 0, np.log10((n + 1) * rare), own)])
+            rows = row[starts]
+            if held is not None and rows[0] == held:
+                parts[:, 0] += sums
+            elif held is not None:
+                yield out(np.array([held]), sums[:, None])
+            held, sums, last = rows[-1], parts[:, -1].copy(), c[-1]
+            yield out(rows[:-1], parts[:, :-1])
+        if held is not None:
+            yield out(np.array([held]), sums[:, None])
+
+    done = written(codes.mapInArrow(inner, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"), "scores")
+    met = occurring.join(found, "word", "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
+    rest = met.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(others, "row long, known_rest long, base_rest double, own_rest double")
     some = lambda name: F.coalesce(name, F.lit(0))
-    return done.drop("words", "before", "next").join(rest, "row", "left").select(
+    return done.join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + some("known_rest")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + some("base_rest")).alias("base_score"), (F.col("own") + some("own_rest")).alias("score"),
     )
