@@ -63,6 +63,15 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for temporary use that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -101,7 +110,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], n_rows: int
     return ranked.join(bases, match).withColumn("rank", F.col("rank") + F.col("_base")).drop("_block", "_b", "_base", *(f"_k_{k}" for k in keys))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) links: node, root, root being the least node reachable.
 
     Alternating large-star and small-star rounds; each round's links are a table in the shared
@@ -121,12 +130,10 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     links = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:  # each round brings some node a lesser root; in practice the rounds grow with the logarithm of the nodes
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
         links = written(star(star(links, False), True), "links")
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
