@@ -2,8 +2,9 @@
 
 Native: DataFrame functions only. Texts are equal when they are identical after lower-casing A-Z.
 Defined cases: a null text counts as empty; a null id never wins while the group has another id;
-rows repeated with one id and one text stay once; extra columns play no part; an empty table gives
-an empty result.
+rows repeated with one id and one text stay once, the one with the least hash of all columns; texts of
+any length are hashed and compared whole; extra columns of any name or type play no other part and stay;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, text_of
+from .common import content_hash, free_names, lower_az, text_of
 
 HASH, DIGEST = "_hash128", "text_sha256"
 
@@ -50,9 +51,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
-    stay = classes(docs).select(F.col(HASH).alias("_h"), F.col(DIGEST).alias("_d"), F.col("keep_id").alias("_keep"))
+    hash_, digest, nth = free_names(docs, "hash", "digest", "nth")
+    stay = classes(docs.select("doc_id", "text")).select(F.col(HASH).alias("_h"), F.col(DIGEST).alias("_d"), F.col("keep_id").alias("_keep"))
+    stay = stay.withColumnsRenamed(dict(zip(("_h", "_d", "_keep"), kept := free_names(docs, "stay_hash", "stay_digest", "stay_id"), strict=True)))
     normal = lower_az(text_of())
-    hashed = docs.withColumn("_hash", F.unhex(F.md5(normal))).withColumn("_digest", F.sha2(normal, 256))
-    found = hashed.join(stay, (F.col("_hash") == F.col("_h")) & (F.col("_digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    once = Window.partitionBy("_hash", "_digest", "doc_id").orderBy(F.xxhash64(*docs.columns))
-    return found.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*docs.columns)
+    hashed = docs.withColumns({hash_: F.unhex(F.md5(normal)), digest: F.sha2(normal, 256)})
+    same = (F.col(hash_) == F.col(kept[0])) & (F.col(digest) == F.col(kept[1])) & F.col("doc_id").eqNullSafe(F.col(kept[2]))
+    once = Window.partitionBy(hash_, digest, "doc_id").orderBy(content_hash(docs))
+    return hashed.join(stay, same, "left_semi").withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)

@@ -7,7 +7,9 @@ of the longest; then a bounded knapsack over the documents left, exactly or as n
 comes. The chosen number of each length goes to the documents first in a seeded order.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; null ids
-and repeated rows are documents like others, each taken by itself; documents of size 0 are never counted on; an empty table gives an empty result.
+and repeated rows are documents like others, each taken by itself; documents of size 0 are never counted on;
+texts of any length count whole; extra columns of any name or type stay in mixed(); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, rank_within, text_of, written
+from .common import WORD, content_hash, free_names, rank_within, text_of, written
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, 11
 
@@ -130,7 +132,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows equal in id, source and size are taken each by itself. Among such rows a hash of all columns
     says which come first, so only rows equal in everything change places.
     """
-    keyed = written(docs.withColumns({"_content": F.xxhash64(*docs.columns), "_key": F.monotonically_increasing_id()}), "keyed")
-    plan = mix(keyed, **options, carry=("_content", "_key")).where("taken > 0")
-    plan = plan.select("_key", F.expr("taken div size").cast("int").alias("_times"))
-    return keyed.join(plan, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    content, key, times, copy = free_names(docs, "content", "key", "times", "copy")
+    keyed = written(docs.withColumns({content: content_hash(docs), key: F.monotonically_increasing_id()}), "keyed")
+    plan = mix(keyed.select("doc_id", "source", "text", content, key), **options, carry=(content, key)).where("taken > 0")
+    plan = plan.select(key, F.expr("taken div size").cast("int").alias(times))
+    return keyed.join(plan, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

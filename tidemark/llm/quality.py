@@ -4,11 +4,12 @@ Labellers vote junk, fine or nothing on shares of a text (repeated words, capita
 Expectation-maximisation over all documents' vote patterns estimates each labeller's accuracy and
 the share of junk; the posterior of a pattern labels its documents. A logistic scorer over hashed
 word-shape features is trained on those labels, weighted by their certainty, over a bounded
-documented sample (SAMPLE rows, the least seeded hashes), and its score decides for every document.
+documented sample (about SAMPLE rows, those with the least seeded hashes; rows equal in id and text
+teach once), and its score decides for every document.
 
 Defined cases: null and empty texts get no votes, score 0 and are kept, as nothing
-speaks against them; null ids and repeated rows are scored like others; extra
-columns stay; an empty table gives an empty result.
+speaks against them; null ids and repeated rows are scored like others; texts of any length are read
+whole; extra columns of any name or type stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import written
+from .common import free_names, written
 
 SAMPLE, BUCKETS, EPOCHS, CUT, SEED = 4000, 1 << 14, 12, 0.7, 17
 #: (share, above: junk, below: fine, least number of words)
@@ -75,7 +77,7 @@ class Words:
             return bucket(f"{shape}{word[len(core):]}~{min(len(word), 20)}"), False, False, False, len(word) - len(core), len(word)
         kinds = [("X" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c for c in word]
         odd = [not c.isalnum() for c in word]
-        shape = "".join(a for a, b in itertools.zip_longest(kinds, kinds[1:]) if a != b)[:12] + f"~{min(len(word), 20)}"
+        shape = "".join(a for a, b in itertools.zip_longest(kinds, kinds[1:]) if a != b) + f"~{min(len(word), 20)}"
         alpha = [c for c in word if c.isalpha()]
         return bucket(shape), len(alpha) > 1 and all(c.isupper() for c in alpha), any(a and b for a, b in itertools.pairwise(odd)), all(odd), sum(odd), len(word)
 
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, fl
     total = sum(patterns.values())
     roof = int(-(2**63) + 2**64 * min(1.0, sample / max(total, 1))) - 1
     chance = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    picked = docs.select(chance.alias("chance"), "text").where(F.col("chance") <= F.lit(min(roof, 2**63 - 1)))
+    picked = docs.select(chance.alias("chance"), "text").where(F.col("chance") <= F.lit(min(roof, 2**63 - 1))).dropDuplicates(["chance"])
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +183,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, fl
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chance", "label", "idx", "x"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["chance", "label"], kind="stable").head(2 * sample)
+        group = group.sort_values("chance", kind="stable")
         weights = train(list(group["idx"]), list(group["x"]), group["label"].to_numpy())
         used = np.flatnonzero(weights)
         return pd.DataFrame({"at": used, "weight": weights[used]})
@@ -193,9 +195,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, fl
     return weights, posterior
 
 
-def scored(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
-    """docs with _junk (0 to 1), _weak (the weak label's posterior) and _kept."""
-    weights, posterior = fit(docs, sample)
+def scored(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT, names: tuple[str, str, str] = ("_junk", "_weak", "_kept")) -> DataFrame:
+    """docs with the score (0 to 1), the weak label's posterior and whether it stays, under three names that docs doesn't have."""
+    weights, posterior = fit(docs.select("doc_id", "text"), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,12 +208,13 @@ def scored(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame
                 junk.append(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
                 weak.append(posterior.get(pattern, 0.0))
             added = [pa.array(junk, pa.float64()), pa.array(weak, pa.float64()), pa.array([j < cut for j in junk], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_junk", "_weak", "_kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, kinds + ", _junk double, _weak double, _kept boolean")
+    kinds = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], DoubleType()), StructField(names[2], BooleanType())])
+    return docs.mapInArrow(run, kinds)
 
 
 def quality_filter(docs: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """The rows of docs that the scorer does not reject, with docs' own columns."""
-    return scored(docs, sample, cut).where("_kept").select(*docs.columns)
+    names = tuple(free_names(docs, "junk", "weak", "kept"))
+    return scored(docs, sample, cut, names).where(F.col(names[2])).select(*docs.columns)

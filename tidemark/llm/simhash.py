@@ -11,8 +11,9 @@ Copies share one fingerprint and are folded before. An anchor that more than `ho
 fingerprints reach is not compared as a block: its rows are dealt once more, each to itself and
 every one-bit neighbour of itself (a code of radius 0; two fingerprints within two bits have such a
 neighbour in common), where at most 65 can meet. Defined cases: null text counts as empty; a text
-without words has fingerprint zero; null ids are ignored when a component takes its least id, and a
-component of null ids only has a null id; an empty table gives an empty result.
+without words has fingerprint zero; texts of any length are read whole; null ids are ignored when a
+component takes its least id, and a component of null ids only has a null id; repeated rows are in one
+component; extra columns of any name or type stay in near_dedup(); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, written
+from .common import byte_words, components, free_names, written
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -54,15 +55,16 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) of every row, and key, a column of long numbers, if one is named."""
+    keys = [F.col(key).cast("long")] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(byte_words(t.as_py()), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInArrow(run, "doc_id long, fp long" + f", `{key}` long" * len(keys))
 
 
 @lru_cache(maxsize=1)
@@ -199,19 +201,26 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, hot: int = 4096) -> D
     return found.where("b is not null").unionByName(near).distinct()
 
 
-def near_groups(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 4096) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
-    prints = written(fingerprints(docs), "prints")
+def _labelled(prints: DataFrame, threshold: int, hot: int) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint in prints."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = components(links(distinct, threshold, hot)).withColumnRenamed("node", "fp")
     rooted = distinct.join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(ids, "root").select("fp", "component_id")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 4096) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
+    prints = written(fingerprints(docs), "prints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(label, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(_labelled(prints, threshold, hot), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: of each component, the row with the least id (and every row without an id)."""
-    stay = near_groups(docs, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+def near_dedup(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 4096) -> DataFrame:
+    """One row of docs for each component, with docs' own columns: that with the least id (of equal ids any one, a null id only if there is no other)."""
+    key = free_names(docs, "row")[0]
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    prints = written(fingerprints(keyed, key=key), "prints")
+    met = prints.join(_labelled(prints, threshold, hot), "fp")
+    stay = met.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("x")).select(F.col(f"x.{key}").alias(key))
+    return keyed.join(stay, key, "left_semi").select(*docs.columns)
