@@ -1,9 +1,10 @@
 """Web pages as trees of blocks, and what is measured of each block.
 
 A block is a block-level element, with its text if no other block is in it, or a run of text and inline
-markup between block elements. Scripts,
-styles, controls and other parts without prose are left out while parsing. Open tags that HTML closes
-by itself (paragraphs, list items, cells) are closed; stray end tags are ignored.
+markup between block elements. Left out while parsing are scripts, styles, drawings, lists of choices and
+what a page's head holds; all else is for the trees to judge. Open tags that HTML closes by itself
+(paragraphs, list items, cells) are closed; stray end tags are ignored. The time to parse is in proportion
+to the page, however its tags are nested.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-SKIP = frozenset("head svg math template select button object canvas video audio noscript datalist".split())
+SKIP = frozenset("head svg template select datalist".split())
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption header footer nav aside form fieldset legend details summary address center menu hgroup dialog ins".split()
@@ -54,12 +55,50 @@ class Block:
         self.tag, self.attrs, self.up, self.text, self.links, self.kids = tag, attrs, up, text, links, 0
 
 
+class _Open:
+    """The open elements: a stack, and by name the places of those not ended, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.stack: list[list] = [["#root", 0, True]]  # name, the block that its text belongs to, not ended yet
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def push(self, name: str, block: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append([name, block, True])
+
+    def pop(self) -> str:
+        """End the innermost; its name, or nothing if it had ended."""
+        name, _, open_ = self.stack.pop()
+        if not open_:
+            return ""
+        self.places[name].pop()
+        if name in BLOCK:
+            self.blocks.pop()
+        return name
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost of these names, 0 if none is open."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def end_inline(self, name: str) -> None:
+        """End an element within the innermost block (links wherever they began), others inside it staying open."""
+        k = self.last(name)
+        if k and (k > self.blocks[-1] or name == "a"):
+            self.places[name].pop()
+            self.stack[k][2] = False
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks in page order, the root first; up is a block's place of its parent."""
     out = [Block("#root", "", -1)]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, and the block that their text belongs to
+    open_ = _Open()
+    stack, places = open_.stack, open_.places
     run: list[str] = []
-    links = open_a = open_p = hidden = 0
+    links = hidden = 0
+    ignored: dict[str, int] = {}  # block elements begun where nothing is read
 
     def flush(leaf: bool = False) -> None:
         """End a run of text; leaf: its element ends too, and takes the text if it holds no other block."""
@@ -73,15 +112,20 @@ def blocks(html: str) -> list[Block]:
         run.clear()
         links = 0
 
-    def pop() -> None:
-        nonlocal open_a, open_p, hidden
-        name = stack[-1][0]
-        if name in BLOCK:
-            flush(leaf=True)
-        stack.pop()
-        open_a -= name == "a"
-        open_p -= name == "p"
-        hidden -= name in SKIP
+    def pop_to(k: int) -> None:
+        """End the elements from place k on."""
+        nonlocal hidden
+        while len(stack) > k:
+            if stack[-1][0] in BLOCK:
+                flush(leaf=True)
+            hidden -= open_.pop() in SKIP
+        if not hidden:
+            ignored.clear()
+
+    def begin(name: str, attrs: str) -> None:
+        flush()
+        out.append(Block(name, attrs, stack[-1][1]))
+        open_.push(name, len(out) - 1)
 
     at, n = 0, len(html)
     while at < n:
@@ -89,7 +133,7 @@ def blocks(html: str) -> list[Block]:
         end = m.start() if m else n
         if end > at and not hidden:
             run.append(text := unescape(html[at:end]))
-            if open_a:
+            if places.get("a"):
                 links += len(text)
         if not m:
             break
@@ -99,62 +143,52 @@ def blocks(html: str) -> list[Block]:
         name = m[2].lower()
         if not m[1]:
             if name in RAW:
-                close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+                close = _end_of(name).search(html, at)
                 at = close.end() if close else n
             elif name in VOID:
                 if name in ("br", "hr") and not hidden:
                     run.append(" ")
-            elif hidden:
-                if name in SKIP:
-                    stack.append((name, stack[-1][1]))
-                    hidden += 1
-                elif name == "body":  # a head that was never closed
-                    while hidden:
-                        pop()
-                    out.append(Block(name, m[3], stack[-1][1]))
-                    stack.append((name, len(out) - 1))
             elif name in SKIP:
-                stack.append((name, stack[-1][1]))
+                open_.push(name, stack[-1][1])
                 hidden += 1
+            elif hidden:
+                if name == "body":  # a head that was never closed
+                    pop_to(min(places[x][0] for x in SKIP if places.get(x)))
+                    begin(name, m[3])
+                elif name in BLOCK:
+                    ignored[name] = ignored.get(name, 0) + 1
             elif name in BLOCK:
-                if open_p:
-                    k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in SCOPE), 0)
-                    if k and stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
+                k = open_.last("p")
+                if k and k > open_.last(*SCOPE):
+                    pop_to(k)
                 if name in CLOSES:
                     these, within = CLOSES[name]
-                    k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in these or stack[i][0] in within), 0)
-                    if k and stack[k][0] in these:
-                        while len(stack) > k:
-                            pop()
-                flush()
-                out.append(Block(name, m[3], stack[-1][1]))
-                stack.append((name, len(out) - 1))
-                open_p += name == "p"
+                    k = open_.last(*these)
+                    if k and k > open_.last(*within):
+                        pop_to(k)
+                begin(name, m[3])
             else:
-                stack.append((name, stack[-1][1]))
-                open_a += name == "a"
-        elif name in BLOCK or name in SKIP:
-            if hidden and name not in SKIP:
-                continue
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            while k and len(stack) > k:
-                pop()
+                open_.push(name, stack[-1][1])
+        elif name in SKIP:
+            if k := open_.last(name):
+                pop_to(k)
+        elif name in BLOCK:
+            if ignored.get(name):
+                ignored[name] -= 1
+            elif k := open_.last(name):  # ends what is hidden inside it too
+                pop_to(k)
         else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i]
-                    open_a -= name == "a"
-                    break
-                if stack[i][0] in BLOCK and name != "a":
-                    break
-    while len(stack) > 1:
-        pop()
+            open_.end_inline(name)
+    pop_to(1)
     flush()
     return out
 
 
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
 @lru_cache(maxsize=8192)
 def groups_of(attrs: str) -> tuple[int, ...]:
     words = (w.lower() for m in ATTRIBUTE.finditer(attrs) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", m[1] or m[2] or m[3] or ""))

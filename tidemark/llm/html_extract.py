@@ -6,8 +6,10 @@ out; so no text is chosen whose ancestor is not. The trees are trained here on P
 seeded generator lays out in many ways and labels; the table's own pages teach nothing, so a page's
 text is the same in any table.
 
+Text within math, noscript, object, video, canvas or a button is text like other and goes with its block.
 Defined cases: null and empty html give an empty text; repeated rows are each extracted; null ids and
-addresses stay null; a page cut off anywhere is read as far as it goes; extra columns play no part.
+addresses stay null; a page cut off anywhere is read as far as it goes; pages of any length are read whole; extra columns play
+no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -77,6 +79,9 @@ class Forge:
         link = f' <a href="/x">{self.words(1, 4)}</a>' if r.random() < 0.15 else ""
         return r.choice([
             *[lambda: f"<p data-gold>{lead}{self.prose()}{link}</p>"] * 9,
+            lambda: f"<noscript><p data-gold>{self.prose()}</p></noscript>",
+            lambda: f"<p data-gold>{self.prose(24)} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> {self.prose(24)}</p>",
+            lambda: f"<p data-gold>{self.words(1, 4)} <button>{self.words(1, 2)}</button> {self.prose(16)}</p>",
             lambda: f"<p data-gold>{self.words(1, 2)}.</p>",
             lambda: f"<p data-gold>{self.prose(400)}<br>{self.prose(30)}</p>",
             lambda: f"<h2 data-gold>{self.words(1, 6)}</h2>",
