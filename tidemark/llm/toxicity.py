@@ -6,11 +6,11 @@ long runs) enters as several words of at most PIECE bytes, neighbours sharing LA
 its trigrams is read. Texts are scored in windows of WINDOW words, each
 begun STRIDE words after the last; a text's score is its highest window's. Training takes at most
 SAMPLE labelled rows (the least seeded hashes, half of them toxic where there are so many), never
-held-out ones: first every window under its text's label, then only each text's highest window.
-Labels reach nothing but training. Held out are rows whose crc32(doc_id as text) mod 4 is 2.
+held-out ones: in the first WHOLE epochs every window under its text's label, then only each text's
+highest of all its windows (and, of texts not toxic, one more drawn by chance). Labels reach nothing but training. Held out are rows whose crc32(doc_id as text) mod 4 is 2.
 
 Defined cases: null and empty texts score 0; a null id hashes as the empty text and has no label;
-rows repeated in docs are each scored; of several labels for an id any toxic one counts; without
+rows repeated in docs are each scored; texts of any length are scored whole; of several labels for an id any toxic one counts; without
 labels every text scores the untrained model's 0.0; extra columns play no part.
 """
 
@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import byte_words
 
-WINDOW, STRIDE, SIZE, HIDDEN = 32, 24, 12, 8
+WINDOW, STRIDE, SIZE, HIDDEN = 32, 16, 12, 8
 PIECE, LAP = 38, 12
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 12
 RARE, DROPPED, DECAY, PRIOR = 3, 0.1, 1e-4, 0.3
 MARKS = b".,;:!?()\"'"
-SAMPLE, PER_TEXT, CUT, SEED, KNOWN = 2400, 12, 0.3, 23, 200_000
+SAMPLE, EPOCHS, FEW, CUT, SEED, KNOWN = 2400, 10, 24_000, 0.3, 23, 200_000
+WHOLE = 2  # epochs in which every window of a text teaches
 
 
 def held_out() -> Column:
@@ -153,7 +154,7 @@ class Network:
 
 
 def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None, seed: int = SEED) -> Network:
-    """AdaGrad over windows; toxic texts weigh PRIOR in all. Few texts are gone over more often: 24 times, many 10 times.
+    """AdaGrad over windows; toxic texts weigh PRIOR in all. There are EPOCHS, and more where texts are few, as fewer steps are made in each: FEW texts are gone over in all, but no text over 24 times.
 
     A word's own embedding is learnt if RARE texts or more hold it, else it stays zero and its
     trigrams speak for it. Words are dropped from a window by chance, so that no single one explains it.
@@ -161,7 +162,7 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
     net, rng, sums = Network(seed), np.random.default_rng(seed), {}
     texts = list(map(pieces, texts))
     vocabulary: dict[bytes, int] = {}
-    epochs = epochs or min(24, max(10, 24_000 // max(1, len(texts))))
+    epochs = epochs or min(24, max(EPOCHS, FEW // max(1, len(texts))))
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
     words = [hashed(w) for w in vocabulary]
     common = np.bincount(np.concatenate([np.unique(c) for c in coded] or [[]]).astype(np.int64), minlength=len(words)) >= RARE
@@ -181,25 +182,36 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
             ids[: len(part), j], mask[: len(part), j] = part, True
         return ids, mask
 
+    def highest() -> list[int]:
+        """Each text's highest window of all, some 4,000 windows at a time."""
+        x = net.inputs(words)
+        gates = {d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
+        best, top, held = np.full(len(coded), -np.inf), [0] * len(coded), []
+
+        def score() -> None:
+            ids, mask = laid(held)
+            for (i, a), logit in zip(held, net.logits({d: gates[d][ids] for d in "fb"}, mask).tolist(), strict=True):
+                if logit > best[i]:
+                    best[i], top[i] = logit, a
+            held.clear()
+
+        for i, code in enumerate(coded):
+            for a in starts(len(code)):
+                held.append((i, a))
+                if len(held) >= 4000:
+                    score()
+        if held:
+            score()
+        return top
+
     for epoch in range(epochs):
-        picked = []
-        for i in rng.permutation(len(coded)).tolist():
-            at = np.array(starts(len(coded[i])))
-            at = rng.permutation(at)[:PER_TEXT].tolist() if len(at) > PER_TEXT else at.tolist()
-            picked.append([(i, a) for a in at])
-        if epoch >= 2:  # from now on a text's highest window, and of other texts one more
-            x = net.inputs(words)
-            gates = {d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
-            best = []
-            for k in range(0, len(picked), 64):
-                flat = [w for ws in picked[k : k + 64] for w in ws]
-                ids, mask = laid(flat)
-                logit, at = net.logits({d: gates[d][ids] for d in "fb"}, mask), 0
-                for ws in picked[k : k + 64]:
-                    top = int(logit[at : at + len(ws)].argmax())
-                    best.append([ws[top]] if y[ws[0][0]] else [ws[top], ws[int(rng.integers(len(ws)))]])
-                    at += len(ws)
-            picked = best
+        order = rng.permutation(len(coded)).tolist()
+        if epoch < WHOLE:
+            picked = [[(i, a) for a in starts(len(coded[i]))] for i in order]
+        else:
+            top = highest()
+            drawn = [int(rng.integers(len(starts(len(coded[i]))))) for i in order]
+            picked = [[(i, top[i])] if y[i] else [(i, top[i]), (i, starts(len(coded[i]))[k])] for i, k in zip(order, drawn, strict=True)]
         flat = [w for ws in picked for w in ws]
         share = np.array([1 / len(ws) for ws in picked for _ in ws], np.float32)
         for k in range(0, len(flat), 128):
@@ -208,7 +220,7 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
             used, place = np.unique(ids, return_inverse=True)
             seen = (mask & (rng.random(ids.shape) >= DROPPED))[:, :, None]
             x = net.inputs([words[i] for i in used])[place.reshape(ids.shape)] * seen
-            weights = balance[mine] * (share[k : k + 128] if epoch >= 2 else 0.2)
+            weights = balance[mine] * (share[k : k + 128] if epoch >= WHOLE else np.minimum(0.2, 2.4 * share[k : k + 128]))
             grads, d_x = net.step(x, mask, y[mine], weights)
             for name, grad in grads.items():
                 apply(name, grad)
@@ -246,7 +258,7 @@ class Scorer:
             at = list(map(self.rows.get, words))
         return np.array(at, np.int32)
 
-    def scores(self, texts: list[list[bytes]], most: int = 20_000) -> np.ndarray:
+    def scores(self, texts: list[list[bytes]], most: int = 60_000) -> np.ndarray:
         """Each text's highest window; words are taken up `most` at a time, whole windows together."""
         best, held, of, size = np.full(len(texts), -np.inf), [], [], 0
 
