@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import brown
+from tidemark.llm.common import written
 
 
 def tokens(text):
@@ -89,20 +90,18 @@ def test_class_counts(spark):
     rng = np.random.default_rng(5)
     k, size = 4, 15
     pairs = Counter(map(tuple, rng.integers(0, size, (400, 2)).tolist()))
-    classes, movers = rng.integers(0, k, size), rng.random(size) < 0.5
-    table = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a long, b long, n long")
-    got, want = Counter(), Counter()
-    for r in brown.class_counts(brown.neighbours(table).repartition(3), classes, k, movers).collect():
-        got[r.u, r.side, r.c] += r.n
-    for (a, b), n in pairs.items():
-        want[classes[a], 3, classes[b]] += n
-        if movers[b]:
-            want[b, 0, classes[a]] += n
-        if movers[a]:
-            want[a, 1, classes[b]] += n
-        if movers[a] and a == b:
-            want[a, 2, 0] += n
-    assert got == want
+    classes = rng.integers(-1, k, size)
+    table = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a long, b long, n long").repartition(3)
+    links = brown.neighbours(table)
+    want, twice = counted(pairs, classes, size, k)
+    seen = set()
+    for batch in links.toArrow().to_batches():
+        units, counts, own = brown.class_counts(batch, classes, k)
+        assert (counts == want[units]).all() and (own == np.where(classes[units] >= 0, twice[units], own)).all()
+        seen |= set(units.tolist())
+    assert seen == set(range(size))
+    known = Counter({p: n for p, n in pairs.items() if min(classes[list(p)]) >= 0})
+    assert (brown.class_pairs(links, classes, k) == likelihood(known, classes, k)[0]).all()
 
 
 def plain_scores(rows, table, by_word, k):
@@ -143,8 +142,7 @@ def test_scores(spark, small, odd, empty, monkeypatch):
 
     def seen_outer(words, *rest):
         found["outer"] = outer(words, *rest)
-        table = words.select("word", "u").join(found["outer"][0], "u").collect()
-        found["classes"] = {bytes(r["word"]): r["c"] for r in table}
+        found["classes"] = {bytes(r["word"]): r["c"] for r in found["outer"][0].collect()}
         return found["outer"]
 
     monkeypatch.setattr(brown, "cluster", seen)
@@ -175,12 +173,12 @@ def test_rounds_only_rise(spark, small, monkeypatch):
 
     def noted(self, now):
         back = lower(self, now)
-        reached.append((id(self), self.reached[-1]))
+        reached.append((self.tokens, self.reached[-1]))
         return back
 
     monkeypatch.setattr(brown.Rounds, "lower", noted)
     brown.lm_scores(spark.read.parquet(f"{small}/documents.parquet"), classes=12, head=400, core=60).count()
-    assert len({k for k, _ in reached}) == 2
+    assert len(reached) > 3
     assert all(b >= a for (i, a), (j, b) in zip(reached, reached[1:], strict=False) if i == j)
 
 
@@ -195,12 +193,11 @@ def test_words_outside_the_head_get_classes_by_exchange(spark):
     for r in brown.head_pairs(codes, 5).collect():
         matrix[r.a, r.b] = r.n
     occurring = brown.occurrences(codes)
-    words = brown.outer_words(occurring, by_class, k)
+    words = written(brown.outer_words(occurring, by_class, matrix), "outer")
     counts = Counter(w for t in texts for w in tokens(t))
     assert {bytes(r.word): r.n for r in words.collect()} == {w: n for w, n in counts.items() if w not in head}
     table, after = brown.cluster_outer(words, occurring, matrix)
-    found = dict(map(tuple, table.collect()))
-    of = {w: i for i, w in enumerate(head)} | {bytes(r.word): found[r.u] for r in words.collect()}
+    of = {w: i for i, w in enumerate(head)} | {bytes(r.word): r.c for r in table.collect()}
     want = np.zeros((k, k))
     for t in texts:
         for a, b in zip([b"\n", *tokens(t)], tokens(t), strict=False):

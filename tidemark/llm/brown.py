@@ -6,13 +6,13 @@ a table. Texts are cut into words twice: for the vocabulary, and for the table o
 later steps read, in which the HEAD commonest words (and the end) are numbers and others stay words.
 
 Every training word gets its class by exchange, that is, by moving to the class that raises the
-class bigrams' log-likelihood most, until two rounds together gain less than GAIN for each training token:
+class bigrams' log-likelihood most, until a round gains less than GAIN for each training token:
 
 1. the CORE commonest words, one after another, in one task (at most CORE * CORE pair counts);
 2. the head: each word first joins the class that fits its neighbours in the core; then in each round every
    word says whether it would move, and those that would do so one after another, in one task. Pair counts are
    a table dealt by word, which no round shuffles;
-3. every other word by its neighbours' classes, a share of the words in each round, all at once. Words with head neighbours only need no join; for
+3. every other word by its neighbours' classes, in blocks that assume that the other tasks' words move alike. Words with head neighbours only need no join; for
    others a round joins the classes of their neighbours. Nothing here is held by word in memory.
 
 A round that lowers the likelihood is taken back, and half as many words move in the next.
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, released, written
+from .common import byte_words, dropped, released, written
 
 CLASSES, HEAD, CORE, MIX = 64, 30_000, 2_048, 0.05
 GAIN = 5e-3
@@ -74,7 +74,7 @@ def vocabulary(training: DataFrame) -> DataFrame:
 
 
 def coded(rows: DataFrame, head: list[bytes]) -> DataFrame:
-    """row, doc_id, held_out, codes (32-bit numbers: a head word's place, -1 for others; the end last) and others, those words in order."""
+    """row, doc_id, held_out, codes (32-bit numbers: a head word's place, -1 for others; the end last) and others, those words in order, joined by ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, row = {w: i for i, w in enumerate(head)}.get, TaskContext.get().partitionId() << 33
@@ -87,12 +87,12 @@ def coded(rows: DataFrame, head: list[bytes]) -> DataFrame:
                     words.append(END)
                     code = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
                     codes.append(code.tobytes())
-                    others.append([words[i] for i in np.flatnonzero(code < 0).tolist()])
+                    others.append(END.join([words[i] for i in np.flatnonzero(code < 0).tolist()]))
                 rows = np.arange(row, row + part.num_rows)
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column(0), part.column(2), pa.array(codes, pa.binary()), pa.array(others, pa.list_(pa.binary()))], ["row", "doc_id", "held_out", "codes", "others"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column(0), part.column(2), pa.array(codes, pa.binary()), pa.array(others, pa.binary())], ["row", "doc_id", "held_out", "codes", "others"])
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, codes binary, others array<binary>")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, codes binary, others binary")
 
 
 def _joined(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +126,41 @@ def head_pairs(codes: DataFrame, size: int) -> DataFrame:
 
 
 def neighbours(pairs: DataFrame) -> DataFrame:
-    """(u, v, side, n): side 0, unit v before unit u n times; 1, v after u. Dealt by u, which has at most two rows for each unit."""
+    """u, cells (32-bit numbers: 2 * v + 1 for unit v after u, 2 * v before) and counts (64-bit) of every unit: at most two cells for each unit."""
     both = pairs.select("a", "b", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     before = F.col("side") == 0
-    return both.select(F.when(before, F.col("b")).otherwise(F.col("a")).cast("int").alias("u"), F.when(before, F.col("a")).otherwise(F.col("b")).cast("int").alias("v"), "side", "n").repartition("u")
+    cell = 2 * F.when(before, F.col("a")).otherwise(F.col("b")) + F.col("side")
+    dealt = both.select(F.when(before, F.col("b")).otherwise(F.col("a")).alias("u"), cell.cast("int").alias("cell"), "n").repartition("u").sortWithinPartitions("u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts = None, []
+
+        def out(units: list, lists: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), *(pa.array([x[i].tobytes() for x in lists], pa.binary()) for i in (0, 1))], ["u", "cells", "counts"])
+
+        for batch in batches:
+            u, cell, n = (batch.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.diff(u, prepend=u[0] - 1)) if len(u) else []
+            units, lists = [], []
+            for i, j in zip(starts, [*starts[1:], len(u)], strict=True):
+                if held is not None and u[i] != held:
+                    units.append(held)
+                    lists.append([np.concatenate(x) for x in zip(*parts, strict=True)])
+                    parts = []
+                held = u[i]
+                parts.append((cell[i:j], n[i:j]))
+            yield out(units, lists)
+        if held is not None:
+            yield out([held], [[np.concatenate(x) for x in zip(*parts, strict=True)]])
+
+    return dealt.mapInArrow(run, "u long, cells binary, counts binary")
+
+
+def _flat(cells: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of cells and counts in binary: each one's list, cell and count."""
+    sizes = pc.binary_length(cells).to_numpy(zero_copy_only=False) // 4
+    cell, n = (np.frombuffer(b"".join(x.to_pylist()), kind) for x, kind in ((cells, "<i4"), (counts, "<i8")))
+    return np.repeat(np.arange(len(cells)), sizes), cell.astype(np.int64), n
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -287,46 +318,37 @@ def core_classes(pairs: DataFrame, size: int, k: int) -> np.ndarray:
     return classes
 
 
-def class_counts(links: DataFrame, classes: np.ndarray, k: int, movers: np.ndarray) -> DataFrame:
-    """(u, side, c, n), each task's sums. For units u that may move: side 0, class c before u; 1, class c after u; 2, u after itself.
+def class_counts(batch: pa.RecordBatch, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of neighbours(): the units, their neighbours by side and class (those of class -1 left out), and how often each follows itself."""
+    units = batch.column(0).to_numpy()
+    of, cell, n = _flat(batch.column(1), batch.column(2))
+    v, side = cell >> 1, cell & 1
+    c = classes[v]
+    known = c >= 0
+    counts = np.bincount((of * 2 + side)[known] * k + c[known], n[known], len(units) * 2 * k).reshape(-1, 2, k)
+    same = (v == units[of]) & (side == 1)
+    return units, counts, np.bincount(of[same], n[same], len(units))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-    Side 3 is for all units: class c after class u. Units of class -1 aren't counted as neighbours. As links are dealt
-    by u, a unit's sums lie in one task, or a few where a file is split, and the rows don't grow with the text.
-    """
-    size = len(classes)
+
+def class_pairs(links: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+    """How often each class follows each, over rows of neighbours()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_class, twice, matrix = np.zeros(size * 2 * k), np.zeros(size), np.zeros(k * k)
-        parts: list[list[np.ndarray]] = []
-        held = 0
-
-        def add() -> None:
-            u, v, side, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            known = classes[v] >= 0
-            into = (side == 0) & known & (classes[u] >= 0)
-            np.add(matrix, np.bincount(classes[v[into]] * k + classes[u[into]], n[into], k * k), out=matrix)
-            may = movers[u] & known
-            u, v, side, n = u[may].astype(np.int64), v[may], side[may], n[may]
-            np.add.at(by_class, (u * 2 + side) * k + classes[v], n)
-            same = (u == v) & (side == 1)
-            np.add.at(twice, u[same], n[same])
+        total = np.zeros((k, k))
+        for part in _slices(batches):
+            units, counts, _ = class_counts(part, classes, k)
+            at = np.flatnonzero(classes[units] >= 0)
+            np.add.at(total.T, classes[units[at]], counts[at, 0])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["cell", "n"])
 
-        for batch in batches:
-            parts.append([batch.column(i).to_numpy() for i in range(4)])
-            held += batch.num_rows
-            if held > 1_000_000:
-                add()
-                parts, held = [], 0
-        if parts:
-            add()
-        at, own, cells = np.flatnonzero(by_class), np.flatnonzero(twice), np.flatnonzero(matrix)
-        u = np.concatenate([at // (2 * k), own, cells // k])
-        side = np.concatenate([at // k % 2, np.full(len(own), 2), np.full(len(cells), 3)])
-        c = np.concatenate([at % k, np.zeros(len(own), np.int64), cells % k])
-        n = np.concatenate([by_class[at], twice[own], matrix[cells]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (u, side, c)] + [pa.array(n)], ["u", "side", "c", "n"])
-
-    return links.mapInArrow(run, "u int, side int, c int, n long")
+    return _matrix(links.mapInArrow(run, "cell long, n long"), k)
 
 
 def _matrix(cells: DataFrame, k: int) -> np.ndarray:
@@ -338,22 +360,23 @@ def _matrix(cells: DataFrame, k: int) -> np.ndarray:
 
 
 class Rounds:
-    """Whether to go on, and which part of the units moves: one in `parts`, in turn."""
+    """Whether to go on, and which part of the units may move: one in `parts`, in turn."""
 
-    def __init__(self, parts: int, tokens: float) -> None:
-        self.parts, self.tokens, self.turn, self.reached = parts, tokens, 0, []
+    def __init__(self, tokens: float) -> None:
+        self.parts, self.tokens, self.turn, self.reached = 1, tokens, 0, []
 
     def lower(self, now: float) -> bool:
         """Takes note of a likelihood; True if it's lower than the last, whose classes are to come back."""
         if self.reached and now < self.reached[-1]:
             self.parts *= 2
-            self.turn -= 1
             return True
         self.reached.append(now)
         return False
 
     def over(self) -> bool:
-        return self.parts > 16 or len(self.reached) > 2 and self.reached[-1] - self.reached[-3] < GAIN * self.tokens
+        """Whether the last rounds in which every unit could move gained little, or no part's moves gain any more."""
+        last = self.parts + 1
+        return self.parts > 8 or len(self.reached) >= last and self.reached[-1] - self.reached[-last] < GAIN * self.tokens
 
     def movers(self, mixed: np.ndarray) -> np.ndarray:
         """Of units numbered at random, those of this turn."""
@@ -366,7 +389,7 @@ def _sweep(classes: np.ndarray, matrix: np.ndarray) -> Callable[[pd.DataFrame],
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         now, group = matrix.copy(), group.sort_values("u")
-        to = [c if classes[u] < 0 else _move(now, int(classes[u]), x.reshape(3, k)[:2], x[2 * k]) for u, c, x in zip(group["u"], group["c"], group["counts"], strict=True)]
+        to = [c if classes[u] < 0 else _move(now, int(classes[u]), x[:-1].reshape(2, k), x[-1]) for u, c, x in zip(group["u"], group["c"], map(np.frombuffer, group["counts"]), strict=True)]
         return pd.DataFrame({"u": group["u"], "c": to})
 
     return run
@@ -374,36 +397,33 @@ def _sweep(classes: np.ndarray, matrix: np.ndarray) -> Callable[[pd.DataFrame],
 
 def cluster(pairs: DataFrame, size: int, k: int = CLASSES, core: int = CORE, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each unit's class, and how often each class follows each. rounds: how many at most, else until they gain little."""
-    spark, core = pairs.sparkSession, min(core, size)
-    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few rows, but much to compute
+    core = min(core, size)
     links = written(neighbours(pairs), "neighbours")
     classes = np.concatenate([core_classes(pairs, core, k), np.full(size - core, -1, np.int64)])
     mixed = np.random.default_rng(size).integers(0, 64, size)
     going, kept = None, None
     for turn in count():
-        placing = bool((classes < 0).any())
-        movers = classes < 0 if placing else going.movers(mixed) if going else mixed >= 0
-        sides = written(class_counts(links, classes, k, movers), "sides")
-        matrix = _matrix(sides.where("side = 3").select((F.col("u") * k + F.col("c")).alias("cell"), "n"), k)
+        matrix, placing = class_pairs(links, classes, k), bool((classes < 0).any())
         if not placing:
-            going = going or Rounds(1, matrix.sum())
+            going = going or Rounds(matrix.sum())
             if going.lower(likelihood(matrix)):
-                classes, _, matrix, sides = kept
-                movers = going.movers(mixed) & kept[1]
+                classes, matrix = kept
             if going.over() or rounds is not None and turn > rounds:
+                dropped(links)
                 return classes, matrix
-            kept = classes, movers, matrix, sides
+            kept = classes, matrix
+        movers = classes < 0 if placing else going.movers(mixed)
 
         def willing(batches: Iterator[pa.RecordBatch], classes=classes, matrix=matrix, movers=movers) -> Iterator[pa.RecordBatch]:
-            got = [[batch.column(i).to_numpy() for i in range(4)] for batch in batches]  # at most 2 * k + 1 for each unit and file split
-            u, side, c, n = (np.concatenate([x[i] for x in got] or [np.zeros(0, np.int64)]) for i in range(4))
-            mine, at = np.unique(u, return_inverse=True)
-            counts = np.bincount((at * 3 + side) * k + c, n, len(mine) * 3 * k).reshape(-1, 3, k)
-            new = Moves(matrix).best(classes[mine], counts[:, :2], counts[:, 2, 0])
-            moved = np.flatnonzero((new != classes[mine]) & movers[mine])
-            yield pa.RecordBatch.from_arrays([pa.array(mine[moved], pa.int64()), pa.array(new[moved], pa.int64()), pa.array(list(counts[moved].reshape(-1, 3 * k)), pa.list_(pa.float64()))], ["u", "c", "counts"])
-
-        wishes = sides.where("side < 3").repartition(tasks, "u").mapInArrow(willing, "u long, c long, counts array<double>")
+            moves = Moves(matrix)
+            for part in _slices(batches):
+                units, counts, twice = class_counts(part, classes, k)
+                new = moves.best(classes[units], counts, twice)
+                at = np.flatnonzero((new != classes[units]) & movers[units])
+                full = np.concatenate([counts[at].reshape(-1, 2 * k), twice[at, None]], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(units[at]), pa.array(new[at]), pa.array([x.tobytes() for x in full], pa.binary())], ["u", "c", "counts"])
+
+        wishes = links.mapInArrow(willing, "u long, c long, counts binary")
         # At most a row for each unit. One after another, so that not all of them fill the same class at once.
         moves = wishes.groupBy(F.lit("all")).applyInPandas(_sweep(classes, matrix), "u long, c long").collect()
         classes = np.where(classes < 0, np.arange(size) % k, classes)
@@ -418,157 +438,139 @@ def occurrences(codes: DataFrame) -> DataFrame:
     """Each occurrence of a word outside the head: word, row, pos, before and next (codes), and the word before where it's outside too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                chain, sizes = _joined(part.column(2))
-                at = np.flatnonzero(chain < 0)  # never a text's last code, which is the end
-                ends = np.cumsum(sizes)
-                of = np.searchsorted(ends, at)
-                first = ends[of] - sizes[of]  # its place in chain is that of the end before the text
-                words = part.column(3).flatten()
-                led = np.where(chain[at - 1] < 0, np.arange(len(at)) - 1, -1)
-                before = words.take(pa.array(led, mask=led < 0))
-                rows = part.column(0).to_numpy()[of]
-                out = part.column(1).to_numpy(zero_copy_only=False)[of].astype(bool)
-                columns = [words, before, pa.array(rows), pa.array(out), pa.array((at - 1 - first).astype(np.int32)), pa.array(chain[at - 1]), pa.array(chain[at + 1])]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "led", "row", "held_out", "pos", "before", "next"])
-
-    return codes.select("row", "held_out", "codes", "others").mapInArrow(run, "word binary, led binary, row long, held_out boolean, pos int, before int, next int")
-
-
-def outer_words(occurring: DataFrame, by_class: np.ndarray, k: int) -> DataFrame:
-    """word, n, u, cells and counts of every training word outside the head: its head neighbours by side * k + class; and whether others are beside it.
-
-    occurring: word, before, next of each occurrence. Rows come sorted by word; only one word's sums are open at a time.
+        for part in _slices(batches, 500):
+            chain, sizes = _joined(part.column(2))
+            at = np.flatnonzero(chain < 0)  # never a text's last code, which is the end
+            ends = np.cumsum(sizes)
+            of = np.searchsorted(ends, at)
+            first = ends[of] - sizes[of]  # its place in chain is that of the end before the text
+            words = pa.array(END.join(x for x in part.column(3).to_pylist() if x).split(END) if len(at) else [], pa.binary())
+            led = np.where(chain[at - 1] < 0, np.arange(len(at)) - 1, -1)
+            before = words.take(pa.array(led, mask=led < 0))
+            rows = part.column(0).to_numpy()[of]
+            out = part.column(1).to_numpy(zero_copy_only=False)[of].astype(bool)
+            columns = [words, before, pa.array(rows), pa.array(out), pa.array((at - 1 - first).astype(np.int32)), pa.array(chain[at - 1]), pa.array(chain[at + 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "led", "row", "held_out", "pos", "before", "next"])
+
+    found = codes.select("row", "held_out", "codes", "others").mapInArrow(run, "word binary, led binary, row long, held_out boolean, pos int, before int, next int")
+    hashed = lambda name: F.when(F.col(name).isNotNull(), F.xxhash64(name))
+    return found.select(hashed("word").alias("u"), "word", hashed("led").alias("led"), "row", "held_out", "pos", "before", "next")
+
+
+OUTER = "u long, word binary, n long, c int, far boolean, cells binary, counts binary"
+_OUTER = [x.split()[0] for x in OUTER.split(", ")]
+
+
+def outer_words(occurring: DataFrame, by_class: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """OUTER of every training word outside the head: its count, whether words outside the head are beside it, and its head
+    neighbours (cell: side * k + class; 64-bit counts); c is the class that fits these best.
+
+    occurring: u, word, before, next of each occurrence. They come sorted; only one word's sums are open at a time.
     """
+    k = len(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, sums = None, 0, np.zeros(2 * k + 1, np.int64)
+        held, sums, moves = None, np.zeros(2 * k + 2, np.int64), Moves(matrix)
         spot = np.append(by_class, 2 * k)  # -1 is the last: a neighbour outside the head
 
-        def out(words: list, ns: np.ndarray, run_of: np.ndarray, cell: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-            far = np.zeros(len(words), bool)
-            far[run_of[cell == 2 * k]] = True
-            near = cell < 2 * k
-            offsets = pa.array(np.searchsorted(run_of[near], np.arange(len(words) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[near].astype(np.int32))) for x in (cell, many)]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ns, pa.int64()), *lists, pa.array(far)], ["word", "n", "cells", "counts", "far"])
-
-        for batch in batches:
-            words = batch.column(0)
-            if not len(words):
-                continue
-            new = np.ones(len(words), bool)
+        def out(u: np.ndarray, words: list, counts: np.ndarray) -> pa.RecordBatch:
+            near = counts[:, : 2 * k]
+            c = moves.best(np.full(len(u), -1), near.reshape(-1, 2, k).astype(float), np.zeros(len(u)))
+            c = np.where(near.any(1), c, u % k)
+            of, cell = np.nonzero(near)
+            bounds = np.searchsorted(of, np.arange(len(u) + 1)).tolist()
+            lists = [[x[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)] for x in (cell.astype("<i4"), near[of, cell].astype("<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(words, pa.binary()), pa.array(counts[:, -1]), pa.array(c, pa.int32()), pa.array(counts[:, -2] > 0), *(pa.array(x, pa.binary()) for x in lists)], _OUTER)
+
+        for batch in _slices(batches, 4000):
+            u, words = batch.column(0).to_numpy(), batch.column(1)
+            new = np.ones(len(u), bool)
             new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(new)
-            run_of = np.cumsum(new) - 1
-            left, right = spot[batch.column(1).to_numpy()], spot[batch.column(2).to_numpy()]
+            starts, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+            left, right = spot[batch.column(2).to_numpy()], spot[batch.column(3).to_numpy()]
             cells = np.concatenate([left, np.where(right < 2 * k, right + k, right)])
-            key, many = np.unique(np.tile(run_of, 2) * (2 * k + 1) + cells, return_counts=True)
-            run_of, cell = np.divmod(key, 2 * k + 1)
-            ns = np.diff(np.append(starts, len(words)))
+            counts = np.bincount(np.tile(run_of, 2) * (2 * k + 2) + cells, minlength=len(starts) * (2 * k + 2)).reshape(-1, 2 * k + 2)
+            counts[:, -1] = np.diff(np.append(starts, len(u)))
             names = words.take(pa.array(starts)).to_pylist()
-            if held is not None and names[0] != held:
-                at = np.flatnonzero(sums)
-                yield out([held], np.array([n]), np.zeros(len(at), np.int64), at, sums[at])
-            elif held is not None:  # goes on in this batch
-                at = np.flatnonzero(sums)
-                first = run_of == 0
-                total = sums.copy()
-                np.add.at(total, cell[first], many[first])
-                at = np.flatnonzero(total)
-                run_of, cell, many = np.concatenate([np.zeros(len(at), np.int64), run_of[~first]]), np.concatenate([at, cell[~first]]), np.concatenate([total[at], many[~first]])
-                ns[0] += n
-            last = run_of == len(names) - 1
-            sums = np.zeros(2 * k + 1, np.int64)
-            sums[cell[last]] = many[last]
-            held, n = names[-1], int(ns[-1])
-            if len(names) > 1:
-                yield out(names[:-1], ns[:-1], run_of[~last], cell[~last], many[~last])
+            if held is not None and held[1] == names[0]:
+                counts[0] += sums
+            elif held is not None:
+                yield out(np.array([held[0]]), [held[1]], sums[None])
+            held, sums = (u[-1], names[-1]), counts[-1]
+            yield out(u[starts[:-1]], names[:-1], counts[:-1])
         if held is not None:
-            at = np.flatnonzero(sums)
-            yield out([held], np.array([n]), np.zeros(len(at), np.int64), at, sums[at])
-
-    dealt = occurring.select("word", "before", "next").repartition("word").sortWithinPartitions("word")
-    found = dealt.mapInArrow(run, "word binary, n long, cells array<int>, counts array<int>, far boolean")
-    return found.withColumn("u", F.xxhash64("word"))
+            yield out(np.array([held[0]]), [held[1]], sums[None])
 
+    return occurring.select("u", "word", "before", "next").repartition("u").sortWithinPartitions("u", "word").mapInArrow(run, OUTER)
 
-def _dense(cells: pa.Array, counts: pa.Array, width: int) -> np.ndarray:
-    of = np.repeat(np.arange(len(cells)), np.diff(cells.offsets.to_numpy()))
-    return np.bincount(of * width + cells.flatten().to_numpy(), counts.flatten().to_numpy(), len(cells) * width).reshape(-1, width)
 
+def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """state (a written outer_words()) with the classes found, and how often each class follows each; matrix: the head's own pairs.
 
-def _spread(u: np.ndarray) -> np.ndarray:
-    return (u >> 7) & 63
-
-
-def cluster_outer(words: DataFrame, occurring: DataFrame, matrix: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """(u, c) of the words of outer_words(), and how often each class follows each; matrix: the head's own pairs.
-
-    u is a word's 64-bit hash; words that share it (hardly ever) move each for itself, and the least class holds.
+    u is a word's 64-bit hash; words that share it (hardly ever) see the neighbours that are outside the head of both.
     """
-    k, spark = len(matrix), words.sparkSession
-    kinds = "u long, c int, far boolean, cells array<int>, counts array<int>"
-    names = [x.split()[0] for x in kinds.split(", ")]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        moves = Moves(matrix)
-        for batch in batches:
-            u = batch.column(0).to_numpy()
-            counts = _dense(batch.column(2), batch.column(3), 2 * k).reshape(-1, 2, k)
-            c = moves.best(np.full(len(u), -1), counts, np.zeros(len(u)))
-            c = np.where(counts.any((1, 2)), c, u % k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int32()), *batch.columns[1:]], names)
-
-    state = written(words.select("u", "far", "cells", "counts").mapInArrow(place, kinds), "outer-0")
-    pairs = occurring.where("led is not null").groupBy(F.xxhash64("led").alias("a"), F.xxhash64("word").alias("b")).agg(F.count("*").alias("n"))
+    k, spark = len(matrix), state.sparkSession
+    pairs = occurring.where("led is not null").groupBy(F.col("led").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("n"))
     pairs = written(pairs, "outer-pairs")
     links = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("side"), "n").unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n"))
+    kinds = OUTER + ", met array<long>, twice long"
+
+    def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """By word: head neighbours, and neighbours outside the head, by side * k + class."""
+        near = np.zeros((batch.num_rows, 2 * k))
+        of, cell, n = _flat(batch.column(5), batch.column(6))
+        near[of, cell] = n
+        met = batch.column(7)
+        far, packed = np.zeros((batch.num_rows, 2 * k)), met.flatten().to_numpy()
+        of = np.repeat(np.arange(batch.num_rows), np.diff(met.offsets.to_numpy()))
+        far[of, packed % (2 * k)] = packed // (2 * k)
+        return near, far
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """By pair of classes: a word's head neighbours on both sides, and, of the words beside it, those after."""
         total = np.zeros((k, k))
-        for batch in batches:
-            c = batch.column(1).to_numpy()
-            near, far = (_dense(batch.column(i), batch.column(i + 1), 2 * k + 1) for i in (3, 5))
-            np.add.at(total.T, c, near[:, :k])
-            np.add.at(total, c, near[:, k : 2 * k] + far[:, k : 2 * k])
+        for batch in _slices(batches, 4000):
+            c, (near, far) = batch.column(3).to_numpy(), counted(batch)
+            member = np.eye(k)[c]
+            total += near[:, :k].T @ member + member.T @ (near[:, k:] + far[:, k:])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].round().astype(np.int64))], ["cell", "n"])
 
-    none = F.array().cast("array<int>")
     going, kept = None, None
     for turn in count():
-        classes = state.where("far").groupBy("u").agg(F.min("c").alias("c"))
-        met = links.join(classes.withColumnsRenamed({"u": "v", "c": "cv"}), "v")
-        cell = F.col("side") * k + F.col("cv")
-        by_cell = met.groupBy("u", cell.alias("cell")).agg(F.sum("n").alias("n"), F.sum(F.when((F.col("u") == F.col("v")) & (F.col("side") == 1), F.col("n")).otherwise(0)).alias("t"))
-        beside = by_cell.groupBy("u").agg(F.collect_list(F.struct("cell", "n")).alias("x"), F.sum("t").alias("twice"))  # at most 2 * k
-        beside = beside.select("u", F.col("x.cell").cast("array<int>").alias("far_cells"), F.col("x.n").cast("array<int>").alias("far_counts"), "twice")
-        several = written(state.where("far").join(beside, "u").select(*names, "far_cells", "far_counts", "twice"), f"outer-met-{turn}")
-        alone = state.where("not far").select(*names, none.alias("far_cells"), none.alias("far_counts"), F.lit(0).cast("long").alias("twice"))
-        whole = several.unionByName(alone)
+        classes = state.where("far").select(F.col("u").alias("v"), F.col("c").alias("cv")).dropDuplicates(["v"])
+        same = F.when((F.col("u") == F.col("v")) & (F.col("side") == 1), F.col("n")).otherwise(0)
+        by_cell = links.join(classes, "v").groupBy("u", (F.col("side") * k + F.col("cv")).alias("cell")).agg(F.sum("n").alias("n"), F.sum(same).alias("t"))
+        met = by_cell.groupBy("u").agg(F.collect_list(F.col("n") * (2 * k) + F.col("cell")).alias("met"), F.sum("t").alias("twice"))  # at most 2 * k
+        several = written(state.where("far").join(met, "u").select(*_OUTER, "met", "twice"), f"outer-met-{turn}")
+        whole = several.unionByName(state.where("not far").select(*_OUTER, F.array().cast("array<long>").alias("met"), F.lit(0).cast("long").alias("twice")))
         now = matrix + _matrix(whole.mapInArrow(sums, "cell long, n long"), k)
-        going = going or Rounds(2, now.sum())
+        going = going or Rounds(now.sum())
         if going.lower(likelihood(now)):
-            whole, now, state = kept
+            dropped(state, several)
+            whole, now, state, several = kept
+        elif kept:
+            dropped(kept[2], kept[3])
         if going.over():
-            return state.groupBy("u").agg(F.min("c").alias("c")), now
-        kept = whole, now, state
-
-        def move(batches: Iterator[pa.RecordBatch], now=now, going=(going.parts, going.turn)) -> Iterator[pa.RecordBatch]:
-            moves, mine = Moves(now), Rounds(going[0], 1)
-            mine.turn = going[1]
-            for batch in batches:
-                u, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-                counts = sum(_dense(batch.column(i), batch.column(i + 1), 2 * k + 1)[:, : 2 * k] for i in (3, 5)).reshape(-1, 2, k)
-                may = np.flatnonzero(mine.movers(_spread(u)))
-                c[may] = moves.best(c[may], counts[may], batch.column(7).to_numpy()[may].astype(float))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c, pa.int32()), *batch.columns[2:5]], names)
-
-        state = written(whole.mapInArrow(move, kinds), f"outer-{turn + 1}")
+            return state, now
+        kept = whole, now, state, several
+        tasks = whole.rdd.getNumPartitions()
+
+        def move(batches: Iterator[pa.RecordBatch], now=now, going=going, tasks=tasks) -> Iterator[pa.RecordBatch]:
+            """Each block of words meets the classes as its task's earlier words left them, other tasks' words being taken to move alike."""
+            own_view = now.copy()
+            for batch in _slices(batches, 2500):
+                u, c = batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
+                counts = sum(counted(batch)).reshape(-1, 2, k)
+                may = np.flatnonzero(going.movers((u >> 7) & 63))
+                new = c.copy()
+                new[may] = Moves(own_view).best(c[may], counts[may], batch.column(8).to_numpy()[may].astype(float))
+                at = np.flatnonzero(new != c)
+                change = np.eye(k)[new[at]] - np.eye(k)[c[at]]
+                own_view = np.maximum(own_view + tasks * (counts[at, 0].T @ change + change.T @ counts[at, 1]), 0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.int32()), *batch.columns[4:7]], _OUTER)
+
+        state = written(whole.mapInArrow(move, OUTER), f"outer-{turn + 1}")
         going.turn += 1
         released(spark)
     raise AssertionError
@@ -589,12 +591,9 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
     pairs = written(head_pairs(training, len(first)), "pairs")
     by_class, matrix = cluster(pairs, len(first), classes, core, rounds)
     occurring = written(occurrences(codes), "occurrences")
-    outer, found = None, occurring.where("false").select("word", F.lit(0).cast("long").alias("n"), F.lit(0).alias("c"))
-    if kinds > len(n_of):
-        known = occurring.where("not held_out")
-        outer = written(outer_words(known, by_class, classes), "outer")
-        by_word, matrix = cluster_outer(outer, known, matrix)
-        found = written(outer.select("word", "n", "u").join(by_word, "u").select("word", "n", "c"), "outer-classes")
+    dropped(pairs)
+    known = occurring.where("not held_out")
+    found, matrix = cluster_outer(written(outer_words(known, by_class, matrix), "outer"), known, matrix)
     rare = 1 / (total + kinds + 1)
     share = (matrix.sum(0) + 1) / (matrix.sum() + classes)
     follow = np.vstack([(matrix + 2 * share) / (matrix.sum(1, keepdims=True) + 2), share])
@@ -646,7 +645,7 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
             yield out(np.array([held]), sums[:, None])
 
     done = written(codes.mapInArrow(inner, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"), "scores")
-    met = occurring.join(found, "word", "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
+    met = occurring.join(found.select("u", "word", "n", "c"), ["u", "word"], "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
     rest = met.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(others, "row long, known_rest long, base_rest double, own_rest double")
     some = lambda name: F.coalesce(name, F.lit(0))
     return done.join(rest, "row", "left").select(

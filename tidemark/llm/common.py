@@ -47,7 +47,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and safe from lost executors."""
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables from written() that no result still to be computed reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(spark: SparkSession) -> None:
@@ -76,6 +86,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all of a row's columns; those that hold maps, which have no hash, go in as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema)) if df.columns else F.lit(0).cast("long")
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII takes the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
