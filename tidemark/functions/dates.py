@@ -10,7 +10,9 @@ from .text import sentence_case, title_case, tr_lower
 #: Names of months and days (Sunday first).
 MONTHS = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"]
 DAYS = ["Pazar", "Pazartesi", "Salı", "Çarşamba", "Perşembe", "Cuma", "Cumartesi"]
-ISO, PERIODS = r"^(\d{4})-(\d{2})-(\d{2})", "(sabah|öğle|ikindi|akşam|yatsı|cuma)"
+ISO = r"^(\d{4})-(\d{2})-(\d{2})"
+#: The prayers that a text may name.
+PERIODS = "(sabah|öğle|ikindi|akşam|yatsı|cuma)"
 
 
 def day_of(c: Column) -> Column:
@@ -101,7 +103,13 @@ def ask_again(allowed: Column, put_off: Column, today: Column | str, days: int =
     return allowed.isNull() & (F.coalesce(put_off, F.lit("")) .eqNullSafe("") | (today >= add_days(put_off, days)))
 
 
-def clamped_day(c: Column, today: str, back: int, ahead: int) -> Column:
-    """A day held between today less back and today plus ahead."""
-    day = F.to_date(F.lit(today))
-    return day_text(F.least(F.greatest(day_of(c), F.date_sub(day, back)), F.date_add(day, ahead)))
+def day_bounds(current: Column, today: str, back: int, ahead: int) -> Column:
+    """The first and last day that may be picked: today less back to today plus ahead, widened to hold the current day if it is one."""
+    now, day = day_of(current), F.to_date(F.lit(today))
+    first, last = F.date_sub(day, back), F.date_add(day, ahead)
+    return F.struct(day_text(F.least(first, F.coalesce(now, first))).alias("first"), day_text(F.greatest(last, F.coalesce(now, last))).alias("last"))
+
+
+def rolled_over(selected: Column, seen: Column, today: Column) -> Column:
+    """The selected day after midnight: it follows today if it was today when last seen."""
+    return F.when((today != seen) & selected.eqNullSafe(seen), today).otherwise(selected)

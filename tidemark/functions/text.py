@@ -10,17 +10,25 @@ ORDER = "abcçdefgğhıijklmnoöprsştuüvyzâîû"
 MARKED, PLAIN = "çğıöşüâîû", "cgiosuaiu"
 #: Fixed values of vowel harmony: front vowels take e, voiceless endings take t.
 VOWELS, FRONT, VOICELESS = "aeıioöuüâîû", "eiöüî", "çfhkpsşt"
-#: White space with the no-break space, which the built-in trim keeps.
-SPACE = r"[\s ]"
+#: White space of any script, which the built-in trim keeps.
+SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: Where a space is missing after a full stop, and the short form of "cemetery" with the long one.
+INNER_STOP, CEMETERY = r"\.(?=[^\s\d])", (r"(^|\s)Mez\.(?=\s|$)", "$1Mezarlığı")
+
+
+def bare(c: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def trimmed(c: Column) -> Column:
     """Trimmed of all white space; empty becomes null."""
-    return F.nullif(F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
+    return F.nullif(bare(c), F.lit(""))
 
 
 def tr_lower(c: Column) -> Column:
-    return F.lower(F.translate(c, "Iİ", "ıi"))
+    """Turkish lower case; a dot that is set apart on an i goes."""
+    return F.replace(F.lower(F.translate(c, "Iİ", "ıi")), F.lit("i\u0307"), F.lit("i"))
 
 
 def tr_upper(c: Column) -> Column:
@@ -51,9 +59,9 @@ def sentence_case(c: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Each word's first letter upper, the rest lower; a space after inner full stops; Mez. written out."""
-    spaced = F.regexp_replace(F.coalesce(c, F.lit("")), r"\.(?=[^\s\d])", ". ")
+    spaced = F.regexp_replace(F.coalesce(c, F.lit("")), INNER_STOP, ". ")
     words = F.array_join(F.transform(F.split(tr_lower(spaced), " "), upper_first), " ")
-    return F.regexp_replace(words, r"(^|\s)Mez\.(?=\s|$)", "$1Mezarlığı")
+    return F.regexp_replace(words, *CEMETERY)
 
 
 def locative(c: Column) -> Column:

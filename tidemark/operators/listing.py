@@ -5,31 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import day_text, long_date, period_of
+from tidemark.functions.dates import add_days, day_text, long_date, period_of
 from tidemark.functions.text import sort_key
 
 
+#: What a martyr's and any other card begins with.
+LABELS = ("Cenaze töreni", "Cenaze")
+
+
 def funeral_day(prayer: Column, burial: Column, listed: Column, died: Column) -> Column:
     """The prayer's day; else the burial's if it is a day and nothing more; else the list's; else the death's; else empty."""
     return F.coalesce(prayer, F.when(burial.rlike(r"^\d{4}-\d{2}-\d{2}$"), burial), listed, died, F.lit(""))
 
 
 def label(martyr: Column, day: Column, prayer_place: Column) -> Column:
-    parts = [F.when(martyr, "Cenaze töreni").otherwise("Cenaze"), long_date(day, short=True), period_of(prayer_place)]
+    parts = [F.when(martyr, LABELS[0]).otherwise(LABELS[1]), long_date(day, short=True), period_of(prayer_place)]
     return F.concat_ws(" · ", *(F.nullif(p, F.lit("")) for p in parts))
 
 
-def in_scope(rows: DataFrame, district: str | None) -> DataFrame:
-    """One district's rows, or all districts'; the general section belongs to any scope."""
-    return rows if district is None else rows.where((F.col("section") == 1) | (F.col("district") == district))
+def in_scope(rows: DataFrame, district: str | None, general: bool = False, martyr: str = "martyr") -> DataFrame:
+    """All rows, or one district's with the general section's martyrs, and the rest of that section if the flag says so."""
+    return rows if district is None else rows.where((F.col("district") == district) | ((F.col("section") == 1) & (F.col(martyr) | F.lit(general))))
+
+
+def day_filled(rows: DataFrame, district: str | None, today: str, day: str = "day") -> DataFrame:
+    """One row, filled: whether the scope has rows on a day. The general section counts in any scope, shown or not."""
+    return in_scope(rows, district, general=True).where(F.col(day) == today).agg((F.count("*") > 0).alias("filled"))
+
+
+def found(rows: DataFrame, key: str, id_: str) -> DataFrame:
+    """The first row with an id: districts in their order, then the general section; no row if none has it."""
+    return rows.where(F.col(key) == id_).orderBy("section", F.col("district_no").asc_nulls_last(), "ordinal").limit(1)
 
 
 def ranked(rows: DataFrame, by: list[str], martyr: str = "martyr", section: str = "section", district: str = "district", ordinal: str = "ordinal") -> DataFrame:
-    """Adds section_rank and place: martyrs first, then districts in Turkish order, then the general section."""
+    """Adds section_rank and place: martyrs first, then districts, then the general section.
+
+    Within these, districts come in Turkish order, the general section after them, and rows in input order.
+    A place is the rank within one district's rows plus the rows of the parts before, so that no window
+    holds more than a part.
+    """
     rank = F.when(F.col(martyr), 0).when(F.col(section) == 0, 1).otherwise(2)
-    order = Window.partitionBy(*by).orderBy("section_rank", "_key", ordinal)
-    keyed = rows.withColumn("section_rank", rank).withColumn("_key", F.when(F.col("section_rank") == 1, sort_key(F.col(district))))
-    return keyed.withColumn("place", F.row_number().over(order).cast("long")).drop("_key")
+    keyed = rows.withColumns({"section_rank": rank, "_part": F.when(F.col(section) == 0, F.col(district))})
+    part = [*by, "section_rank", "_part"]
+    before = Window.partitionBy(*by).orderBy("section_rank", F.col("_part").isNull(), sort_key(F.col("_part")), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = keyed.groupBy(*part).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    bases = bases.select(*(F.col(c).alias(f"_b_{c}") for c in part), "_base")
+    own = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy(ordinal)))
+    same = F.lit(True)
+    for c in part:
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return own.join(bases, same).withColumn("place", (F.col("_rank") + F.col("_base")).cast("long")).drop("_part", "_rank", "_base", *(f"_b_{c}" for c in part))
 
 
 def day_counts(rows: DataFrame, day: str = "day", by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,7 +76,7 @@ def with_yesterday(rows: DataFrame, asked: DataFrame, day: str = "day", key: str
     """asked (key, day) with the day whose rows are shown: its own, or the day before if it has none and that has."""
     counts = rows.groupBy(F.col(key).alias("_k"), F.col(day).alias("_d")).agg(F.count("*").alias("_n"))
     own = asked.join(counts, (F.col(key) == F.col("_k")) & (F.col(day) == F.col("_d")), "left").select(asked["*"], F.coalesce("_n", F.lit(0)).alias("n_own"))
-    own = own.withColumn("_before", day_text(F.date_sub(F.col(day).cast("date"), 1)))
+    own = own.withColumn("_before", add_days(F.col(day), -1))
     both = own.join(counts, (F.col(key) == F.col("_k")) & (F.col("_before") == F.col("_d")), "left").withColumn("n_before", F.coalesce("_n", F.lit(0)))
     shown = F.when(F.col("n_own") > 0, F.col(day)).when(F.col("n_before") > 0, F.col("_before"))
     return both.select(*asked.columns, "n_own", "n_before", shown.alias("shown_day"))

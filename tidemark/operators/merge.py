@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import day_of
+from tidemark.functions.text import name_key
+from tidemark.operators.tables import linked, written
+
 DAYS, AGE = 2, 1
-OUT = pa.schema([("id", pa.string()), ("place", pa.int64()), ("feed", pa.bool_())])
 
 
 def band_matches(left: DataFrame, right: DataFrame, key: str, day: str, age: str, tie: str, days: int = DAYS, gap: int = AGE) -> DataFrame:
     """Per row of left with a match: its tie, how many rows of right are the same person, and the least of them.
 
-    Equal key, ages at most gap apart (unknown ages match), days at most `days` apart. Days are dealt
-    to bands of days + 1, right rows to their own and both next bands, so that a key with many days
-    is spread; matches are counted, not kept as pairs.
+    Equal key, ages at most gap apart (unknown ages match), days at most `days` apart. Right rows are
+    folded to one for each key, day and age before they meet the left ones, which are folded alike; so a
+    key that is hot on both sides makes as many pairs as it has days and ages, not rows.
     """
-    width = days + 1
-    band = lambda c: F.floor(F.unix_date(c) / width)
-    a = left.select(F.col(key).alias("k"), F.col(day).alias("d"), F.col(age).alias("v"), F.col(tie).alias("id"), band(F.col(day)).alias("b"))
-    b = right.select(F.col(key).alias("k"), F.col(day).alias("rd"), F.col(age).alias("rv"), F.col(tie).alias("rid"), F.explode(F.array(*(band(F.col(day)) + i for i in (-1, 0, 1)))).alias("b"))
-    near = (F.abs(F.datediff("d", "rd")) <= days) & (F.col("v").isNull() | F.col("rv").isNull() | (F.abs(F.col("v") - F.col("rv")) <= gap))
-    return a.join(b, ["k", "b"]).where(near).groupBy("id").agg(F.count("*").alias("matches"), F.min("rid").alias("first_match"))
+    folded = right.groupBy(F.col(key).alias("k"), F.col(day).alias("rd"), F.col(age).alias("rv")).agg(F.count("*").alias("n"), F.min(tie).alias("rid"))
+    near = folded.withColumn("d", F.explode(F.sequence(F.date_sub("rd", days), F.date_add("rd", days))))
+    asked = left.select(F.col(key).alias("k"), F.col(day).alias("d"), F.col(age).alias("v")).distinct()
+    alike = F.col("v").isNull() | F.col("rv").isNull() | (F.abs(F.col("v") - F.col("rv")) <= gap)
+    found = asked.join(near, ["k", "d"]).where(alike).groupBy("k", "d", "v").agg(F.sum("n").alias("matches"), F.min("rid").alias("first_match"))
+    rows = left.select(F.col(key).alias("_k"), F.col(day).alias("_d"), F.col(age).alias("_v"), F.col(tie).alias("id"))
+    return rows.join(found, (F.col("_k") == F.col("k")) & (F.col("_d") == F.col("d")) & F.col("_v").eqNullSafe(F.col("v"))).select("id", "matches", "first_match")
 
 
 def replaced(base: DataFrame, corrections: DataFrame, key: str, target: str) -> DataFrame:
@@ -34,95 +38,143 @@ def replaced(base: DataFrame, corrections: DataFrame, key: str, target: str) ->
     return base.join(gone, key, "left_anti").unionByName(corrections.drop(target))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that driver and executors share; without one (tests), kept by Spark."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        return df.persist()
-    path = f"{root.rstrip('/')}/merge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def notice_days(*first: Column, last: Column) -> Column:
+    """A notice's days as numbers: those of `first` that begin with a day; if none does, that of `last`."""
+    own = F.array_compact(F.array(*(F.unix_date(day_of(c)) for c in first)))
+    return F.when(F.size(own) > 0, own).otherwise(F.array_compact(F.array(F.unix_date(day_of(last)))))
 
 
-def linked(rows: DataFrame, row: str, tokens: Column, most: int = 60) -> DataFrame:
-    """rows with group: rows that share tokens, directly or through others, have one group (the least row).
+class Kept:
+    """The rows that one group's merge has kept so far, found by id and by person and band of days."""
 
-    Each round every token takes the least group of its rows, and every row the least of its tokens';
-    only a count and a checksum of a round reach the driver.
-    """
-    pairs = _written(rows.select(F.col(row).alias("_row"), F.explode(F.array_distinct(tokens)).alias("_token")))
-    groups, mark = pairs.select("_row", F.col("_row").alias("group")).distinct(), None
-    for _ in range(most):
-        least = pairs.join(groups, "_row").groupBy("_token").agg(F.min("group").alias("group"))
-        groups = _written(pairs.join(least, "_token").groupBy("_row").agg(F.min("group").alias("group")))
-        seen = tuple(groups.agg(F.count("*"), F.sum(F.xxhash64("_row", "group").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            return rows.join(groups, rows[row] == groups["_row"]).drop("_row")
-        mark = seen
-    raise RuntimeError(f"groups did not settle within {most} rounds")
-
-
-def same_person(a: dict, b: dict) -> bool:
-    if a["key"] != b["key"] or a["age"] is not None and b["age"] is not None and abs(a["age"] - b["age"]) > AGE:
+    def __init__(self) -> None:
+        self.by_id: dict = defaultdict(list)
+        self.by_person: dict = defaultdict(list)
+        self.alive: list[int] = []
+        self.gone: set[int] = set()
+
+    def has_id(self, scope: object, id_: object) -> bool:
+        return any(at not in self.gone for at, *_ in self.by_id[scope, id_])
+
+    def has_person(self, scope: object, key: str, age: int | None, days: list[int]) -> bool:
+        """Whether a kept row has the key, a day at most DAYS off and an age at most AGE off, as far as ages are known."""
+        for day in days:
+            for band in range(day // (DAYS + 1) - 1, day // (DAYS + 1) + 2):
+                for at, its_age, its_day in self.by_person.get((scope, key, band), ()):
+                    if at not in self.gone and abs(its_day - day) <= DAYS and (age is None or its_age is None or abs(its_age - age) <= AGE):
+                        return True
         return False
-    return any(abs(x - y) <= DAYS for x in a["days"] for y in b["days"])
-
-
-def merged_group(rows: list[dict]) -> list[dict]:
-    """The ordered merge of one group; base rows come first, then the feed's, each in its order."""
-    out: list[dict] = []
-    for r in rows:
-        if r["feed"]:
-            if any(x["id"] == r["id"] for x in out):
-                continue
-            if r["corrects"] is not None:
-                out = [x for x in out if x["id"] != r["corrects"]]
-            elif any(same_person(x, r) for x in out):
-                continue
-        out.append(r)
-    return out
-
-
-def greedy_merge(base: DataFrame, feed: DataFrame) -> DataFrame:
-    """Rows of base, less those corrected, and rows of feed that are new: id, place, feed.
-
-    Both have id, place (unique, ordered), scope, key, age (nullable), days (array of int) and, feed
-    only, corrects. A kept feed row can shut out later ones, so the order matters; but only rows that
-    share an id, a corrected id or a person's key within a scope can meet. Such rows are linked into
-    groups, and each is merged by itself: no scope is merged as a whole. A scope without base rows is
-    left as it is.
+
+    def drop(self, scope: object, id_: object) -> None:
+        self.gone.update(at for at, *_ in self.by_id.pop((scope, id_), ()))
+
+    def add(self, at: int, scope: object, id_: object, key: str, age: int | None, days: list[int]) -> None:
+        self.alive.append(at)
+        self.by_id[scope, id_].append((at,))
+        for day in set(days):
+            self.by_person[scope, key, day // (DAYS + 1)].append((at, age, day))
+
+
+def merged(rows: Iterator[tuple]) -> list[int]:
+    """Which rows of a group stay, by place: (feed, scope, id, key, age, days, corrects) with base rows first, then the feed's, in order."""
+    kept = Kept()
+    for at, (feed, scope, id_, key, age, days, corrects) in enumerate(rows):
+        days = days or []
+        if feed and kept.has_id(scope, id_):
+            continue
+        if feed and corrects is not None:
+            kept.drop(scope, corrects)
+        elif feed and kept.has_person(scope, key, age, days):
+            continue
+        kept.add(at, scope, id_, key, age, days)
+    return [at for at in kept.alive if at not in kept.gone]
+
+
+def greedy_merge(base: DataFrame, feed: DataFrame, scopes: DataFrame | None = None, payload: str | None = None) -> DataFrame:
+    """Rows of base, less those corrected, and rows of feed that are new: scope, id, place, feed (and payload).
+
+    Both have id, place (unique within a scope and table; the feed's gives the order), scope, key, age
+    (nullable), days (array of int), payload if it is named (a column of any type) and, feed only,
+    corrects. scopes: the scopes that could be read, with or without rows of base; a feed row of any other
+    is left out. By default these are base's scopes.
+
+    A kept feed row can shut out later ones, so the order matters; but only rows that share an id, a
+    corrected id, or a person's key and near days within a scope can meet. Such rows are linked into
+    groups, each merged by itself: no scope is merged as a whole, and no person's rows over all years.
+    A group's rows are sorted by Spark; its task holds them once, and finds those kept by id and by
+    person and days.
     """
-    has = base.select("scope").distinct()
-    feed = feed.join(has, "scope", "left_semi").select("id", "place", "scope", "key", "age", "days", "corrects", F.lit(True).alias("feed"))
-    rows = base.select("id", "place", "scope", "key", "age", "days", F.lit(None).cast("string").alias("corrects"), F.lit(False).alias("feed")).unionByName(feed)
-    rows = rows.withColumn("row", F.struct("feed", "place"))
-    mark = lambda kind, c: F.concat_ws("\x01", F.col("scope").cast("string"), F.lit(kind), F.col(c).cast("string"))
-    tokens = F.array_compact(F.array(mark("i", "id"), mark("k", "key"), F.when(F.col("corrects").isNotNull(), mark("i", "corrects"))))
+    known = base.select("scope").distinct() if scopes is None else scopes.select("scope").distinct()
+    feed = feed.join(known, "scope", "left_semi")
+    extra = [payload] if payload else []
+    columns = ["scope", "id", "place", "key", "age", "days"]
+    rows = base.select(*columns, F.lit(None).cast("string").alias("corrects"), F.lit(False).alias("feed"), *extra)
+    rows = rows.unionByName(feed.select(*columns, F.col("corrects").cast("string").alias("corrects"), F.lit(True).alias("feed"), *extra))
+    scope = F.coalesce(F.col("scope").cast("string"), F.lit(""))
+    named = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\x01", F.lit("id"), scope, F.col(c).cast("string")))
+    bands = F.flatten(F.transform(F.coalesce("days", F.array().cast("array<int>")), lambda d: F.array(F.floor(d / (DAYS + 1)), F.floor(d / (DAYS + 1)) + 1)))
+    person = F.transform(bands, lambda b: F.concat_ws("\x01", F.lit("person"), scope, F.col("key"), b.cast("string")))
+    tokens = F.concat(F.array_compact(F.array(named("id"), named("corrects"))), F.coalesce(person, F.array().cast("array<string>")))
+    alone = F.array(F.concat_ws("\x01", F.lit("row"), scope, F.col("feed").cast("string"), F.col("place").cast("string")))
+    groups = linked(rows, F.when(F.size(tokens) > 0, tokens).otherwise(alone))
+    out = ["scope", "id", "place", "feed", *extra]
+    ordered = groups.select("group", *out, "key", "age", "days", "corrects").repartition("group").sortWithinPartitions("group", "feed", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, done = object(), [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["group"] != group:
-                    done += merged_group(held)
-                    group, held = r["group"], []
-                held.append(r)
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("id", "place", "feed")} for r in done], OUT)
-            done = []
-        yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("id", "place", "feed")} for r in merged_group(held)], OUT)
+        group, parts = None, []
 
-    groups = linked(rows, "row", tokens).select("group", "feed", "place", "id", "key", "age", "days", "corrects")
-    return groups.repartition("group").sortWithinPartitions("group", "feed", "place").mapInArrow(run, "id string, place long, feed boolean")
+        def done() -> list[pa.RecordBatch]:
+            whole = pa.Table.from_batches(parts)
+            told = zip(*(whole.column(c).to_pylist() for c in ("feed", "scope", "id", "key", "age", "days", "corrects")), strict=True)
+            return whole.select(out).take(pa.array(merged(told), pa.int64())).to_batches()
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if parts and keys[i] != group:
+                    yield from done()
+                    parts = []
+                group = keys[i]
+                parts.append(batch.slice(i, j - i))
+        if parts:
+            yield from done()
+
+    return ordered.mapInArrow(run, ordered.select(*out).schema)
+
+
+def merge_notices(base: DataFrame, feed: DataFrame, provinces: DataFrame) -> DataFrame:
+    """The notices of base (as feeds.flat has them) and the new ones of feed (as feeds.feed_rows has them), in their districts.
+
+    provinces: province and sourced, of each province whose scan gave a state to merge into. A feed notice
+    goes behind the rows of its own district, or of the general section if it names none; a province without
+    a source that gets one becomes sourced. Adds feed and sourced to base's columns.
+    """
+    fields = [c for c in base.columns if c not in ("province", "guncelleme", "section", "district", "district_no", "ordinal")]
+    key = [F.col("province").alias("scope"), "id", name_key(F.col("ad_soyad")).alias("key"), F.col("yas").alias("age"), notice_days(F.col("vefat_tarihi"), F.col("namaz_tarihi"), F.col("defin_zamani"), last=F.col("liste_tarihi")).alias("days")]
+    spot = F.struct("section", "district", F.col("ordinal").cast("long").alias("ordinal"))
+    row = lambda df: F.struct("guncelleme", "section", "district", F.col("ordinal").cast("long").alias("ordinal"), *(F.col(c) for c in fields)).alias("row")
+    named = F.nullif(F.col("ilce"), F.lit(""))
+    sent = feed.withColumns({"guncelleme": F.lit(None).cast("string"), "section": F.when(named.isNull(), 1).otherwise(0), "district": named})
+    place = lambda first: F.struct(F.lit(first).alias("first"), spot.alias("spot")).alias("place")
+    at_feed = F.struct(F.lit(1).alias("first"), F.struct(F.lit(0).alias("section"), F.lit(None).cast("string").alias("district"), F.col("ordinal").cast("long").alias("ordinal")).alias("spot")).alias("place")
+    own, more = written(base.select(*key, place(0), row(base)), "base"), written(sent.select(*key, at_feed, F.col("duzeltme_id").alias("corrects"), row(sent)), "feed")  # parsed once
+    found = greedy_merge(own, more, provinces.select(F.col("province").alias("scope")), "row")
+    found = written(found.select(F.col("scope").alias("province"), "feed", "row.*"), "merged")
+    fed = found.groupBy("province").agg(F.bool_or("feed").alias("_fed"))
+    ends = found.where("not feed").groupBy("province", "section", "district").agg((F.max("ordinal") + 1).alias("_end"))
+    ends = ends.select(F.col("province").alias("_p"), F.col("section").alias("_s"), F.col("district").alias("_d"), "_end")
+    same = (F.col("province") == F.col("_p")) & (F.col("section") == F.col("_s")) & F.col("district").eqNullSafe(F.col("_d"))
+    placed = found.join(ends, same, "left").withColumn("ordinal", F.when(F.col("feed"), F.coalesce("_end", F.lit(0)) + F.col("ordinal")).otherwise(F.col("ordinal"))).drop("_p", "_s", "_d", "_end")
+    state = provinces.join(fed, "province", "left").select("province", (F.col("sourced") | F.coalesce("_fed", F.lit(False))).alias("sourced"))
+    return placed.join(state, "province")
 
 
 def merge_batches(source: DataFrame, base_path: str, out_path: str) -> object:
-    """A streaming feed merged per batch with the base table; each batch's result is a folder of its own."""
+    """A stream of feed rows, each batch merged with the base table as it is then; a batch's result is a folder of its own."""
 
     def each(batch: DataFrame, n: int) -> None:
         base = batch.sparkSession.read.parquet(base_path)
         greedy_merge(base, batch).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
 
     return source.writeStream.foreachBatch(each)
-
-

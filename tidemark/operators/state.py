@@ -42,6 +42,15 @@ def insert_absent(saved: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return saved.unionByName(new.join(saved.select(key), key, "left_anti").select(*saved.columns))
 
 
+def upserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """stored with new's rows in place of its own of the same key."""
+    return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*stored.columns))
+
+
+def newest_first(added: str, tie: str) -> list[Column]:
+    return [F.col(added).desc_nulls_last(), F.col(tie)]
+
+
 def deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Every table without the keys that are gone."""
     return {name: t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}

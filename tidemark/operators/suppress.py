@@ -12,18 +12,20 @@ def excluded(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def hidden_flags(rows: DataFrame, provinces: list[str], districts: list[str], ids: list[str], province: str = "province", district: str = "district", key: str = "id") -> DataFrame:
+def hidden_flags(rows: DataFrame, provinces: list[str], districts: list[str], ids: list[str], province: str = "province", district: str = "district", key: str = "id", own: str = "ilce") -> DataFrame:
     """Adds hidden: by province or "province/district" (folded alike), or by an id, whole or after a dash.
 
-    The lists are settings of a few entries and become part of the plan.
+    A row of the general section (district null) is hidden by the district that it names itself, in
+    column `own` if rows have that. The lists are settings of a few entries and become part of the plan.
     """
+    named = F.coalesce(F.col(district), F.col(own)) if own in rows.columns else F.col(district)
     say = lambda x: slug(F.lit(x))
     pairs = [x.split("/", 1) for x in districts if "/" in x]
-    own, own_district, hit = slug(F.col(province)), slug(F.col(district)), F.lit(False)
+    at, at_district, hit = slug(F.col(province)), slug(named), F.lit(False)
     for p in provinces:
-        hit |= own == say(p)
+        hit |= at == say(p)
     for p, d in pairs:
-        hit |= F.coalesce((own == say(p)) & (own_district == say(d)), F.lit(False))
+        hit |= F.coalesce((at == say(p)) & (at_district == say(d)), F.lit(False))
     for i in ids:
         hit |= (F.col(key) == i) | F.endswith(F.col(key), F.lit(f"-{i}"))
     return rows.withColumn("hidden", F.coalesce(hit, F.lit(False)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import places as P
 from tidemark.functions import text as X
-from tidemark.operators import alerts, gender, listing, merge, people, state, suppress
+from tidemark.operators import alerts, gender, listing, merge, panel, people, state, suppress
 from tidemark.sources import feeds
 
 QUERIES, SQL = {}, {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _low(x: str) -> str:
-    return f"lower(translate({x}, 'Iİ', 'ıi'))"
+    return f"replace(lower(translate({x}, 'Iİ', 'ıi')), 'i\u0307', 'i')"
 
 
 def _up(x: str) -> str:
@@ -54,18 +54,24 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAY = "strftime(ts, '%Y-%m-%d')"
 
 
+PLACES = ["Ünye", "Çamaş", "Fatsa", "Iğdır", "İkizce"]
+
+
 @query(f"""
-    WITH e AS (SELECT event_id, event_type, CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 2 ELSE 1 END AS section_rank,
+    WITH r AS (SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'error' THEN 2 ELSE 1 END AS section_rank, event_type = 'error' OR (event_type = 'purchase' AND user_id % 7 = 0) AS general,
       coalesce(CASE WHEN user_id % 3 = 0 THEN {DAY} END, CASE WHEN user_id % 5 = 0 THEN strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') END,
-               CASE WHEN event_type = 'click' THEN strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') END, strftime(ts - INTERVAL 2 DAY, '%Y-%m-%d')) AS day FROM events)
+               CASE WHEN event_type = 'click' THEN strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') END, strftime(ts - INTERVAL 2 DAY, '%Y-%m-%d')) AS day FROM events),
+      e AS (SELECT *, CASE WHEN NOT general THEN {PLACES!r}[user_id % 5 + 1] END AS district FROM r)
     SELECT event_id, day, section_rank::BIGINT AS section_rank,
-      row_number() OVER (PARTITION BY day ORDER BY section_rank, CASE WHEN section_rank = 1 THEN {_key('event_type')} END, event_id)::BIGINT AS place FROM e""")
+      row_number() OVER (PARTITION BY day ORDER BY section_rank, general, {_key('district')}, event_id)::BIGINT AS place FROM e""")
 def day_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's listing in order: funeral day, section, district, input order."""
-    e, user = _events(spark, sf_dir), F.col("user_id")
+    """Each day's listing in order: funeral day; martyrs, districts, general; within these districts in order, general last; input order."""
+    e, user, kind = _events(spark, sf_dir), F.col("user_id"), F.col("event_type")
     burial = F.when(user % 5 == 0, D.add_days(F.col("day"), 1)).otherwise("after noon")
-    day = listing.funeral_day(F.when(user % 3 == 0, F.col("day")), burial, F.when(F.col("event_type") == "click", D.add_days(F.col("day"), -1)), D.add_days(F.col("day"), -2))
-    rows = e.select("event_id", day.alias("day"), (F.col("event_type") == "purchase").alias("martyr"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("section"), F.col("event_type").alias("district"))
+    day = listing.funeral_day(F.when(user % 3 == 0, F.col("day")), burial, F.when(kind == "click", D.add_days(F.col("day"), -1)), D.add_days(F.col("day"), -2))
+    general = (kind == "error") | ((kind == "purchase") & (user % 7 == 0))
+    district = F.when(~general, F.get(F.array(*map(F.lit, PLACES)), (user % 5).cast("int")))
+    rows = e.select("event_id", day.alias("day"), (kind == "purchase").alias("martyr"), F.when(general, 1).otherwise(0).alias("section"), district.alias("district"))
     return listing.ranked(rows, ["day"], ordinal="event_id").select("event_id", "day", F.col("section_rank").cast("long"), "place")
 
 
@@ -138,9 +144,10 @@ def new_since_morning(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c_custkey, (r_name = 'ASIA' OR (r_name = 'EUROPE' AND n_name = 'NATION_3') OR n_name || '-' || c_custkey = 'NATION_4-55' OR n_name || '-' || c_custkey LIKE '%-2') AS hidden
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def emergency_hide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row is of the general section and names its district itself."""
     places = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = _table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = rows.select("c_custkey", F.col("r_name").alias("province"), F.col("n_name").alias("district"), F.concat_ws("-", "n_name", F.col("c_custkey").cast("string")).alias("id"))
+    rows = rows.select("c_custkey", F.col("r_name").alias("province"), F.when(F.col("c_custkey") % 3 > 0, F.col("n_name")).alias("district"), F.col("n_name").alias("ilce"), F.concat_ws("-", "n_name", F.col("c_custkey").cast("string")).alias("id"))
     return suppress.hidden_flags(rows, ["Asia"], ["europe/Nation 3", "no place"], ["2", "NATION_4-55"]).select("c_custkey", "hidden")
 
 
@@ -168,16 +175,18 @@ def gender_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH a AS (SELECT DISTINCT user_id AS key, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') AS day FROM events WHERE event_type = 'signup'),
+    WITH a AS (SELECT DISTINCT user_id AS key, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d') AS before FROM events WHERE event_type = 'signup'
+               UNION ALL SELECT user_id, x.day, x.before FROM (SELECT DISTINCT user_id FROM events) u, (VALUES ('soon', 'soon'), ('2024-01-32', '2024-01-31'), ('', '')) x(day, before)),
          p AS (SELECT user_id AS key, {DAY} AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-         j AS (SELECT a.key, a.day, coalesce(o.n, 0)::BIGINT AS n_own, coalesce(b.n, 0)::BIGINT AS n_before, strftime(CAST(a.day AS DATE) - 1, '%Y-%m-%d') AS before FROM a
-               LEFT JOIN p o ON o.key = a.key AND o.day = a.day LEFT JOIN p b ON b.key = a.key AND b.day = strftime(CAST(a.day AS DATE) - 1, '%Y-%m-%d'))
+         j AS (SELECT a.key, a.day, a.before, coalesce(o.n, 0)::BIGINT AS n_own, coalesce(b.n, 0)::BIGINT AS n_before FROM a
+               LEFT JOIN p o ON o.key = a.key AND o.day = a.day LEFT JOIN p b ON b.key = a.key AND b.day = a.before)
     SELECT key, day, n_own, n_before, CASE WHEN n_own > 0 THEN day WHEN n_before > 0 THEN before END AS shown_day FROM j""")
 def yesterday_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days after sign-ups: the day's purchases, or else the day before's."""
+    """The days after sign-ups, a day that rolls over and texts that are no day: the day's purchases, or else the day before's."""
     e = _events(spark, sf_dir).withColumnRenamed("user_id", "key")
     asked = e.where("event_type = 'signup'").select("key", D.add_days(F.col("day"), 1).alias("day")).distinct()
-    return listing.with_yesterday(e.where("event_type = 'purchase'"), asked)
+    odd = e.select("key").distinct().select("key", F.explode(F.array(F.lit("soon"), F.lit("2024-01-32"), F.lit(""))).alias("day"))
+    return listing.with_yesterday(e.where("event_type = 'purchase'"), asked.unionByName(odd))
 
 
 @query(r"""
@@ -205,7 +214,7 @@ def attempt_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.lockout(e, "user_id", "at", "event_id", "ok", lock_s=21_600.0)
 
 
-CASED = "p_name || ' IİI.x ' || p_type || ' mez.'"
+CASED = "p_name || ' IİI.x i\u0307s ' || p_type || ' mez.'"
 
 
 @query(f"""
@@ -214,7 +223,7 @@ CASED = "p_name || ' IİI.x ' || p_type || ' mez.'"
       regexp_replace(array_to_string(list_transform(string_split({_low("regexp_replace(s, '[.]([^[:space:]0-9])', '. \\1', 'g')")}, ' '), lambda w: {_up('substr(w, 1, 1)')} || substr(w, 2)), ' '), '(^| )Mez[.]( |$)', '\\1Mezarlığı\\2', 'g') AS title,
       s || '’' || CASE WHEN regexp_matches(right(lower, 1), '[{X.VOICELESS}]') THEN 't' ELSE 'd' END || CASE WHEN regexp_matches(v, '[{X.FRONT}]') THEN 'e' ELSE 'a' END AS placed FROM l""")
 def text_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.concat("p_name", F.lit(" IİI.x "), "p_type", F.lit(" mez."))
+    s = F.concat("p_name", F.lit(" IİI.x i\u0307s "), "p_type", F.lit(" mez."))
     return _table(spark, sf_dir, "part").select("p_partkey", X.tr_lower(s).alias("lower"), X.tr_upper(s).alias("upper"), X.fold(s).alias("folded"), X.slug(s).alias("slug"), X.sentence_case(s).alias("sentence"), X.title_case(s).alias("title"), X.locative(s).alias("placed"))
 
 
@@ -287,11 +296,13 @@ def settings_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id ELSE event_type || '_' || strftime(ts, '%Y-%m-%d') END AS id, (props->>'$.k')::BIGINT AS yas, event_type = 'error' AS aile FROM events""")
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id ELSE event_type || '_' || strftime(ts, '%Y-%m-%d') END AS id, CASE WHEN event_id % 5 < 3 THEN (props->>'$.k')::BIGINT END AS yas, event_type = 'error' AS aile FROM events""")
 def notice_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON notices, read back through the whitelist: default id, number from text, strict flags."""
-    odd = F.col("event_id") % 2 == 1
-    raw = F.to_json(F.struct(F.when(~odd, F.concat(F.lit(" n"), F.col("event_id").cast("string"))).alias("id"), F.concat(F.lit(" "), "event_type").alias("ad_soyad"), F.col("day").alias("vefat_tarihi"), F.get_json_object("props", "$.k").alias("yas"), F.when(F.col("event_type") == "error", "aile").alias("kaynak_turu"), F.lit("secret").alias("telefon")))
+    """Events as JSON notices, read back through the whitelist: default id, ages as numbers (cut to whole ones) and as texts (whole ones only), strict flags."""
+    odd, k = F.col("event_id") % 2 == 1, F.get_json_object("props", "$.k")
+    told = F.to_json(F.struct(F.when(~odd, F.concat(F.lit(" n"), F.col("event_id").cast("string"))).alias("id"), F.concat(F.lit(" "), "event_type").alias("ad_soyad"), F.col("day").alias("vefat_tarihi"), F.when(F.col("event_type") == "error", "aile").alias("kaynak_turu"), F.lit("secret").alias("telefon")))
+    age = F.get(F.array(k, F.concat(k, F.lit(".9")), F.concat(F.lit('" '), k, F.lit('"')), F.concat(F.lit('"'), k, F.lit('.5"')), F.lit("true")), (F.col("event_id") % 5).cast("int"))
+    raw = F.concat(F.lit('{"yas": '), age, F.lit(", "), F.substr(told, F.lit(2)))
     n = feeds.notice(F.from_json(raw, feeds.NOTICE_IN))
     return _events(spark, sf_dir).select("event_id", n.alias("n")).select("event_id", "n.id", F.col("n.yas").cast("long").alias("yas"), "n.aile")
 
@@ -304,7 +315,49 @@ def alert_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, CASE WHEN event_type = 'view' THEN 'ok' WHEN event_type = 'click' AND value <= 50 THEN 'no_source' WHEN event_type = 'error' THEN CASE WHEN value > 50 THEN 'cached' ELSE 'offline' END ELSE 'transient' END AS status FROM events""")
+    SELECT event_id, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 10 = 0 THEN 'unverified' ELSE 'ok' END WHEN value > 50 THEN 'cached'
+      WHEN event_type = 'error' THEN 'offline' WHEN event_type = 'click' THEN 'no_source' ELSE 'failed' END AS status FROM events""")
 def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 404).when(F.col("event_type") != "error", 500)
-    return _table(spark, sf_dir, "events").select("event_id", feeds.scan_status(code, F.col("value") > 50).alias("status"))
+    return _table(spark, sf_dir, "events").select("event_id", feeds.scan_status(code, F.col("value") > 50, F.col("event_id") % 10 != 0).alias("status"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey, c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 <> 0),
+         o AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN n_name END AS n, r_name, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][s_suppkey % 5 + 1] AS g
+               FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT s_suppkey AS officer, c_custkey FROM c JOIN o ON c.r_name = o.r_name AND (o.n IS NULL OR o.n = c.n_name) AND c.c_mktsegment = o.g""")
+def officer_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as notices and suppliers as officers: who is shown which notices by their place."""
+    at = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c, s = _table(spark, sf_dir, "customer").join(at, F.col("c_nationkey") == F.col("n_nationkey")), _table(spark, sf_dir, "supplier").join(at, F.col("s_nationkey") == F.col("n_nationkey"))
+    prayer = F.concat(F.lit("Öğle-"), "c_mktsegment", F.lit(" CAMİİ"))
+    rows = c.select("c_custkey", F.col("r_name").alias("province"), F.col("n_name").alias("district"), F.lit(0).alias("section"), (F.col("c_custkey") % 5 == 0).alias("gorevli"), F.lit(False).alias("sehit"), prayer.alias("namaz_yeri_vakti"), F.lit(None).cast("string").alias("mahalle"))
+    place = F.concat(F.get(F.array(*map(F.lit, ("Automobile", "Building", "Furniture", "Household", "Machinery"))), (F.col("s_suppkey") % 5).cast("int")), F.lit(" Camii"))
+    officers = s.select(F.col("s_suppkey").alias("officer"), F.col("r_name").alias("il"), F.when(F.col("s_suppkey") % 2 == 0, X.tr_lower(F.col("n_name"))).alias("ilce"), place.alias("gorev_yeri"))
+    return panel.of_place(rows, officers).select("officer", "c_custkey")
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END ELSE o_orderstatus END AS o_orderstatus,
+      CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN 'set' WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders""")
+def form_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third order is patched: a field that is absent stays, one that is emptied in an edit goes."""
+    orders, k = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), F.col("o_orderkey")
+    forms = orders.where(k % 3 == 0).select("o_orderkey", F.when(k % 2 == 0, "new").alias("o_orderstatus"), F.when(k % 4 == 0, "set").alias("o_orderpriority"))
+    return panel.patched(orders, panel.patch(forms, ["o_orderstatus"], ["o_orderpriority"], k % 5 == 0), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query(r"""
+    SELECT p_partkey, length(p_name) - length(replace(p_name, ' ', '')) + 2 BETWEEN 2 AND 5 AS name_like, length(p_size || '' || p_partkey) = 4 AS code_like, p_name AS reported,
+      p_brand AS il, p_name AS ilce, CASE WHEN p_size % 2 = 0 THEN p_type || '|x' ELSE '' END AS place, p_size % 3 = 0 AS holds, p_size > 0 AND p_size < 20 AS outdated, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' Kıssadan hisse: ' || p_type END AS told FROM part""")
+def panel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, codes, ids, place records, consents, versions and morals as a panel checks them."""
+    c, even = F.col, F.col("p_size") % 2 == 0
+    at = panel.place_record(F.when(even, F.concat_ws("|", "p_brand", "p_name", "p_type", F.lit("x"))).otherwise(F.concat_ws("|", "p_brand", "p_name")))
+    said = F.concat(c("p_name"), F.lit(" Kıssadan hisse: "), c("p_type"))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", panel.name_fits(F.concat(F.lit(" "), c("p_name"), F.lit("  soyad "))).alias("name_like"), panel.code_fits(F.concat(c("p_size").cast("string"), c("p_partkey").cast("string"))).alias("code_like"),
+        panel.report_id(F.concat(F.when(even, "aile-").otherwise("gorevli-"), c("p_name"))).alias("reported"), at["il"].alias("il"), at["ilce"].alias("ilce"), at["gorev_yeri"].alias("place"),
+        panel.consent_holds(F.concat(c("p_brand"), F.when(c("p_size") % 3 == 0, "|").otherwise(":"), F.lit("2026-10-08")), c("p_brand")).alias("holds"), panel.must_update(c("p_size"), F.lit(20)).alias("outdated"),
+        panel.without_moral(said, F.when(even, c("p_type"))).alias("told"))

@@ -7,27 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from tidemark.functions.text import tr_upper, trimmed
+from tidemark.functions.text import bare, trimmed
 
-TEXT = "id ad_soyad il ilce mahalle vefat_tarihi defin_zamani defin_yeri namaz_yeri_vakti namaz_tarihi liste_tarihi cinsiyet rutbe toren gorev_yeri duzeltme_id kaynak_turu".split()
+#: The text fields and the flags of a notice that are read, in the source's order.
+TEXT = "id ad_soyad il ilce mahalle vefat_tarihi defin_yeri defin_zamani namaz_tarihi namaz_yeri_vakti liste_tarihi cinsiyet rutbe toren gorev_yeri duzeltme_id kaynak_turu".split()
 FLAGS = "sehit bebek aile gorevli".split()
 NOTICE_IN = T.StructType(
-    [T.StructField(n, T.StringType()) for n in (*TEXT, "yas")] + [T.StructField(n, T.BooleanType()) for n in FLAGS]
+    [T.StructField(n, T.StringType()) for n in TEXT] + [T.StructField("yas", T.VariantType())] + [T.StructField(n, T.BooleanType()) for n in FLAGS]
     + [T.StructField("il_disi_defin", T.StructType([T.StructField("il", T.StringType()), T.StructField("ilce", T.StringType())]))]
 )
 PROVINCE_IN = T.StructType([
-    T.StructField("il", T.StringType()), T.StructField("guncelleme", T.StringType()), T.StructField("ilceler", T.MapType(T.StringType(), T.ArrayType(NOTICE_IN))),
-    T.StructField("ilce_belirsiz", T.ArrayType(NOTICE_IN)), T.StructField("il_disi", T.ArrayType(NOTICE_IN)),
+    T.StructField("il", T.StringType()), T.StructField("guncelleme", T.StringType()), T.StructField("ilceler", T.MapType(T.StringType(), T.VariantType())),
+    T.StructField("ilce_belirsiz", T.VariantType()), T.StructField("il_disi", T.VariantType()),
 ])
-FEED_IN = T.StructType([T.StructField("il", T.StringType()), T.StructField("kayitlar", T.ArrayType(NOTICE_IN))])
-PERSON_IN = "ad string, vefat_tarihi string, dogum_tarihi string, vefat_yasi string, vefat_yasi_yaklasik boolean, wikidata_id string, sitelink long, turk boolean, meslek array<string>, neden_onemli string, aciklama string, aciklama_kaynak string, sira string"
+FEED_IN = T.StructType([T.StructField("il", T.StringType()), T.StructField("kayitlar", T.VariantType())])
+PERSON_IN = "ad string, vefat_tarihi string, dogum_tarihi string, vefat_yasi variant, vefat_yasi_yaklasik boolean, wikidata_id string, sitelink variant, sitelink_sayisi variant, turk boolean, meslek variant, neden_onemli string, aciklama string, aciklama_kaynak string, sira string"
 #: Spellings of gender that are accepted.
 GENDERS = {"Erkek": "e", "erkek": "e", "e": "e", "Kadın": "k", "kadın": "k", "k": "k"}
 
 
-def whole(c: Column) -> Column:
-    """An integer from a number, cut to it, or from text that is one; else null."""
-    return F.when(c.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$"), F.trim(c).try_cast("double").try_cast("int"))
+def whole(v: Column) -> Column:
+    """An integer from a JSON value: a number is cut to one, text must be one; anything else is null."""
+    kind = F.schema_of_variant(v)
+    text = bare(F.try_variant_get(v, "$", "string"))
+    spelled = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int")).when(text.rlike("^0[xX][0-9a-fA-F]{1,7}$"), F.conv(F.substr(text, F.lit(3)), 16, 10).try_cast("int"))
+    number = F.try_variant_get(v, "$", "double").try_cast("int")
+    return F.when(kind == "STRING", spelled).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL")), number)
+
+
+def professions(v: Column) -> Column:
+    """A list of texts from a JSON list, or from text with commas; else none."""
+    text, many = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "array<string>")
+    return F.when(F.schema_of_variant(v) == "STRING", F.split(text, ",")).otherwise(F.coalesce(many, F.array().cast("array<string>")))
 
 
 def notice(n: Column) -> Column:
@@ -44,16 +55,22 @@ def notice(n: Column) -> Column:
     return F.struct(key.alias("id"), *texts, gender.alias("cinsiyet"), whole(n["yas"]).alias("yas"), *(c.alias(f) for f, c in flags.items()), *away)
 
 
+def raw_notices(v: Column) -> Column:
+    """The objects of a JSON list, by the fields that are read; what is no list is an empty one, what is no object is left out."""
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.from_json(F.lit("[]"), "array<variant>"))
+    objects = F.filter(items, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+    return F.transform(objects, lambda x: F.from_json(F.to_json(x), NOTICE_IN))
+
+
 def flat(provinces: DataFrame) -> DataFrame:
-    """A row per notice: il, section (0 districts, 1 general), district, ordinal, and the notice's fields."""
-    none = F.array().cast(T.ArrayType(NOTICE_IN))
-    general = F.concat(F.coalesce("ilce_belirsiz", none), F.coalesce("il_disi", none))
+    """A row per notice: province, section (0 districts, 1 general), district and its number, ordinal, and the notice's fields."""
+    general = F.concat(raw_notices(F.col("ilce_belirsiz")), raw_notices(F.col("il_disi")))
     sections = [
-        provinces.select("il", "guncelleme", F.explode("ilceler").alias("district", "list")).select("il", "guncelleme", F.lit(0).alias("section"), "district", F.posexplode("list").alias("ordinal", "n")),
-        provinces.select("il", "guncelleme", F.lit(1).alias("section"), F.lit(None).cast("string").alias("district"), F.posexplode(general).alias("ordinal", "n")),
+        provinces.select("il", "guncelleme", F.posexplode("ilceler").alias("district_no", "district", "list")).select("il", "guncelleme", F.lit(0).alias("section"), "district", "district_no", F.posexplode(raw_notices(F.col("list"))).alias("ordinal", "n")),
+        provinces.select("il", "guncelleme", F.lit(1).alias("section"), F.lit(None).cast("string").alias("district"), F.lit(None).cast("int").alias("district_no"), F.posexplode(general).alias("ordinal", "n")),
     ]
     rows = sections[0].unionByName(sections[1]).where("n is not null").withColumn("n", notice(F.col("n")))
-    return rows.where("n.ad_soyad is not null").select(F.col("il").alias("province"), "guncelleme", "section", "district", "ordinal", "n.*")
+    return rows.where("n.ad_soyad is not null").select(F.col("il").alias("province"), "guncelleme", "section", "district", "district_no", "ordinal", "n.*")
 
 
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -76,7 +93,7 @@ def read_feed(spark: SparkSession, path: str, today: str) -> DataFrame:
 
 def feed_rows(raw: DataFrame, today: str) -> DataFrame:
     """Rows with an id and both days, whose prayer day is from today less 7 to today plus 2; ids are marked."""
-    rows = raw.select(F.col("il").alias("province"), F.posexplode("kayitlar").alias("ordinal", "raw")).where("raw is not null")
+    rows = raw.select(F.col("il").alias("province"), F.posexplode(raw_notices(F.col("kayitlar"))).alias("ordinal", "raw")).where("raw is not null")
     iso = r"^\d{4}-\d{2}-\d{2}"
     low, high = (F.date_format(F.date_add(F.to_date(F.lit(today)), d), "yyyy-MM-dd") for d in (-7, 2))
     rows = rows.where(F.col("raw.namaz_tarihi").rlike(iso) & F.col("raw.vefat_tarihi").rlike(iso) & F.col("raw.namaz_tarihi").between(low, high) & (F.col("raw.id") != ""))
@@ -88,7 +105,9 @@ def feed_rows(raw: DataFrame, today: str) -> DataFrame:
 def read_people(spark: SparkSession, path: str) -> DataFrame:
     """People with the name of their file (a category, or MM-DD), which rules over the day in the record."""
     rows = spark.read.schema(PERSON_IN).option("multiLine", True).json(path)
-    return rows.withColumn("file", F.regexp_extract("_metadata.file_name", r"([^/]+)\.json$", 1)).withColumn("vefat_yasi", whole(F.col("vefat_yasi")))
+    links = F.coalesce(F.when(~F.is_variant_null("sitelink"), F.col("sitelink")), F.col("sitelink_sayisi"))
+    read = {"file": F.regexp_extract("_metadata.file_name", r"([^/]+)\.json$", 1), "vefat_yasi": whole(F.col("vefat_yasi")), "sitelink": F.coalesce(whole(links), F.lit(0)), "meslek": professions(F.col("meslek"))}
+    return rows.withColumns(read).drop("sitelink_sayisi")
 
 
 def read_prayer_times(spark: SparkSession, path: str) -> DataFrame:
@@ -108,8 +127,28 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_json(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys and the rest of a row as one JSON text."""
-    return rows.select(*keys, F.to_json(F.struct(*(c for c in rows.columns if c not in keys))).alias("json"))
+    """keys and a notice as one JSON text of the whitelist's fields, the burial elsewhere as an object (null if it names no province)."""
+    away = F.when(F.col("defin_il").isNotNull(), F.struct(F.col("defin_il").alias("il"), F.col("defin_ilce").alias("ilce")))
+    fields = [c for c in rows.columns if c in {*TEXT, *FLAGS, "yas"}]
+    return rows.select(*keys, F.to_json(F.struct(*fields, away.alias("il_disi_defin"))).alias("json"))
+
+
+SETTINGS_IN = "yazilar map<string,string>, kaliplar map<string,string>, listeler map<string,array<string>>, haritalar map<string,map<string,string>>, bayraklar map<string,boolean>, sayilar map<string,double>, acil_gizle struct<il: array<string>, ilce: array<string>, id: array<string>>"
+#: Flags that may also stand beside the sections.
+LOOSE_FLAGS = ("ilce_sayfasinda_il_geneli", "bugun_bossa_dunu_goster")
+
+
+def read_settings(spark: SparkSession, path: str) -> DataFrame:
+    """One row of settings by section; what a section doesn't have is an empty map or list, and loose flags join theirs unless named there."""
+    loose = ", ".join(f"{name} boolean" for name in LOOSE_FLAGS)
+    raw = _json(spark, path, f"{SETTINGS_IN}, {loose}")
+    sections = T.StructType.fromDDL(SETTINGS_IN)
+    out = {f.name: F.coalesce(f.name, F.from_json(F.lit("{}"), f.dataType)) for f in sections if f.name != "acil_gizle"}
+    flags = out["bayraklar"]
+    for name in LOOSE_FLAGS:
+        flags = F.when(F.col(name).isNotNull() & ~F.map_contains_key(out["bayraklar"], name), F.map_concat(flags, F.create_map(F.lit(name), F.col(name)))).otherwise(flags)
+    hide = F.struct(*(F.coalesce(F.col(f"acil_gizle.{k}"), F.array().cast("array<string>")).alias(k) for k in ("il", "ilce", "id")))
+    return raw.select(*((flags if k == "bayraklar" else c).alias(k) for k, c in out.items()), hide.alias("acil_gizle"))
 
 
 def overlaid(defaults: Column, remote: Column) -> Column:
@@ -118,14 +157,20 @@ def overlaid(defaults: Column, remote: Column) -> Column:
     return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.array_contains(keys, k) | remote.isNull()), F.coalesce(remote, F.map_filter(defaults, lambda k, _: F.lit(False))))
 
 
-def scan_status(code: Column, cached: Column) -> Column:
-    """How a scan went: ok, no_source, or transient; a 404 after a good read is transient."""
-    return F.when(code == 200, "ok").when((code == 404) & ~cached, "no_source").when(code.isNull(), F.when(cached, "cached").otherwise("offline")).otherwise("transient")
+def scan_status(code: Column, cached: Column, verified: Column | None = None) -> Column:
+    """How a scan went: ok, unverified, cached, no_source, offline or failed.
 
+    An answer of 200 is ok, or unverified if it doesn't hold; after any other (null: no answer) an earlier copy is shown
+    if there is one, else 404 says that the province has no source, no answer that there's no connection.
+    """
+    good = F.lit(True) if verified is None else verified
+    return F.when(code == 200, F.when(good, "ok").otherwise("unverified")).when(cached, "cached").when(code.isNull(), "offline").when(code == 404, "no_source").otherwise("failed")
 
-def freshness(updated: Column, cached_ms: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(updated), F.timestamp_millis(cached_ms))
 
+def current_only(rows: DataFrame, scope: str, wanted: str) -> DataFrame:
+    """Answers for the scope that is wanted now; one that was asked for before is stale."""
+    return rows.where(F.col(scope) == wanted)
 
-def sentence(c: Column) -> Column:
-    return F.concat(tr_upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
+
+def freshness(updated: Column, cached_ms: Column) -> Column:
+    return F.coalesce(F.try_to_timestamp(updated), F.timestamp_millis(cached_ms))
