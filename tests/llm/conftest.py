@@ -12,7 +12,7 @@ def spark():
     yield session
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, size string, fp string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, size string, fp string, _hash binary, _junk int, _kept string, _size int, _row int, row int, m map<string,int>"
 
 
 @pytest.fixture(scope="session")
@@ -31,7 +31,7 @@ def odd(spark):
         (7, "w" * 70_000 + " tail", "en", "c", 70_005, None, None, None),
         (8, "one two three four five six " * 6_000, "en", "a", 1, None, None, None),
     ]
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, b"h", 7, "k", k, k, k, {"a": k}) for k, r in enumerate(rows)], DOCS)
 
 
 @pytest.fixture(scope="session")

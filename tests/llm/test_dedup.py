@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import near, simhash
 from tidemark.llm.common import components
 from tidemark.llm.exact_dedup import exact_dedup, exact_groups
 
@@ -28,7 +28,10 @@ def test_exact_groups_against_brute_force(spark, small, odd):
         assert sorted(r.text_sha256 for r in got if r.kept) == sorted(keep)
         stay = exact_dedup(docs)
         assert stay.columns == docs.columns
-        assert sorted(az(r.text) for r in stay.collect()) == sorted(groups)
+        found = stay.collect()
+        assert sorted(az(r.text) for r in found) == sorted(groups)
+        whole = [str(r) for r in docs.collect()]
+        assert all(str(r) in whole for r in found)  # extra columns come back as they were
 
 
 def test_empty_tables(empty):
@@ -57,6 +60,24 @@ def brute_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
+def staying(docs, rows, roots):
+    """Of each component the row with the least id, as text; rows that tie in id are equal in the fixtures, or their texts are copies."""
+    best = {}
+    for whole, r, k in zip(docs.collect(), rows, roots, strict=True):
+        rank = (r.doc_id is None, r.doc_id or 0)
+        if k not in best or rank < best[k][0]:
+            best[k] = (rank, str(whole))
+    return [text for _, text in best.values()]
+
+
+def test_repeated_ids_and_rows_leave_one_row(spark):
+    t, u = "alpha beta gamma delta epsilon zeta " * 20, "one two three four five six " * 20
+    docs = spark.createDataFrame([(3, t), (5, t), (5, "another text altogether"), (7, u), (7, u), (None, t), (None, "only without an id"), (None, "only without an id")], "doc_id long, text string")
+    want = sorted([(3, t), (5, "another text altogether"), (7, u), (None, "only without an id")], key=str)
+    for dedup in (simhash.near_dedup, near.near_dedup):
+        assert sorted(map(tuple, dedup(docs).collect()), key=str) == want
+
+
 def test_simhash_against_brute_force(spark, small, odd):
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd):
         rows = docs.select("doc_id", "text").collect()
@@ -67,7 +88,7 @@ def test_simhash_against_brute_force(spark, small, odd):
         want = sorted(((r.doc_id, f"{x:016x}", min((i for i in parts[p] if i is not None), default=None)) for r, x, p in zip(rows, prints, brute_components(prints), strict=True)), key=str)
         got = simhash.near_groups(docs)
         assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()), key=str) == want
-        assert simhash.near_dedup(docs).columns == docs.columns
+        assert sorted(map(str, simhash.near_dedup(docs).collect())) == sorted(staying(docs, rows, brute_components(prints)))
 
 
 def test_spark_hash_is_the_one_used(spark):

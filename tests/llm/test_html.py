@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -80,3 +81,25 @@ def test_odd_pages(spark):
     assert next(r for r in got if r.page_id == 4).n_chars == 60_000 * 11 - 1
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert features(blocks("")).shape[0] == 1
+
+
+def test_parsing_takes_time_in_proportion():
+    n = 100_000
+    for source in ("<b>" * n + "</i>" * n, "<i>" * n + "<b>" * n + "</i>" * n, "<p><table><tr><td>" + "<b>" * n + "<div>" * n, "<div>" * n + "</div>" * n, "<p>x" * n):
+        began = time.process_time()
+        blocks(source)
+        assert time.process_time() - began < 8
+
+
+@pytest.mark.parametrize("name", ["button", "object", "noscript", "canvas", "select", "svg", "template", "video", "math", "datalist"])
+def test_an_element_left_open_hides_no_article(name):
+    prose = "The river rose in the night and the town woke to water in its streets. " * 4
+    source = f"<html><body><div class='menu'><{name}><p>OK</div><article><h1>Flood</h1><p>{prose}</p><p>{prose}</p></article></body></html>"
+    assert prose.strip() in text_of(source)
+
+
+def test_text_of_formulas_buttons_and_noscript_stays():
+    prose = "The lake is cold, and nobody swims there before the end of May. " * 4
+    source = f"<html><body><article><h1>Cold</h1><p>{prose}</p><p>We have <math><mi>x</mi> = <mn>2</mn></math> as result.</p><noscript><p>{prose}</p></noscript><p>{prose} Press <button>OK</button> to go.</p></article></body></html>"
+    got = text_of(source)
+    assert "We have x = 2 as result." in got and got.count("nobody swims") == 12 and "Press OK to go." in got

@@ -100,3 +100,128 @@ def test_every_byte_of_a_long_word_is_scored():
 def test_a_short_last_piece_has_grams():
     for n in range(36, 130):
         assert all(grams for _, grams in map(toxicity.hashed, toxicity.pieces([b"x" * n])))
+
+
+def plain_score(p, text):
+    """A text's score from the network's numbers, a word and a number at a time."""
+    words, best = text.lower().split(), None
+    size = len(p["cf"]) // 3
+    for a in range(0, max(1, len(words) - 16), 16) if words else ():
+        xs = []
+        for word in words[a : a + 32]:
+            bare = word.strip(b".,;:!?()\"'") or word
+            padded = b"^" + bare + b"$"
+            grams = [zlib.crc32(padded[i : i + 3]) % (1 << 12) for i in range(max(1, len(padded) - 2))] + [zlib.crc32(padded[:5]) % (1 << 12)]
+            xs.append(p["word"][zlib.crc32(bare) % (1 << 15)] + sum(p["char"][g] for g in grams) / len(grams))
+        states = {}
+        for d, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+            h = np.zeros(size)
+            for t in order:
+                g, r = xs[t] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+                z, s = 1 / (1 + np.exp(-(g[:size] + r[:size]))), 1 / (1 + np.exp(-(g[size : 2 * size] + r[size : 2 * size])))
+                n = np.tanh(g[2 * size :] + s * r[2 * size :])
+                h = (1 - z) * n + z * h
+                states.setdefault(t, {})[d] = h
+        both = [np.concatenate([states[t]["f"], states[t]["b"]]) for t in range(len(xs))]
+        weight = np.exp([np.tanh(x) @ p["v"] for x in both])
+        logit = sum(w * x for w, x in zip(weight / weight.sum(), both, strict=True)) @ p["o"] + p["b"][0]
+        best = logit if best is None else max(best, logit)
+    return 1 / (1 + np.exp(-best)) if words else 0.0
+
+
+def test_scores_against_a_plain_forward_pass():
+    rng = np.random.default_rng(8)
+    net = toxicity.train([b"good kind words here".split(), b"bad foul words there!".split()] * 4, [0, 1] * 4, epochs=3)
+    texts = [b" ".join(rng.choice([b"good", b"Foul,", b"(words)", b"x", b"damn", b"\xc3\xa9t\xc3\xa9", b"..."], n).tolist()) for n in (0, 1, 5, 31, 32, 33, 48, 49, 100, 200)]
+    got = toxicity.Scorer(net).scores([t.lower().split() for t in texts])
+    assert np.allclose(got, [plain_score(net.p, t) for t in texts], atol=1e-5)
+
+
+def test_every_window_teaches_or_is_looked_at(monkeypatch):
+    """In the first epochs each window of a text is stepped on, later each is scored to find the highest."""
+    seen = {"step": 0, "logits": 0}
+
+    def counted(name, place):
+        old = getattr(toxicity.Network, name)
+
+        def new(self, *args):
+            seen[name] += args[place].shape[1]
+            return old(self, *args)
+
+        monkeypatch.setattr(toxicity.Network, name, new)
+
+    counted("step", 1)
+    counted("logits", 1)
+    texts = [[b"w%d" % (i % 60) for i in range(n)] for n in (5, 40, 2000, 3000)]
+    windows = sum(len(toxicity.starts(len(t))) for t in texts)
+    assert windows > 300
+    toxicity.train(texts, [0, 1, 0, 1], epochs=5)
+    assert seen == {"step": toxicity.WHOLE * windows + 3 * (2 + 2 * 2), "logits": 3 * windows}
+
+
+def test_weak_posteriors_against_a_plain_em():
+    """Document by document, and labeller by labeller, with the same starting point and counts added."""
+    rng, m = np.random.default_rng(4), len(quality.LABELLERS)
+    votes = rng.choice(3, (300, m), p=[0.3, 0.55, 0.15])
+    p = [0.9 if 2 in v else 0.05 for v in votes]
+    for _ in range(200):
+        rates = {}
+        for junk in (0, 1):
+            for j in range(m):
+                weight = [q if junk else 1 - q for q in p]
+                fine, bad = (sum(w for w, v in zip(weight, votes, strict=True) if v[j] == k) + add for k, add in ((1, 1.0 if junk else 9.0), (2, 1.0)))
+                rates[junk, j] = {1: fine / (fine + bad), 2: bad / (fine + bad)}
+        share = min(0.5, max(1e-4, sum(p) / len(p)))
+        new = []
+        for v in votes:
+            odds = share / (1 - share)
+            for j in range(m):
+                if v[j]:
+                    odds *= rates[1, j][v[j]] / rates[0, j][v[j]]
+            new.append(odds / (1 + odds))
+        p = new
+    patterns, keys = {}, [sum(int(v[j]) * 3 ** (m - 1 - j) for j in range(m)) for v in votes]
+    for k in keys:
+        patterns[k] = patterns.get(k, 0) + 1
+    got = quality.weak_labels(patterns)
+    assert np.allclose([got[k] for k in keys], p, atol=1e-4)
+
+
+def plain_shares(text):
+    """The labellers' shares of a text, told one by one."""
+    words = text.split()
+    n, odd = len(words), lambda c: not c.isalnum()
+    capital = sum(len([c for c in w if c.isalpha()]) > 1 and all(c.isupper() for c in w if c.isalpha()) for w in words)
+    lags = [sum(words[i] == words[i - k] for i in range(k, n)) / n for k in (1, 2, 3)]
+    return [lags[0], capital / n, sum(map(odd, "".join(words))) / len("".join(words)), sum(any(odd(a) and odd(b) for a, b in zip(w, w[1:], strict=False)) for w in words) / n, sum(all(map(odd, w)) for w in words) / n, max(words.count(w) for w in set(words)) / n, sum(lags)]
+
+
+def test_votes_and_scores_against_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    weights, posterior = quality.fit(docs)
+    got = {r.doc_id: r for r in quality.scored(docs).collect()}
+    for r in docs.collect():
+        if not (r.text or "").split():
+            continue
+        shares, n = plain_shares(r.text), len(r.text.split())
+        pattern = 0
+        for (_, junk, fine, least), share in zip(quality.LABELLERS, shares, strict=True):
+            pattern = pattern * 3 + (0 if n < least else 2 if share > junk else 1 if share < fine else 0)
+        odds = weights[-1] + sum(weights[quality.bucket("share " + x[0])] * s for x, s in zip(quality.LABELLERS, shares, strict=True))
+        odds += sum(weights[quality.Words.described(w)[0]] for w in r.text.split()) / n
+        assert abs(got[r.doc_id]._weak - posterior[pattern]) < 1e-9
+        assert abs(got[r.doc_id]._junk - 1 / (1 + np.exp(-odds))) < 1e-6 and got[r.doc_id]._kept == (got[r.doc_id]._junk < quality.CUT)
+
+
+def test_training_steps_downhill():
+    """The scorer's loss falls, and its weights tell planted features."""
+    rng = np.random.default_rng(3)
+    rows = [np.array([k % 2, 2 + int(rng.integers(20))]) for k in range(400)]
+    labels = np.array([0.95 if k % 2 else 0.05 for k in range(400)])
+    weights = quality.train(rows, [np.ones(2)] * 400, labels)
+    chance = [1 / (1 + np.exp(-(weights[r].sum() + weights[-1]))) for r in rows]
+    assert min(chance[1::2]) > 0.8 and max(chance[::2]) < 0.2
+
+
+def test_a_long_words_whole_shape_counts():
+    assert quality.Words.described("a1" * 9 + "!?")[0] != quality.Words.described("a1" * 9 + "?!")[0]

@@ -12,7 +12,6 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 def check_packed(rows, docs, capacity=1024):
     tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
     want = []
     for r in docs.collect():
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -130,3 +129,25 @@ def test_takes_of_rows_with_null_or_repeated_ids_are_the_planned_ones(spark):
         goal = next(r.target for r in planned if r.source == source)
         assert words == sum(r.taken for r in planned if r.source == source) and abs(words - goal) <= 6
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed(docs.repartition(5), share=0.5).collect()))
+
+
+def test_ids_are_the_librarys_own_special_tokens_included():
+    rng = random.Random(12)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "a", "Bc", " ", "  ", "\n", "\t x", "é", "中文", "\u00a0", "don't", "12", "...", "x" * 70, "ẞ", "\u0301"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        library, mine = Tokenizer.from_file(path), Encoder(path)
+        for _ in range(3000):
+            text = "".join(rng.choice(bits) for _ in range(rng.randrange(9)))
+            assert mine.ids(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids), (name, text)
+
+
+def test_mixed_takes_every_equal_row_by_itself(spark):
+    docs = spark.createDataFrame([(None, "s", "one two three", k % 2) for k in range(10)] + [(k, "t", "word " * (k + 1), 0) for k in range(6)], "doc_id long, source string, text string, _size int")
+    rows = mixing.mixed(docs)
+    assert rows.columns == docs.columns and {r._size for r in rows.where("source = 's'").collect()} <= {0, 1}
+    plan = mixing.mix(docs).collect()
+    for source, words in (("s", 3), ("t", None)):
+        took = sum(len(r.text.split()) for r in rows.where(f"source = '{source}'").collect())
+        assert took == sum(r.taken for r in plan if (r.doc_id is None) == (source == "s"))
+        assert abs(took - next(r.target for r in plan if (r.doc_id is None) == (source == "s"))) <= (words or 6)

@@ -3,7 +3,8 @@ from collections import Counter
 import corpus_pipeline
 from tidemark.llm import mixing, quality
 
-from test_dedup import az, brute_components, brute_print
+from test_dedup import az
+from test_near import brute
 from test_packing_mixing import check_packed
 
 
@@ -27,7 +28,7 @@ def test_stages_against_brute_force(spark, small):
     assert docs.columns == columns and sorted(r.doc_id for r in docs.collect()) == sorted(last.values())
 
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
-    roots = brute_components([brute_print(r.text) for r in rows])
+    roots = brute([r.text for r in rows])[1]
     first = {}
     for r, k in zip(rows, roots, strict=True):
         first.setdefault(k, r.doc_id)

@@ -9,7 +9,8 @@ The fingerprint string is the root, then for each leaf its digest and its length
 tree is rebuilt from it without the text. Likeness of two fingerprints is the share of code points
 in leaves that both have (each as often as both have it), of the longer text's code points; 1 for
 equal roots. Defined cases: null text is empty and two empty texts are equal; repeated ids are
-ordered by a hash of the text; null ids come first; an empty table gives an empty result.
+ordered by a hash of the text; null ids come first; texts of any length are read whole; extra columns play
+no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,26 +126,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(docs: DataFrame, rows_per_range: int = 4000, most_ranges: int = 50_000) -> DataFrame:
     """Every row's fingerprint against its edited text's and the next row's, by ascending id.
 
-    Ranges are cut at id quantiles, read from the ids alone; a range's least row also goes, marked as
-    a copy, to the range before it (the first's to the last), so that no range waits for another.
-    The driver holds one row per range, at most most_ranges; ranges are sorted by Spark, which spills.
+    Ranges are cut at id quantiles, read from the ids alone. An id (or null) that has more rows than a range
+    is a range by itself, cut on by the hash that orders its rows. A range's least row also goes, marked as a
+    copy, to the range before it (the first's to the last), so that no range waits for another. The driver
+    holds a row for each range, some most_ranges at most (so ranges grow from that many times rows_per_range
+    rows on); ranges are sorted by Spark, which spills, and read as they come.
     """
     from pyspark.ml.feature import Bucketizer
 
-    ids = docs.select(F.col("doc_id").cast("double").alias("_id"))
-    n = min(most_ranges, -(-ids.count() // rows_per_range))
-    cuts = sorted(set(ids.approxQuantile("_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    dealer = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="_id", outputCol="_bucket", handleInvalid="keep")
-    order = ["doc_id", "_tie"]
+    spark, ids = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("_i"))
+    total = ids.count()
+    each = max(rows_per_range, -(-total // most_ranges))
+    n = -(-total // each)
+    cuts = set(ids.select(F.col("_i").cast("double").alias("_i")).approxQuantile("_i", [i / n for i in range(1, n)], 0.2 / n)) if n > 1 else set()
+    heavy = [(r["_i"], -(-r["n"] // each)) for r in ids.groupBy("_i").agg(F.count("*").alias("n")).where(F.col("n") > each).collect() if r["_i"] is None or abs(r["_i"]) < 2**53]
+    cuts |= {float(i + k) for i, _ in heavy if i is not None for k in (0, 1)}
+    dealer = Bucketizer(splits=[float("-inf"), *(sorted(cuts) or [0.0]), float("inf")], inputCol="_id", outputCol="_bucket", handleInvalid="keep")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("doc_id").cast("double").alias("_id"))
     dealt_to = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_bucket").cast("int") + 1)
-    rows = dealer.transform(rows).select(*["doc_id", "text"], F.xxhash64("text").alias("_tie"), dealt_to.alias("_range"))
+    rows = dealer.transform(rows).select("doc_id", "text", F.xxhash64("text").alias("_tie"), dealt_to.alias("_bucket"))
+    parts = spark.createDataFrame(heavy, "_h long, _parts int")
+    rows = rows.join(F.broadcast(parts), F.col("doc_id").eqNullSafe(F.col("_h")), "left")  # at most a row for each range
+    part = F.floor((F.col("_tie").cast("double") / 2.0**64 + 0.5) * F.col("_parts"))  # in the order of _tie
+    rows = rows.withColumn("_part", F.coalesce(F.least(part, F.col("_parts") - 1), F.lit(0)).cast("int")).drop("_h", "_parts")
     least = F.min(F.struct("doc_id", "_tie")).alias("x")  # nulls are least
-    firsts = sorted((r["_range"], r["x"]["doc_id"], r["x"]["_tie"]) for r in rows.groupBy("_range").agg(least).collect())
+    firsts = sorted((r["_bucket"], r["_part"], r["x"]["doc_id"], r["x"]["_tie"]) for r in rows.groupBy("_bucket", "_part").agg(least).collect())
     if not firsts:
-        return docs.sparkSession.createDataFrame([], RESULT)
-    heads = docs.sparkSession.createDataFrame([(r, d, t, firsts[i - 1][0]) for i, (r, d, t) in enumerate(firsts)], "_r int, _d long, _t long, _before int")
-    at_head = (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t"))
-    copies = rows.join(F.broadcast(heads), at_head).dropDuplicates(["_range"]).select("doc_id", "text", "_tie", F.col("_before").alias("_range"), F.lit(False).alias("_own"))
-    dealt = rows.withColumn("_own", F.lit(True)).unionByName(copies).repartitionById(firsts[-1][0] + 1, F.col("_range"))
-    return dealt.sortWithinPartitions(F.desc("_own"), *order).select("doc_id", "text", "_own").mapInArrow(_compare, RESULT)
+        return spark.createDataFrame([], RESULT)
+    heads = spark.createDataFrame([(b, p, d, t, i, (i - 1) % len(firsts)) for i, (b, p, d, t) in enumerate(firsts)], "_b int, _p int, _d long, _t long, _range int, _before int")
+    ranged = rows.join(F.broadcast(heads), (F.col("_bucket") == F.col("_b")) & (F.col("_part") == F.col("_p")))
+    at_head = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t"))
+    copies = ranged.where(at_head).dropDuplicates(["_range"]).select("doc_id", "text", "_tie", F.col("_before").alias("_range"), F.lit(False).alias("_own"))
+    dealt = ranged.select("doc_id", "text", "_tie", "_range", F.lit(True).alias("_own")).unionByName(copies).repartitionById(len(firsts), F.col("_range"))
+    return dealt.sortWithinPartitions(F.desc("_own"), "doc_id", "_tie").select("doc_id", "text", "_own").mapInArrow(_compare, RESULT)
