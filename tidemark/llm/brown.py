@@ -374,9 +374,8 @@ class Rounds:
         return False
 
     def over(self) -> bool:
-        """Whether the last rounds in which every unit could move gained little, or no part's moves gain any more."""
-        last = self.parts + 1
-        return self.parts > 8 or len(self.reached) >= last and self.reached[-1] - self.reached[-last] < GAIN * self.tokens
+        """Whether the last round gained little, or even a small part's moves lose."""
+        return self.parts > 8 or len(self.reached) > 1 and self.reached[-1] - self.reached[-2] < GAIN * self.tokens
 
     def movers(self, mixed: np.ndarray) -> np.ndarray:
         """Of units numbered at random, those of this turn."""
