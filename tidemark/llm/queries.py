@@ -77,7 +77,19 @@ def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op7_html_extraction, op8_simhash_near_dedup, op9_toxicity, op10_merkle_fingerprints)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op7_html_extraction, op8_simhash_near_dedup, op9_toxicity, op10_merkle_fingerprints, op11_embedding_whitening, op12_benchmark_decontamination)}
 
 SQL = {
     "op1_exact_dedup": """
@@ -85,4 +97,15 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)""",
+    "op12_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+             b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+             i AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS a FROM b WHERE len(ws) > 0),
+             w AS (SELECT DISTINCT item_id, ws[a:a + 9] AS win, len(ws[a:a + 9]) AS l FROM i),
+             p AS (SELECT doc_id, l, ws, unnest(range(1, len(ws) - l + 2)) AS a FROM d, (SELECT DISTINCT l FROM w) WHERE len(ws) >= l),
+             m AS (SELECT doc_id, a, p.l, item_id FROM p JOIN w ON p.l = w.l AND p.ws[a:a + p.l - 1] = w.win),
+             h AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(a, a + l)) AS at FROM m) GROUP BY 1),
+             t AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY 1)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
