@@ -89,7 +89,13 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op7_html_extraction, op8_simhash_near_dedup, op9_toxicity, op10_merkle_fingerprints, op11_embedding_whitening, op12_benchmark_decontamination)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_token_files, op4_source_mixing, op5_brown_lm, op6_quality_classifier, op7_html_extraction, op8_simhash_near_dedup, op9_toxicity, op10_merkle_fingerprints, op11_embedding_whitening, op12_benchmark_decontamination, op13_source_divergence)}
 
 SQL = {
     "op1_exact_dedup": """
@@ -108,4 +114,23 @@ SQL = {
              t AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY 1)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_split_to_array(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+             o AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+             k AS (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+             v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL),
+             t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+             p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * v.v) AS p
+                   FROM t JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+             l AS (SELECT lang, sum(total) AS total FROM t GROUP BY 1),
+             q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(l.total) + 5 * any_value(v.v)) AS q FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+             s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                     LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                   UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+             r AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM x)
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
 }
