@@ -110,7 +110,7 @@ SQL = {
              w AS (SELECT DISTINCT item_id, ws[a:a + 9] AS win, len(ws[a:a + 9]) AS l FROM i),
              p AS (SELECT doc_id, l, ws, unnest(range(1, len(ws) - l + 2)) AS a FROM d, (SELECT DISTINCT l FROM w) WHERE len(ws) >= l),
              m AS (SELECT doc_id, a, p.l, item_id FROM p JOIN w ON p.l = w.l AND p.ws[a:a + p.l - 1] = w.win),
-             h AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(a, a + l)) AS at FROM m) GROUP BY 1),
+             h AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(a, a + l)) AS place FROM m) GROUP BY 1),
              t AS (SELECT doc_id, count(DISTINCT item_id::VARCHAR) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM m GROUP BY 1)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
