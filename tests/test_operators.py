@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, listing, merge, panel, people, state, suppress
+from tidemark.operators import alerts, conflicts, listing, lockout, merge, panel, people, state, suppress
 from tidemark.operators.tables import linked
 from tidemark.plans import queries as plans
 from tidemark.sources import feeds
@@ -193,14 +193,14 @@ def test_lockout_against_a_loop(spark, small):
     states, want = {}, {}
     for e in sorted(spark.read.parquet(f"{small}/events.parquet").collect(), key=lambda e: (e.ts, e.event_id)):
         s = states.get(e.user_id, (0, None))
-        states[e.user_id], want[e.event_id] = state.lockout_step(s, e.ts.timestamp(), e.event_type == "purchase", 5, 21_600.0)
+        states[e.user_id], want[e.event_id] = lockout.step(s, e.ts.timestamp(), e.event_type == "purchase", 5, 21_600.0)
     assert got == want and {"locked", "ignored", "success", "failed"} >= set(want.values())
 
 
 def test_lockout_ladder():
     s, out = (0, None), []
     for at, ok in [(0, False)] * 4 + [(1, True)] + [(2, False)] * 5 + [(30, True), (62, True)]:
-        s, r = state.lockout_step(s, at, ok, 5, 60)
+        s, r = lockout.step(s, at, ok, 5, 60)
         out.append(r)
     assert out == ["failed"] * 4 + ["success"] + ["failed"] * 4 + ["locked", "ignored", "success"]
 

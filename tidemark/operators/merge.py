@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import day_of
 from tidemark.functions.text import name_key
-from tidemark.operators.tables import linked, written
-
-DAYS, AGE = 2, 1
+from tidemark.operators.conflicts import AGE, DAYS, Merge
+from tidemark.operators.tables import written
 
 
 def band_matches(left: DataFrame, right: DataFrame, key: str, day: str, age: str, tie: str, days: int = DAYS, gap: int = AGE) -> DataFrame:
@@ -44,52 +39,6 @@ def notice_days(*first: Column, last: Column) -> Column:
     return F.when(F.size(own) > 0, own).otherwise(F.array_compact(F.array(F.unix_date(day_of(last)))))
 
 
-class Kept:
-    """The rows that one group's merge has kept so far, found by id and by person and band of days."""
-
-    def __init__(self) -> None:
-        self.by_id: dict = defaultdict(list)
-        self.by_person: dict = defaultdict(list)
-        self.alive: list[int] = []
-        self.gone: set[int] = set()
-
-    def has_id(self, scope: object, id_: object) -> bool:
-        return any(at not in self.gone for at, *_ in self.by_id[scope, id_])
-
-    def has_person(self, scope: object, key: str, age: int | None, days: list[int]) -> bool:
-        """Whether a kept row has the key, a day at most DAYS off and an age at most AGE off, as far as ages are known."""
-        for day in days:
-            for band in range(day // (DAYS + 1) - 1, day // (DAYS + 1) + 2):
-                for at, its_age, its_day in self.by_person.get((scope, key, band), ()):
-                    if at not in self.gone and abs(its_day - day) <= DAYS and (age is None or its_age is None or abs(its_age - age) <= AGE):
-                        return True
-        return False
-
-    def drop(self, scope: object, id_: object) -> None:
-        self.gone.update(at for at, *_ in self.by_id.pop((scope, id_), ()))
-
-    def add(self, at: int, scope: object, id_: object, key: str, age: int | None, days: list[int]) -> None:
-        self.alive.append(at)
-        self.by_id[scope, id_].append((at,))
-        for day in set(days):
-            self.by_person[scope, key, day // (DAYS + 1)].append((at, age, day))
-
-
-def merged(rows: Iterator[tuple]) -> list[int]:
-    """Which rows of a group stay, by place: (feed, scope, id, key, age, days, corrects) with base rows first, then the feed's, in order."""
-    kept = Kept()
-    for at, (feed, scope, id_, key, age, days, corrects) in enumerate(rows):
-        days = days or []
-        if feed and kept.has_id(scope, id_):
-            continue
-        if feed and corrects is not None:
-            kept.drop(scope, corrects)
-        elif feed and kept.has_person(scope, key, age, days):
-            continue
-        kept.add(at, scope, id_, key, age, days)
-    return [at for at in kept.alive if at not in kept.gone]
-
-
 def greedy_merge(base: DataFrame, feed: DataFrame, scopes: DataFrame | None = None, payload: str | None = None) -> DataFrame:
     """Rows of base, less those corrected, and rows of feed that are new: scope, id, place, feed (and payload).
 
@@ -98,49 +47,23 @@ def greedy_merge(base: DataFrame, feed: DataFrame, scopes: DataFrame | None = No
     corrects. scopes: the scopes that could be read, with or without rows of base; a feed row of any other
     is left out. By default these are base's scopes.
 
-    A kept feed row can shut out later ones, so the order matters; but only rows that share an id, a
-    corrected id, or a person's key and near days within a scope can meet. Such rows are linked into
-    groups, each merged by itself: no scope is merged as a whole, and no person's rows over all years.
-    A group's rows are sorted by Spark; its task holds them once, and finds those kept by id and by
-    person and days.
+    A kept feed row can shut out later ones, so the order matters; what is kept is decided in rounds over
+    many tasks (conflicts.Merge), whatever scope, person or id the rows share. A null id equals no other, and
+    a null key is no one's. Payloads take no part in that: they join by scope and place.
     """
     known = base.select("scope").distinct() if scopes is None else scopes.select("scope").distinct()
     feed = feed.join(known, "scope", "left_semi")
-    extra = [payload] if payload else []
-    columns = ["scope", "id", "place", "key", "age", "days"]
-    rows = base.select(*columns, F.lit(None).cast("string").alias("corrects"), F.lit(False).alias("feed"), *extra)
-    rows = rows.unionByName(feed.select(*columns, F.col("corrects").cast("string").alias("corrects"), F.lit(True).alias("feed"), *extra))
-    scope = F.coalesce(F.col("scope").cast("string"), F.lit(""))
-    named = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("\x01", F.lit("id"), scope, F.col(c).cast("string")))
-    bands = F.flatten(F.transform(F.coalesce("days", F.array().cast("array<int>")), lambda d: F.array(F.floor(d / (DAYS + 1)), F.floor(d / (DAYS + 1)) + 1)))
-    person = F.transform(bands, lambda b: F.concat_ws("\x01", F.lit("person"), scope, F.col("key"), b.cast("string")))
-    tokens = F.concat(F.array_compact(F.array(named("id"), named("corrects"))), F.coalesce(person, F.array().cast("array<string>")))
-    alone = F.array(F.concat_ws("\x01", F.lit("row"), scope, F.col("feed").cast("string"), F.col("place").cast("string")))
-    groups = linked(rows, F.when(F.size(tokens) > 0, tokens).otherwise(alone))
-    out = ["scope", "id", "place", "feed", *extra]
-    ordered = groups.select("group", *out, "key", "age", "days", "corrects").repartition("group").sortWithinPartitions("group", "feed", "place")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, parts = None, []
-
-        def done() -> list[pa.RecordBatch]:
-            whole = pa.Table.from_batches(parts)
-            told = zip(*(whole.column(c).to_pylist() for c in ("feed", "scope", "id", "key", "age", "days", "corrects")), strict=True)
-            return whole.select(out).take(pa.array(merged(told), pa.int64())).to_batches()
-
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-            for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if parts and keys[i] != group:
-                    yield from done()
-                    parts = []
-                group = keys[i]
-                parts.append(batch.slice(i, j - i))
-        if parts:
-            yield from done()
-
-    return ordered.mapInArrow(run, ordered.select(*out).schema)
+    days = F.coalesce("days", F.array().cast("array<int>"))
+    columns = ["scope", F.col("id").cast("string").alias("id"), "key", "age", days.alias("days")]
+    kept = Merge(base.select(*columns), feed.select(*columns, "place", F.col("corrects").cast("string").alias("corrects"))).settle()
+    last = kept.where("corrects IS NOT NULL").groupBy(F.col("scope").alias("_s"), F.col("corrects").alias("_c")).agg(F.max("place").alias("_at"))
+    named = (F.col("scope") == F.col("_s")) & (F.col("id").cast("string") == F.col("_c"))
+    out = ["scope", "id", "place", *([payload] if payload else [])]
+    stays = base.select(*out).join(last, named, "left_anti").withColumn("feed", F.lit(False))
+    turn = kept.select(F.col("scope").alias("_k"), F.col("place").alias("_p"))
+    added = feed.select(*out).join(turn, (F.col("scope") == F.col("_k")) & (F.col("place") == F.col("_p")), "left_semi")
+    later = named & (F.col("_at") > F.col("place"))  # corrected by one that came after it
+    return stays.unionByName(added.join(last, later, "left_anti").withColumn("feed", F.lit(True)))
 
 
 def merge_notices(base: DataFrame, feed: DataFrame, provinces: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import day_of, period_and_mosque
-from tidemark.functions.places import places_match
+from tidemark.functions.places import duty_tokens, place_tokens
 from tidemark.functions.text import SPACE, bare, tr_lower, trimmed
 from tidemark.operators.listing import funeral_day
 
@@ -14,18 +14,21 @@ from tidemark.operators.listing import funeral_day
 def of_place(rows: DataFrame, officers: DataFrame) -> DataFrame:
     """Automatic notices (none of officers or martyrs) that match an officer's place, with the officer's id.
 
-    officers: officer, il, ilce, gorev_yeri. Notices and officers meet by province, and by district where the
-    officer names one; places are compared within these. An officer without a province or place gets none.
+    officers: officer, il, ilce, gorev_yeri. An officer without a province or place gets none; one without a district is
+    shown all districts. Both sides are cut to words once and meet through an index of place tokens, by province,
+    district (or none) and token; two that share several meet at the least of these only, so nothing is told twice.
     """
-    place = F.coalesce(F.col("o.gorev_yeri"), F.lit(""))
-    named = officers.where("coalesce(il, '') <> '' AND coalesce(gorev_yeri, '') <> ''").alias("o")
-    own = rows.where("section = 0 AND NOT gorevli AND NOT sehit").alias("r")
-    mosque = period_and_mosque(F.col("r.namaz_yeri_vakti"))["mosque"]
-    alike = places_match(place, mosque, F.col("r.mahalle"), F.col("o.ilce"))
-    any_district = F.coalesce(F.col("o.ilce"), F.lit("")) == ""
-    at_home = own.join(named.where(~any_district), (F.col("r.province") == F.col("o.il")) & (tr_lower(F.col("r.district")) == tr_lower(F.col("o.ilce"))) & alike)
-    anywhere = own.join(named.where(any_district), (F.col("r.province") == F.col("o.il")) & alike)
-    return at_home.select("o.officer", "r.*").unionByName(anywhere.select("o.officer", "r.*"))
+    c, text = F.col, lambda x: F.coalesce(x, F.lit(""))
+    named = officers.where("coalesce(il, '') <> '' AND coalesce(gorev_yeri, '') <> ''")
+    asked = named.select(c("officer").alias("_officer"), c("il").alias("_il"), tr_lower(text(c("ilce"))).alias("_at"), duty_tokens(c("gorev_yeri"), c("ilce")).alias("_asked"))
+    asked = asked.select("*", F.explode("_asked").alias("_sought"))
+    own = rows.where("section = 0 AND NOT gorevli AND NOT sehit")
+    told = own.select("*", place_tokens(period_and_mosque(c("namaz_yeri_vakti"))["mosque"], c("mahalle")).alias("_told"))
+    told = told.select("*", F.explode(F.array_distinct(F.array(tr_lower(text(c("district"))), F.lit("")))).alias("_place"))
+    told = told.select("*", F.explode("_told").alias("_token"))
+    met = told.join(asked, (c("province") == c("_il")) & (c("_place") == c("_at")) & (c("_token") == c("_sought")))
+    once = F.array_min(F.array_intersect("_asked", "_told")) == c("_token")
+    return met.where(once).select(c("_officer").alias("officer"), *rows.columns)
 
 
 def correction_form(rows: DataFrame) -> DataFrame:

@@ -1,10 +1,7 @@
-"""Small states kept by key: clamped counters, saved rows, attempt lockout."""
+"""Small states kept by key: clamped counters and saved rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,36 +51,3 @@ def newest_first(added: str, tie: str) -> list[Column]:
 def deleted(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
     """Every table without the keys that are gone."""
     return {name: t.join(gone.select(key).distinct(), key, "left_anti") for name, t in tables.items()}
-
-
-def lockout_step(state: tuple[int, float | None], at: float, success: bool, most: int, lock_s: float) -> tuple[tuple[int, float | None], str]:
-    """One attempt: the next (failures, locked until), and what became of the attempt."""
-    failures, until = state
-    if until is not None and at < until:
-        return state, "ignored"
-    if success:
-        return (0, None), "success"
-    if failures + 1 >= most:
-        return (0, at + lock_s), "locked"
-    return (failures + 1, None), "failed"
-
-
-def lockout(attempts: DataFrame, key: str, at: str, tie: str, success: str, most: int = 5, lock_s: float = 60.0) -> DataFrame:
-    """key, tie, result of every attempt, in the order of at and tie; at is in seconds.
-
-    Rows come sorted to their key's task and only a key's state is held, however many rows it has.
-    """
-    rows = attempts.select(F.col(key).cast("string").alias("key"), F.col(at).cast("double").alias("at"), F.col(tie).cast("long").alias("tie"), F.col(success).alias("success"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = object(), (0, None)
-        for batch in batches:
-            found = []
-            for k, t, ok in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
-                if k != last:
-                    last, state = k, (0, None)
-                state, result = lockout_step(state, t, bool(ok), most, lock_s)
-                found.append(result)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string())], ["key", "tie", "result"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "at", "tie").mapInArrow(run, "key string, tie long, result string")
