@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import html_extract as H
@@ -14,12 +15,28 @@ def text_of(source):
     return H.main_texts(H.model(), [source])[0]
 
 
+def article(source):
+    inside = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", " ", inside))).split())
+
+
 def test_pages_against_their_articles(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     for r in H.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
-        inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", " ", inside))).split())
-        assert r.text == want and r.n_chars == len(want)
+        assert r.text == article(r.html) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_every_page_of_a_folder(folder):
+    """All pages, those of one-sentence articles above text-only footers too."""
+    sources = pq.read_table(f"/root/testdata/{folder}/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert [k for k, (s, t) in enumerate(zip(sources, H.main_texts(H.model(), sources), strict=True)) if t != article(s)] == []
+
+
+def test_a_footer_longer_than_its_article():
+    for foot in ("&copy; site.example.org &middot; Some words that say a little more than the article above does, and more.", "All that is written here may be read, told and printed again by all. Ask us first."):
+        for said in ("<b>Short one.<br>", "Short one.</p>", "<b>Short one.</b>"):
+            assert text_of(f"<html><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><h1>Short one.</h1><p>{said}</article><footer>{foot}</footer></body></html>") == "Short one. Short one."
 
 
 def test_generated_pages_not_trained_on():

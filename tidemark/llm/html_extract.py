@@ -98,6 +98,10 @@ class Forge:
         title = f"<h1 data-gold>{self.words(2, 10)}</h1>" if r.random() < 0.85 else ""
         if title and r.random() < 0.1:
             title = f"<header data-gold>{title}</header>"
+        if r.random() < 0.2:  # one sentence, its paragraph perhaps cut off
+            line = self.words(1, 9).capitalize() + "."
+            said = r.choice([line, f"<b>{line}<br>", f"<b>{line}</b>", self.prose(12)])
+            return self.box(*r.choice([("article", "post entry"), ("article", "post entry"), ("main", "content"), ("div", "article-body story")]), f"<h1 data-gold>{line}</h1><p data-gold>{said}" + r.choice(["", "</p>"]), gold=True)
         parts = [self.part() for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 15, 25]))]
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             parts.insert(r.randint(0, len(parts)), self.boilerplate())
@@ -128,7 +132,7 @@ class Forge:
             bottom.append(box(r.choice(["section", "div", "ol"]), "comments commentlist discussion respond reviews", f"<h3>{self.words(1, 2)}</h3>" + each, always=True))
         bottom += [self.boilerplate() for _ in range(r.choice([0, 0, 1, 2]))]
         if r.random() < 0.8:
-            bottom.append(box(*r.choice([("footer", "footer bottom"), ("footer", "site-footer"), ("div", "footer copyright bottom legal")]), r.choice([f"&copy; {self.words(2, 9)}", f"<p>{self.prose(40)}</p>", self.menu() + self.words(2, 5)]), always=True))
+            bottom.append(box(*r.choice([("footer", "footer bottom"), ("footer", "site-footer"), ("div", "footer copyright bottom legal")]), r.choice([f"&copy; {self.words(2, 9)}", f"&copy; {self.words(1, 2)} &middot; {self.prose(48)}", self.prose(60), f"<p>{self.prose(40)}</p>", self.menu() + self.words(2, 5)]), always=True))
         inside = self.article()
         if r.random() < 0.2:
             inside += self.boilerplate()
