@@ -12,10 +12,10 @@ class bigrams' log-likelihood most, until a round gains less than GAIN for each
 2. the head: each word first joins the class that fits its neighbours in the core; then in each round every
    word says whether it would move, and those that would do so one after another, in one task. Pair counts are
    a table dealt by word, which no round shuffles;
-3. every other word by its neighbours' classes, in blocks that assume that the other tasks' words move alike. Words with head neighbours only need no join; for
-   others a round joins the classes of their neighbours. Nothing here is held by word in memory.
+3. every other word by its neighbours' classes, all against the classes as the round found them. Words with head neighbours
+   only need no join; for others a round joins the classes of their neighbours. Nothing here is held by word in memory.
 
-A round that lowers the likelihood is taken back, and half as many words move in the next.
+A round that does not raise the likelihood is taken back, and half as many words move in the next.
 
 P(word | before) = (1 - u) (1 - MIX) P(class | class before) count / class count + MIX (count + 1) / (N + V + 1)
 for a word with a count, and u = 1 / (N + V + 1) for any other: together they make 1. The head's words, their
@@ -366,8 +366,8 @@ class Rounds:
         self.parts, self.tokens, self.turn, self.reached = 1, tokens, 0, []
 
     def lower(self, now: float) -> bool:
-        """Takes note of a likelihood; True if it's lower than the last, whose classes are to come back."""
-        if self.reached and now < self.reached[-1]:
+        """Takes note of a likelihood; True if it's no higher than the last, whose classes are to come back."""
+        if self.reached and now <= self.reached[-1]:
             self.parts *= 2
             return True
         self.reached.append(now)
@@ -462,7 +462,8 @@ _OUTER = [x.split()[0] for x in OUTER.split(", ")]
 
 def outer_words(occurring: DataFrame, by_class: np.ndarray, matrix: np.ndarray) -> DataFrame:
     """OUTER of every training word outside the head: its count, whether words outside the head are beside it, and its head
-    neighbours (cell: side * k + class; 64-bit counts); c is the class that fits these best.
+    neighbours (cell: side * k + class; 64-bit counts); c is the class that fits these best. A word in four starts in a class
+    by its hash: words of unlike kinds would else fill a class without head words alike, and none would gain by leaving it.
 
     occurring: u, word, before, next of each occurrence. They come sorted; only one word's sums are open at a time.
     """
@@ -475,7 +476,7 @@ def outer_words(occurring: DataFrame, by_class: np.ndarray, matrix: np.ndarray)
         def out(u: np.ndarray, words: list, counts: np.ndarray) -> pa.RecordBatch:
             near = counts[:, : 2 * k]
             c = moves.best(np.full(len(u), -1), near.reshape(-1, 2, k).astype(float), np.zeros(len(u)))
-            c = np.where(near.any(1), c, u % k)
+            c = np.where(near.any(1) & ((u >> 13) & 3 > 0), c, u % k)
             of, cell = np.nonzero(near)
             bounds = np.searchsorted(of, np.arange(len(u) + 1)).tolist()
             lists = [[x[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)] for x in (cell.astype("<i4"), near[of, cell].astype("<i8"))]
@@ -537,7 +538,7 @@ def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) ->
 
     going, kept = None, None
     for turn in count():
-        classes = state.where("far").select(F.col("u").alias("v"), F.col("c").alias("cv")).dropDuplicates(["v"])
+        classes = state.where("far").groupBy(F.col("u").alias("v")).agg(F.min_by("c", "word").alias("cv"))
         same = F.when((F.col("u") == F.col("v")) & (F.col("side") == 1), F.col("n")).otherwise(0)
         by_cell = links.join(classes, "v").groupBy("u", (F.col("side") * k + F.col("cv")).alias("cell")).agg(F.sum("n").alias("n"), F.sum(same).alias("t"))
         met = by_cell.groupBy("u").agg(F.collect_list(F.col("n") * (2 * k) + F.col("cell")).alias("met"), F.sum("t").alias("twice"))  # at most 2 * k
@@ -553,20 +554,16 @@ def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) ->
         if going.over():
             return state, now
         kept = whole, now, state, several
-        tasks = whole.rdd.getNumPartitions()
 
-        def move(batches: Iterator[pa.RecordBatch], now=now, going=going, tasks=tasks) -> Iterator[pa.RecordBatch]:
-            """Each block of words meets the classes as its task's earlier words left them, other tasks' words being taken to move alike."""
-            own_view = now.copy()
+        def move(batches: Iterator[pa.RecordBatch], now=now, going=going) -> Iterator[pa.RecordBatch]:
+            """Every word meets the classes as the round found them, so how words are dealt to tasks doesn't matter."""
+            moves = Moves(now)
             for batch in _slices(batches, 2500):
                 u, c = batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
                 counts = sum(counted(batch)).reshape(-1, 2, k)
                 may = np.flatnonzero(going.movers((u >> 7) & 63))
                 new = c.copy()
-                new[may] = Moves(own_view).best(c[may], counts[may], batch.column(8).to_numpy()[may].astype(float))
-                at = np.flatnonzero(new != c)
-                change = np.eye(k)[new[at]] - np.eye(k)[c[at]]
-                own_view = np.maximum(own_view + tasks * (counts[at, 0].T @ change + change.T @ counts[at, 1]), 0)
+                new[may] = moves.best(c[may], counts[may], batch.column(8).to_numpy()[may].astype(float))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.int32()), *batch.columns[4:7]], _OUTER)
 
         state = written(whole.mapInArrow(move, OUTER), f"outer-{turn + 1}")
