@@ -9,7 +9,6 @@ from tidemark.operators import alerts, conflicts, listing, lockout, merge, panel
 from tidemark.operators.tables import linked
 from tidemark.plans import queries as plans
 from tidemark.sources import feeds
-from tidemark.streaming.alerts import decision_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -173,21 +172,6 @@ def test_the_feeds_window_and_whitelist(spark, tmp_path):
     assert "0532" not in told.json and "Hoca" not in told.json and "Tepe Camii" in told.json
 
 
-def test_merge_of_a_stream(spark, tmp_path):
-    base, feed = spark.createDataFrame([("a", 1, "s", "k", 40, [5])], SCHEMA), [[("b", 1, "s", "k", 41, [6], None)], [("c", 2, "s", "k", 60, [6], None)]]
-    base.write.parquet(f"file://{tmp_path}/base")
-    (tmp_path / "in").mkdir()
-    source = spark.readStream.schema(SCHEMA + ", corrects string").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
-    stream = merge.merge_batches(source, f"file://{tmp_path}/base", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/at").start()
-    try:
-        for k, rows in enumerate(feed):
-            (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip("id place scope key age days corrects".split(), r, strict=True))) for r in rows))
-            stream.processAllAvailable()
-    finally:
-        stream.stop()
-    assert [sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/out/batch={n}").collect()) for n in (0, 1)] == [["a"], ["a", "c"]]
-
-
 def test_lockout_against_a_loop(spark, small):
     got = {r.tie: r.result for r in plans.attempt_lockout(spark, small).collect()}
     states, want = {}, {}
@@ -272,24 +256,6 @@ def test_order_and_states(spark):
     assert [(r.offset, r.n) for r in strip] == [*((i, 0) for i in range(-6, 2)), (2, 5)]
 
 
-def test_decision_stream(spark, tmp_path):
-    batches = [
-        [("ordu", "d1", "noon", "a")], [("ordu", "d1", "morning", "a"), ("ordu", "d1", "morning", "b")], [("ordu", "d1", "morning", "c"), ("ordu", "d1", "noon", "a")],
-        [("ordu", "d1", "noon", "z"), ("van", "d1", "morning", "q")], [("ordu", "d1", "noon", "y")], [("ordu", "d2", "morning", "a")], [("ordu", "d1", "morning", "late")],
-    ]
-    schema = "scope string, day string, role string, id string"
-    (tmp_path / "in").mkdir()
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
-    stream = decision_stream(source).writeStream.format("memory").queryName("fired").option("checkpointLocation", f"file://{tmp_path}/at").outputMode("append").start()
-    try:
-        for k, rows in enumerate(batches):
-            (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("scope", "day", "role", "id"), r, strict=True))) for r in rows))
-            stream.processAllAvailable()
-        assert plain(spark.table("fired").collect()) == sorted(map(str, [("ordu", "d1", "morning", 2), ("ordu", "d1", "noon", 1), ("ordu", "d2", "morning", 1), ("van", "d1", "morning", 1)]))
-    finally:
-        stream.stop()
-
-
 def test_settings(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"yazilar": {"a": "x", "b": 3}, "bayraklar": {"ilce_sayfasinda_il_geneli": False}, "ilce_sayfasinda_il_geneli": True, "bugun_bossa_dunu_goster": True, "acil_gizle": {"il": ["Van"]}, "sayilar": "odd"}))
     r = feeds.read_settings(spark, f"file://{tmp_path}/s.json").first()

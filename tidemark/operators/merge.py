@@ -91,13 +91,3 @@ def merge_notices(base: DataFrame, feed: DataFrame, provinces: DataFrame) -> Dat
     placed = found.join(ends, same, "left").withColumn("ordinal", F.when(F.col("feed"), F.coalesce("_end", F.lit(0)) + F.col("ordinal")).otherwise(F.col("ordinal"))).drop("_p", "_s", "_d", "_end")
     state = provinces.join(fed, "province", "left").select("province", (F.col("sourced") | F.coalesce("_fed", F.lit(False))).alias("sourced"))
     return placed.join(state, "province")
-
-
-def merge_batches(source: DataFrame, base_path: str, out_path: str) -> object:
-    """A stream of feed rows, each batch merged with the base table as it is then; a batch's result is a folder of its own."""
-
-    def each(batch: DataFrame, n: int) -> None:
-        base = batch.sparkSession.read.parquet(base_path)
-        greedy_merge(base, batch).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
-
-    return source.writeStream.foreachBatch(each)

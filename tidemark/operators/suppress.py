@@ -1,35 +1,79 @@
-"""Rows that must not be shown: excluded entities, and places and notices hidden in haste."""
+"""Rows that must not be shown: excluded entities, and places and notices hidden in haste, in lists of any length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slug
 
+#: kind is il, ilce ("province/district") or id.
+HIDES = "kind string, value string"
+
 
 def excluded(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def hidden_flags(rows: DataFrame, provinces: list[str], districts: list[str], ids: list[str], province: str = "province", district: str = "district", key: str = "id", own: str = "ilce") -> DataFrame:
-    """Adds hidden: by province or "province/district" (folded alike), or by an id, whole or after a dash.
+def hides(spark: SparkSession, provinces: list[str], districts: list[str], ids: list[str]) -> DataFrame:
+    """Settings' lists as a table."""
+    return spark.createDataFrame([(k, v) for k, values in (("il", provinces), ("ilce", districts), ("id", ids)) for v in values], HIDES)
+
+
+def hides_of(settings: DataFrame) -> DataFrame:
+    """The lists of feeds.read_settings as a table."""
+    parts = [settings.select(F.lit(k).alias("kind"), F.explode(f"acil_gizle.{k}").alias("value")) for k in ("il", "ilce", "id")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _endings(key: Column) -> Column:
+    """An id, and what follows each of its dashes."""
+    parts = F.split(key, "-")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-")))
+
+
+def hidden_by(rows: DataFrame, hidden: DataFrame, province: str = "province", district: str = "district", key: str = "id", own: str = "ilce") -> DataFrame:
+    """Adds hidden: by province or "province/district" (folded alike), or by an id, whole or after a dash; hidden: HIDES.
 
     A row of the general section (district null) is hidden by the district that it names itself, in
-    column `own` if rows have that. The lists are settings of a few entries and become part of the plan.
+    column `own` if rows have that. The lists are a table: each kind is one join by equality, and of the ids
+    only the rows' distinct ones are cut at their dashes; so lists may be as long as the rows.
     """
+    names = {c.lower() for c in rows.columns}
+    mark = "_h"
+    while any(n.startswith(mark) for n in names):
+        mark += "_"
     named = F.coalesce(F.col(district), F.col(own)) if own in rows.columns else F.col(district)
-    say = lambda x: slug(F.lit(x))
-    pairs = [x.split("/", 1) for x in districts if "/" in x]
-    at, at_district, hit = slug(F.col(province)), slug(named), F.lit(False)
-    for p in provinces:
-        hit |= at == say(p)
-    for p, d in pairs:
-        hit |= F.coalesce((at == say(p)) & (at_district == say(d)), F.lit(False))
-    for i in ids:
-        hit |= (F.col(key) == i) | F.endswith(F.col(key), F.lit(f"-{i}"))
-    return rows.withColumn("hidden", F.coalesce(hit, F.lit(False)))
+    said = hidden.where("value IS NOT NULL").distinct()
+    place = F.concat(slug(F.substring_index("value", "/", 1)), F.lit("/"), slug(F.expr("substr(value, instr(value, '/') + 1)")))
+    at = said.where("kind = 'il'").select(slug(F.col("value")).alias(f"{mark}p")).distinct().withColumn(f"{mark}il", F.lit(True))
+    pairs = said.where("kind = 'ilce' AND contains(value, '/')").select(place.alias(f"{mark}d")).distinct().withColumn(f"{mark}ilce", F.lit(True))
+    ids = said.where("kind = 'id'").select(F.col("value").alias("ending"))
+    told = rows.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct().select("id", F.explode(_endings(F.col("id"))).alias("ending"))
+    hit = told.join(ids, "ending", "left_semi").select(F.col("id").alias(f"{mark}k")).distinct().withColumn(f"{mark}id", F.lit(True))
+    out = rows.join(at, slug(F.col(province)) == F.col(f"{mark}p"), "left")
+    out = out.join(pairs, F.concat(slug(F.col(province)), F.lit("/"), slug(named)) == F.col(f"{mark}d"), "left")
+    out = out.join(hit, F.col(key) == F.col(f"{mark}k"), "left")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(f"{mark}il", f"{mark}ilce", f"{mark}id", F.lit(False)).alias("hidden"))
+
+
+def hidden_flags(rows: DataFrame, provinces: list[str], districts: list[str], ids: list[str], **names: str) -> DataFrame:
+    """hidden_by() with lists."""
+    return hidden_by(rows, hides(rows.sparkSession, provinces, districts, ids), **names)
 
 
 def shown(rows: DataFrame, provinces: list[str], districts: list[str], ids: list[str], **names: str) -> DataFrame:
     return hidden_flags(rows, provinces, districts, ids, **names).where("not hidden").drop("hidden")
+
+
+def late_changes(rows: DataFrame, before: DataFrame, after: DataFrame, **names: str) -> DataFrame:
+    """What settings that come late change of rows already loaded: the rows to withdraw or to bring back, with change (withdrawn, returned).
+
+    Only rows that an added or a removed entry touches are judged again; a row that another entry hides all along is no change.
+    """
+    before, after = (h.where("value IS NOT NULL").distinct() for h in (before, after))
+    moved = after.exceptAll(before).unionByName(before.exceptAll(after))
+    touched = hidden_by(rows, moved, **names).where("hidden").drop("hidden")
+    was = hidden_by(touched, before, **names).withColumnRenamed("hidden", "_was")
+    both = hidden_by(was, after, **names).where("hidden <> _was")
+    return both.withColumn("change", F.when(F.col("hidden"), "withdrawn").otherwise("returned")).drop("hidden", "_was")
