@@ -9,8 +9,10 @@ from tidemark.functions.dates import quiet
 from tidemark.functions.text import locative
 
 
-def todays_ids(rows: DataFrame, scope: str, today: Column | str, day: str = "day", key: str = "id") -> DataFrame:
-    return rows.where(F.col(day) == today).select(scope, key).distinct()
+def todays_ids(rows: DataFrame, scope: str, today: Column | str, day: str = "day", key: str = "id", sources: DataFrame | None = None) -> DataFrame:
+    """scope, id of the day's rows, the general section's too; of scopes that sources (scope, sourced) tells to have no source, none."""
+    own = rows.where(F.col(day) == today).select(scope, key).distinct()
+    return own if sources is None else own.join(sources.where("sourced").select(scope), scope, "left_semi")
 
 
 def worth_looking(role: Column, now: Column, today: Column, allowed: Column, morning_day: Column, noon_day: Column) -> Column:

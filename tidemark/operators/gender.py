@@ -22,6 +22,11 @@ def listed_gender(rows: DataFrame, name: str, male: DataFrame, female: DataFrame
     return rows.withColumn("_first", first_name(F.col(name))).join(one.withColumnRenamed("name", "_first"), "_first", "left").drop("_first")
 
 
+def with_choice(rows: DataFrame, choices: DataFrame, key: str = "id", into: str = "chosen") -> DataFrame:
+    """Adds what the user chose for a row's id (choices: id, choice), null if nothing."""
+    return rows.join(choices.select(F.col(key), F.col("choice").alias(into)), key, "left")
+
+
 def resolved(martyr: Column, baby: Column, own: Column, listed: Column, chosen: Column) -> Column:
     return F.when(martyr, "s").when(baby, "b").otherwise(F.coalesce(own, listed, chosen))
 

@@ -91,3 +91,8 @@ def merge_notices(base: DataFrame, feed: DataFrame, provinces: DataFrame) -> Dat
     placed = found.join(ends, same, "left").withColumn("ordinal", F.when(F.col("feed"), F.coalesce("_end", F.lit(0)) + F.col("ordinal")).otherwise(F.col("ordinal"))).drop("_p", "_s", "_d", "_end")
     state = provinces.join(fed, "province", "left").select("province", (F.col("sourced") | F.coalesce("_fed", F.lit(False))).alias("sourced"))
     return placed.join(state, "province")
+
+
+def by_district(rows: DataFrame, *fields: str) -> DataFrame:
+    """A province's notices as its districts hold them: province, section, district, notices (fields, in order) of every district that has some."""
+    return rows.groupBy("province", "section", "district").agg(F.sort_array(F.collect_list(F.struct("ordinal", *fields))).alias("_n")).select("province", "section", "district", F.transform("_n", lambda n: n.dropFields("ordinal")).alias("notices"))

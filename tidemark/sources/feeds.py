@@ -110,6 +110,44 @@ def read_people(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns(read).drop("sitelink_sayisi")
 
 
+def write_people(people: DataFrame, path: str) -> None:
+    """Rows of read_people in a folder for each file, so that a day's or a category's rows are read by its name."""
+    people.repartition("file").write.mode("overwrite").partitionBy("file").parquet(path)
+
+
+def people_of(spark: SparkSession, path: str, *files: str) -> DataFrame:
+    """The rows of some files (MM-DD, or categories) of write_people; only their folders are read."""
+    return spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(path).where(F.col("file").isin(*files))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """name, list (e or k) of the two lists of first names."""
+    raw = _json(spark, path, "e array<string>, k array<string>")
+    return raw.select(F.explode(F.map_from_arrays(F.array(F.lit("e"), F.lit("k")), F.array("e", "k"))).alias("list", "names")).select(F.explode("names").alias("name"), "list").where("name IS NOT NULL")
+
+
+def read_excluded(spark: SparkSession, path: str) -> DataFrame:
+    """wikidata_id of the entities that are left out: a JSON list of ids."""
+    body = spark.read.option("wholetext", True).text(path)
+    return body.select(F.explode(F.from_json("value", "array<string>")).alias("wikidata_id")).where("wikidata_id IS NOT NULL").distinct()
+
+
+def excluded_ids(candidates: DataFrame, always: list[str]) -> DataFrame:
+    """wikidata_id of rows that are no mere candidates (aday), and of those always left out, each once."""
+    own = candidates.where(~F.coalesce(F.col("aday"), F.lit(False))).select("wikidata_id")
+    more = candidates.sparkSession.createDataFrame([(i,) for i in always], "wikidata_id string")
+    return own.unionByName(more).where("wikidata_id IS NOT NULL").distinct()
+
+
+def read_prayers(spark: SparkSession, path: str, fields: tuple[str, ...] = ("b", "ar", "ok", "an", "k", "kadin", "not")) -> tuple[DataFrame, DataFrame]:
+    """Prayers by section (section, ordinal, the fields that are shown, tags), and the labels of tags."""
+    item = ", ".join(f"`{f}`: string" for f in fields) + ", e: array<string>"
+    raw = _json(spark, path, f"etiketler map<string,string>, bolumler array<struct<k: string, ad: string, liste: array<struct<{item}>>>>")
+    rows = raw.select(F.explode("bolumler").alias("s")).select(F.col("s.k").alias("section"), F.posexplode("s.liste").alias("ordinal", "p"))
+    shown = rows.select("section", "ordinal", *(F.nullif(F.col("p")[f], F.lit("")).alias(f) for f in fields), F.coalesce("p.e", F.array().cast("array<string>")).alias("tags"))
+    return shown, raw.select(F.explode("etiketler").alias("tag", "label"))
+
+
 def read_prayer_times(spark: SparkSession, path: str) -> DataFrame:
     """district, day, slot (from 0), time."""
     raw = _json(spark, path, "ilceler map<string, map<string, string>>")
