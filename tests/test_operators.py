@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, conflicts, listing, lockout, merge, panel, people, state, suppress
 from tidemark.operators.tables import linked
+from tidemark.plans import cases
 from tidemark.plans import queries as plans
 from tidemark.sources import feeds
 
@@ -25,7 +26,7 @@ def plain(rows):
     return sorted(str(tuple(r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+@pytest.mark.parametrize("name", sorted(cases.SQL))
 def test_query_against_sql(spark, small, duck, name):
     got = plans.QUERIES[name](spark, small)
     want = duck.sql(plans.SQL[name])

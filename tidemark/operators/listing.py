@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import add_days, day_text, long_date, period_of
 from tidemark.functions.text import sort_key
+from tidemark.operators.tables import free_mark
 
 
 #: What a martyr's and any other card begins with.
@@ -45,17 +46,18 @@ def ranked(rows: DataFrame, by: list[str], martyr: str = "martyr", section: str
     A place is the rank within one district's rows plus the rows of the parts before, so that no window
     holds more than a part.
     """
-    rank = F.when(F.col(martyr), 0).when(F.col(section) == 0, 1).otherwise(2)
-    keyed = rows.withColumns({"section_rank": rank, "_part": F.when(F.col(section) == 0, F.col(district))})
-    part = [*by, "section_rank", "_part"]
-    before = Window.partitionBy(*by).orderBy("section_rank", F.col("_part").isNull(), sort_key(F.col("_part")), "_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = keyed.groupBy(*part).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    bases = bases.select(*(F.col(c).alias(f"_b_{c}") for c in part), "_base")
-    own = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*part).orderBy(ordinal)))
+    m, rank = free_mark(rows), F.when(F.col(martyr), 0).when(F.col(section) == 0, 1).otherwise(2)
+    keyed = rows.withColumns({"section_rank": rank, f"{m}part": F.when(F.col(section) == 0, F.col(district))})
+    part, name = [*by, "section_rank", f"{m}part"], F.col(f"{m}part")
+    before = Window.partitionBy(*by).orderBy("section_rank", name.isNull(), sort_key(name), name).rowsBetween(Window.unboundedPreceding, -1)
+    bases = keyed.groupBy(*part).agg(F.count("*").alias(f"{m}n")).withColumn(f"{m}base", F.coalesce(F.sum(f"{m}n").over(before), F.lit(0)))
+    bases = bases.select(*(F.col(c).alias(f"{m}b{c}") for c in part), f"{m}base")
+    own = keyed.withColumn(f"{m}rank", F.row_number().over(Window.partitionBy(*part).orderBy(ordinal)))
     same = F.lit(True)
     for c in part:
-        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-    return own.join(bases, same).withColumn("place", (F.col("_rank") + F.col("_base")).cast("long")).drop("_part", "_rank", "_base", *(f"_b_{c}" for c in part))
+        same &= F.col(c).eqNullSafe(F.col(f"{m}b{c}"))
+    place = (F.col(f"{m}rank") + F.col(f"{m}base")).cast("long")
+    return own.join(bases, same).select(*rows.columns, "section_rank", place.alias("place"))
 
 
 def day_counts(rows: DataFrame, day: str = "day", by: tuple[str, ...] = ()) -> DataFrame:

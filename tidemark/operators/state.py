@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.tables import free_mark
+
 
 def clamped_counter(steps: DataFrame, keys: list[str], order: list[str], step: str, block: Column) -> DataFrame:
     """Adds n: the running sum of step by key that never falls below zero.
@@ -13,19 +15,21 @@ def clamped_counter(steps: DataFrame, keys: list[str], order: list[str], step: s
     (block rises with the order, for instance a day): a hot key's rows meet only by block, and blocks
     only as one row each.
     """
-    rows = steps.withColumn("_b", block)
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.withColumn("_s", F.sum(step).over(inside))
-    sums = sums.withColumn("_low", F.min("_s").over(inside))
-    totals = rows.groupBy(*keys, "_b").agg(F.sum(step).alias("_total"))
-    lows = sums.groupBy(*keys, "_b").agg(F.min("_s").alias("_least"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = totals.join(lows, [*keys, "_b"]).withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-    blocks = blocks.withColumn("_floor", F.coalesce(F.min(F.col("_base") + F.col("_least")).over(before), F.lit(0))).drop("_total", "_least")
-    joined = sums.join(blocks, [*keys, "_b"])
-    total = F.col("_base") + F.col("_s")
-    low = F.least(F.lit(0), F.col("_floor"), F.col("_base") + F.col("_low"))
-    return joined.withColumn("n", (total - low).cast("long")).drop("_b", "_s", "_low", "_base", "_floor")
+    m = free_mark(steps)
+    b, run, low, total, least, base, floor = (m + x for x in ("b", "s", "low", "total", "least", "base", "floor"))
+    rows = steps.withColumn(b, block)
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.withColumn(run, F.sum(step).over(inside))
+    sums = sums.withColumn(low, F.min(run).over(inside))
+    totals = rows.groupBy(*keys, b).agg(F.sum(step).alias(total))
+    lows = sums.groupBy(*keys, b).agg(F.min(run).alias(least))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = totals.join(lows, [*keys, b]).withColumn(base, F.coalesce(F.sum(total).over(before), F.lit(0)))
+    blocks = blocks.withColumn(floor, F.coalesce(F.min(F.col(base) + F.col(least)).over(before), F.lit(0))).drop(total, least)
+    joined = sums.join(blocks, [*keys, b])
+    now = F.col(base) + F.col(run)
+    lowest = F.least(F.lit(0), F.col(floor), F.col(base) + F.col(low))
+    return joined.select(*steps.columns, (now - lowest).cast("long").alias("n"))
 
 
 def totals(rows: DataFrame, counters: DataFrame, key: str, n: str = "n") -> DataFrame:

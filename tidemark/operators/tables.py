@@ -20,6 +20,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def free_mark(*tables: DataFrame) -> str:
+    """A beginning of names that no column of the tables has, in any case of letters."""
+    taken, mark = {c.lower() for t in tables for c in t.columns}, "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return mark
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and safe from lost executors."""
     spark = df.sparkSession
@@ -56,9 +64,10 @@ def linked(rows: DataFrame, tokens: Column) -> DataFrame:
     Tokens are linked, not rows: a row links its first token to its others, so a token that many rows
     hold is one node. Every row needs a token. Two tokens that share a 64-bit hash only make one group of two.
     """
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    own = rows.withColumn("_tokens", F.array_distinct(hashed))
-    first = F.get("_tokens", F.lit(0))
-    edges = own.select(first.alias("a"), F.explode("_tokens").alias("b")).where("a <> b")
-    found = roots(edges)
-    return own.withColumn("_first", first).join(found, F.col("_first") == F.col("node"), "left").withColumn("group", F.coalesce("root", "_first")).drop("_tokens", "_first", "node", "root")
+    hashed, m = F.transform(tokens, lambda t: F.xxhash64(t)), free_mark(rows)
+    own = rows.withColumn(f"{m}tokens", F.array_distinct(hashed))
+    own = own.withColumn(f"{m}first", F.get(f"{m}tokens", F.lit(0)))
+    edges = own.select(F.col(f"{m}first").alias("a"), F.explode(f"{m}tokens").alias("b")).where("a <> b")
+    found = roots(edges).select(F.col("node").alias(f"{m}node"), F.col("root").alias(f"{m}root"))
+    met = own.join(found, F.col(f"{m}first") == F.col(f"{m}node"), "left")
+    return met.select(*rows.columns, F.coalesce(f"{m}root", f"{m}first").alias("group"))

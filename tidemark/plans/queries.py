@@ -5,7 +5,7 @@ The tables hold no notices, so each query is an analog: the same operator, fed w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
@@ -112,9 +112,7 @@ def folded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT n_name, row_number() OVER (ORDER BY {_key('n_name')}, n_nationkey)::BIGINT AS rank FROM nation")
 def turkish_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dimension's rows by rank."""
-    order = Window.orderBy(X.sort_key(F.col("n_name")), "n_nationkey")
-    return _table(spark, sf_dir, "nation").select("n_name", F.row_number().over(order).cast("long").alias("rank"))
+    return people.ranked_by_name(_table(spark, sf_dir, "nation"), "n_name", "n_nationkey").select("n_name", "rank")
 
 
 @query("""

@@ -22,7 +22,7 @@ def in_force(events: DataFrame, at: str = "at") -> DataFrame:
     """
     before = Window.partitionBy("client").orderBy(at, "answered").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     latest = F.max(F.when(~F.col("answered"), F.col("number"))).over(before)
-    return events.withColumn("_latest", latest).where(F.col("answered") & F.col("number").eqNullSafe(F.col("_latest"))).drop("_latest")
+    return events.withColumn("_latest", latest).where(F.col("answered") & (F.col("number") == F.col("_latest"))).drop("_latest")
 
 
 class LatestOnly(StatefulProcessor):
