@@ -234,10 +234,10 @@ def test_feeds(spark, tmp_path):
 
 def test_hiding(spark):
     rows = spark.createDataFrame([("a-1", "Ordu", "Fatsa"), ("a-2", "Ordu", "Ünye"), ("3", "Iğdır", None), ("13", "Van", "Fatsa"), (None, "Van", None)], "id string, province string, district string")
-    assert [r.id for r in suppress.shown(rows, ["IGDIR"], ["ordu/FATSA", "Van"], ["2"]).collect()] == ["13", None]
+    assert {r.id for r in suppress.shown(rows, ["IGDIR"], ["ordu/FATSA", "Van"], ["2"]).collect()} == {"13", None}
     assert suppress.shown(rows, [], [], []).count() == 5
     general = spark.createDataFrame([("1", "Ordu", None, "Fatsa"), ("2", "Ordu", "Ünye", "Fatsa"), ("3", "Ordu", None, None)], "id string, province string, district string, ilce string")
-    assert [r.id for r in suppress.shown(general, [], ["Ordu/Fatsa"], []).collect()] == ["2", "3"]
+    assert sorted(r.id for r in suppress.shown(general, [], ["Ordu/Fatsa"], []).collect()) == ["2", "3"]
 
 
 def test_order_and_states(spark):
