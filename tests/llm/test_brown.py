@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import brown
@@ -130,7 +131,8 @@ def plain_scores(rows, table, by_word, k):
     return out
 
 
-def test_scores(spark, small, odd, empty, monkeypatch):
+@pytest.mark.parametrize("case", ["whole", "all_in_head", "odd", "null_ids", "empty"])
+def test_scores(spark, small, odd, empty, monkeypatch, case):
     """Counts and base scores against plain sums; scores against a plain reading of the classes that were found."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = {}
@@ -148,8 +150,11 @@ def test_scores(spark, small, odd, empty, monkeypatch):
     monkeypatch.setattr(brown, "cluster", seen)
     monkeypatch.setattr(brown, "cluster_outer", seen_outer)
     few = docs.where("n_chars < 3000").orderBy("doc_id").limit(40)
-    for table, head, core in ((docs, 2000, 100), (few, 20_000, 50), (odd, 3, 2), (few.withColumn("doc_id", F.lit(None).cast("long")), 100, 50)):
-        found.clear()
+    if case == "empty":
+        assert brown.lm_scores(empty, classes=4).count() == 0
+        return
+    cases = {"whole": (docs, 2000, 100), "all_in_head": (few, 20_000, 50), "odd": (odd, 3, 2), "null_ids": (few.withColumn("doc_id", F.lit(None).cast("long")), 100, 50)}
+    for table, head, core in [cases[case]]:
         rows = table.select("doc_id", "text").collect()
         counts = Counter(t for r in rows if not out_of(r.doc_id) for t in tokens(r.text))
         total, kinds = sum(counts.values()), len(counts)
@@ -164,7 +169,6 @@ def test_scores(spark, small, odd, empty, monkeypatch):
         if table is docs:
             new = [r for r in got if r.held_out]
             assert sum(r.score for r in new) > sum(r.base_score for r in new) + 0.05 * sum(r.n_tokens for r in new)
-    assert brown.lm_scores(empty, classes=4).count() == 0
 
 
 def test_rounds_only_rise(spark, small, monkeypatch):
@@ -183,6 +187,24 @@ def test_rounds_only_rise(spark, small, monkeypatch):
     assert all(b >= a for (i, a), (j, b) in zip(reached, reached[1:], strict=False) if i == j)
 
 
+def test_classes_do_not_depend_on_partitions(spark):
+    """Words outside the head get the same classes however their table is dealt."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'the a on'.split()[i % 3]} w{i % 97:02d}x{i % 5} w{(i * 7) % 89:02d}y" for i in rng.integers(0, 400, 30)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    codes = brown.coded(rows.repartition(3), [b"\n", b"the", b"a", b"on"])
+    occurring = written(brown.occurrences(codes), "occurring")
+    matrix = np.zeros((6, 6))
+    for r in brown.head_pairs(codes, 4).collect():
+        matrix[r.a, r.b] = r.n
+    found = []
+    for parts in (2, 9):
+        words = brown.outer_words(occurring, np.arange(4), matrix).repartition(parts)
+        table, _ = brown.cluster_outer(written(words, "outer"), occurring, matrix)
+        found.append({bytes(r.word): r.c for r in table.collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) > 2
+
+
 def test_words_outside_the_head_get_classes_by_exchange(spark):
     """Rare words of two kinds: only their neighbours tell them apart. Word counts and matrix against plain ones."""
     rng, k = np.random.default_rng(7), 7
