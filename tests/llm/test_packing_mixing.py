@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -77,16 +79,44 @@ def test_ids_by_rank_are_the_librarys(spark, small):
                 assert own.ids(text) == own.plain(text)
 
 
-def test_targets_stop_at_twice_a_source():
-    got = mixing.targets([100, 10, 1000, 0], [3, 1, 2, 3], 1665)
-    assert got[1] <= 20 and got[0] == 200 and got[3] == 0 and abs(sum(got) - 1665) < 1e-9
+def plain_targets(sizes, weights, total, most=2.0):
+    """Shares of total by weight, none above most times its size; the excess is shared again."""
+    out, left, open_ = [0.0] * len(sizes), min(total, most * sum(sizes)), [i for i, s in enumerate(sizes) if s]
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else unit * weights[i]
+            left -= out[i]
+        open_ = [i for i in open_ if i not in full] if full else []
+    return out
+
+
+def test_targets_stop_at_twice_a_source(spark):
+    rng = np.random.default_rng(4)
+    for sizes in ([100, 10, 1000, 0], [0, 0], [], [5], rng.integers(0, 3000, 40).tolist(), (10 ** rng.uniform(0, 5, 30)).astype(int).tolist()):
+        names = [None if i == len(sizes) - 1 else f"s{i:03d}" for i in range(len(sizes))]
+        table = spark.createDataFrame([(n, s, 1) for n, s in zip(names, sizes, strict=True)], "source string, words long, docs long").repartition(3)
+        got = {r.source: r.target for r in mixing.targets(table, (3, 1, 2), 1.5).collect()}
+        want = plain_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], 1.5 * sum(sizes))
+        assert len(got) == len(names) and all(abs(got[n] - w) < 1e-6 for n, w in zip(names, want, strict=True))
+
+
+def test_memory_of_a_fit_with_a_text_of_ten_million_words():
+    """What is held grows with the sums, not with sums times sizes; the fit is exact all the same."""
+    sizes = np.array([*range(1, 1201), 10_000_000])
+    for counts, budget in ((np.full(1201, 50), 40_000_123), (np.append(np.ones(1200, np.int64), 2), 12_345_678)):
+        tracemalloc.start()
+        got = mixing.fit(sizes, counts, budget)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        reach = int((got * sizes).sum())
+        assert peak < 200e6 and (got <= counts).all() and abs(reach - budget) <= (0 if counts[0] == 50 else 5_000_000)
 
 
 def test_knapsack_is_nearest():
     import itertools
 
-    import numpy as np
-
     random.seed(1)
     for _ in range(60):
         sizes = np.array(sorted(random.sample(range(1, 30), 3)))
@@ -106,7 +136,7 @@ def test_mix(spark, small, odd, empty):
         total = sum(r["size"] for r in rows)
         order = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
         sizes = [sum(r["size"] for r in rows if r.source == s) for s in order]
-        goals = dict(zip(order, mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * total), strict=True))
+        goals = dict(zip(order, plain_targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5 * total), strict=True))
         assert all(r.taken in (0, r["size"], 2 * r["size"]) and abs(r.target - goals[r.source]) < 1e-6 for r in rows)
         if table is docs:
             for s in order:
