@@ -28,6 +28,8 @@ from tidemark.operators.tables import linked, written
 
 DAYS, AGE, ROUNDS = 2, 1, 8
 PERSON = ["scope", "key", "day", "age"]
+#: What rows meet by: a person's key, day and age, or an id (then day is 0 and there is no age).
+TOKEN, KINDS = ["scope", "person", "key", "day", "age"], ("base", "sure", "pending")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -39,9 +41,21 @@ def by_day(rows: DataFrame) -> DataFrame:
     return rows.where("key IS NOT NULL").withColumn("day", F.explode(F.array_distinct("days")))
 
 
+def tokens(rows: DataFrame, use: str = "settled") -> DataFrame:
+    """rows by TOKEN, no mortal ids. settled: persons of rows that none can take away; waits: of all rows; asks: what a row looks for, a correction no person."""
+    none = F.lit(None)
+    at = lambda person, key, day, age: F.struct(F.lit(person).alias("person"), key.alias("key"), day.cast("int").alias("day"), age.cast("int").alias("age"))
+    persons = F.transform(F.array_distinct("days"), lambda d: at(True, F.col("key"), d, F.col("age")))
+    empty = F.array().cast("array<struct<person: boolean, key: string, day: int, age: int>>")
+    wanted = F.col("key").isNotNull() & {"settled": lambda: ~F.col("mortal"), "waits": lambda: F.lit(True), "asks": lambda: F.col("corrects").isNull()}[use]()
+    found = F.concat(F.when(F.col("id").isNotNull() & ~F.col("mortal"), F.array(at(False, F.col("id"), F.lit(0), none))).otherwise(empty), F.when(wanted, persons).otherwise(empty))
+    return rows.withColumn("_t", F.explode(found)).select("scope", *(["place"] if "place" in rows.columns else []), "_t.*")
+
+
 def near(cells: DataFrame) -> DataFrame:
-    """Each cell once for every day that it reaches."""
-    return cells.withColumn("day", F.explode(F.sequence(F.col("day") - DAYS, F.col("day") + DAYS)))
+    """Each cell once for every day that it reaches; an id reaches its own only."""
+    reach = F.sequence(F.col("day") - DAYS, F.col("day") + DAYS)
+    return cells.withColumn("day", F.explode(F.when(F.col("person"), reach).otherwise(F.array("day")) if "person" in cells.columns else reach))
 
 
 class Merge:
@@ -54,9 +68,8 @@ class Merge:
         self.base = self._marked(base)
         self.waiting = written(self._marked(feed), "waiting")
         self.kept: list[DataFrame] = []
-        sure = by_day(self.base.where("NOT mortal")).select(*PERSON).distinct()
-        self.base_cells = written(self._cells(sure, base=F.lit(True)), "base-cells")
-        self.base_ids = written(self.base.where("id IS NOT NULL").select("scope", "id").distinct(), "base-ids")
+        self.base_cells = written(self._cells(tokens(self.base).select(*TOKEN).distinct(), base=F.lit(True)), "base-cells")
+        self.base_ids = self.base.where("mortal").select("scope", "id").distinct()
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Adds mortal: whether a correction names the id."""
@@ -64,34 +77,27 @@ class Merge:
             return rows.withColumn("mortal", F.lit(False))
         return rows.join(self.targets.withColumn("mortal", F.lit(True)), ["scope", "id"], "left").withColumn("mortal", F.coalesce("mortal", F.lit(False)))
 
-    def _cells(self, rows: DataFrame, keys: list[str] = PERSON, **kinds: Column) -> DataFrame:
-        """keys, and base (whether rows of base are among them), sure and pending (places of kept and of waiting rows)."""
+    def _cells(self, rows: DataFrame, **kinds: Column) -> DataFrame:
+        """TOKEN, and base (whether rows of base are among them), sure and pending (places of kept and of waiting rows)."""
         none = F.lit(None).cast(self.place)
-        return rows.select(*keys, *(kinds.get(c, F.lit(False) if c == "base" else none).alias(c) for c in ("base", "sure", "pending")))
-
-    def _folded(self, parts: list[DataFrame], keys: list[str]) -> DataFrame:
-        return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
+        return rows.select(*TOKEN, *(kinds.get(c, F.lit(False) if c == "base" else none).alias(c) for c in KINDS))
 
     def all_kept(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.kept) if self.kept else self.waiting.where(F.lit(False))
 
-    def _persons(self, kept: DataFrame) -> DataFrame:
-        """scope, place of waiting rows with the folded rivals of their person: p_base, p_sure, p_pending."""
-        waiting = by_day(self.waiting)
-        cells = self._folded([self.base_cells, self._cells(by_day(kept.where("NOT mortal")), sure=F.col("place")), self._cells(waiting, pending=F.col("place"))], PERSON)
-        rivals = near(cells.withColumnRenamed("age", "its_age"))
-        own = waiting.where("corrects IS NULL")
-        met = own.select(*PERSON).distinct().join(rivals, ["scope", "key", "day"]).where(alike(F.col("age"), F.col("its_age")))
-        met = met.groupBy(*PERSON).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
-        met = met.withColumnsRenamed({c: f"m_{c}" for c in PERSON})
-        same = [F.col(c) == F.col(f"m_{c}") for c in PERSON[:3]] + [F.col("age").eqNullSafe(F.col("m_age"))]
-        return own.join(met, same).groupBy("scope", "place").agg(F.max("base").alias("p_base"), F.min("sure").alias("p_sure"), F.min("pending").alias("p_pending"))
-
-    def _ids(self, kept: DataFrame) -> DataFrame:
-        """scope, id with the folded rows of an id that no correction names: i_base, i_sure, i_pending."""
-        keys, own = ["scope", "id"], self.waiting.where("NOT mortal AND id IS NOT NULL")
-        parts = [self._cells(self.base_ids, keys, base=F.lit(True)), self._cells(kept.where("NOT mortal AND id IS NOT NULL"), keys, sure=F.col("place")), self._cells(own, keys, pending=F.col("place"))]
-        return self._folded(parts, keys).withColumnsRenamed({c: f"i_{c}" for c in ("base", "sure", "pending")})
+    def _rivals(self, kept: DataFrame) -> DataFrame:
+        """scope, place of waiting rows with the folded rows that hold their id (i_base, i_sure, i_pending) and that are their person (p_ likewise)."""
+        place = F.col("place")
+        parts = [self.base_cells, self._cells(tokens(kept), sure=place), self._cells(tokens(self.waiting, "waits"), pending=place)]
+        cells = reduce(DataFrame.unionByName, parts).groupBy(*TOKEN).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
+        own = tokens(self.waiting, "asks")
+        met = own.select(*TOKEN).distinct().join(near(cells.withColumnRenamed("age", "its_age")), TOKEN[:-1]).where(alike(F.col("age"), F.col("its_age")))
+        met = met.groupBy(*TOKEN).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
+        met = met.withColumnsRenamed({c: f"m_{c}" for c in TOKEN})
+        same = [F.col(c) == F.col(f"m_{c}") for c in TOKEN[:-1]] + [F.col("age").eqNullSafe(F.col("m_age"))]
+        of = lambda person, c: F.when(F.col("person") == person, F.col(c))
+        told = [f(of(person, c)).alias(f"{'p' if person else 'i'}_{c}") for person in (False, True) for f, c in ((F.max, "base"), (F.min, "sure"), (F.min, "pending"))]
+        return own.join(met, same).groupBy("scope", "place").agg(*told)
 
     def _mortal_ids(self, kept: DataFrame) -> DataFrame:
         """scope, place of waiting rows with mortal ids: held (a row with the id is there as far as is settled), unsure (what waits may change that)."""
@@ -124,8 +130,8 @@ class Merge:
     def round(self) -> None:
         """Settle what can be settled now."""
         kept, no, place = self.all_kept(), F.lit(False), F.col("place")
-        rows = self.waiting.join(self._persons(kept), ["scope", "place"], "left").join(self._ids(kept), ["scope", "id"], "left")
-        held, unsure = F.coalesce(F.col("i_base") | F.coalesce(F.col("i_sure") < place, no), no), F.coalesce(F.col("i_pending") < place, no)
+        rows = self.waiting.join(self._rivals(kept), ["scope", "place"], "left")
+        held, unsure = F.coalesce("i_base", no) | F.coalesce(F.col("i_sure") < place, no), F.coalesce(F.col("i_pending") < place, no)
         certain, maybe = F.coalesce("p_base", no) | F.coalesce(F.col("p_sure") < place, no), F.coalesce(F.col("p_pending") < place, no)
         unsure = unsure & ~held
         if self.any_targets:
