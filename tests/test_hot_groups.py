@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import places
 from tidemark.operators import conflicts, lockout, merge, panel
-from tests.test_operators import SCHEMA, plain_merge
+from test_operators import SCHEMA, plain_merge
 
 NAMES = "Ulu Camii Yeni Mahallesi Fatih Merkez Çarşı Köyü Kale Hz Ali Mah Orta".split()
 
