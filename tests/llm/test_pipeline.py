@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from tidemark.llm import mixing, quality
 
 from test_dedup import az
@@ -43,3 +44,18 @@ def test_stages_against_brute_force(spark, small):
     check_packed(stages["packing"](spark, docs, small).collect(), docs)
     whole = corpus_pipeline.run(spark, small).collect()
     check_packed(whole, docs)
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_all_stages_over_odd_rows_and_none(spark, odd, empty, tmp_path, which):
+    """From nulls, ties, repeats, long texts and clashing names to packed pieces; and from no rows to none."""
+    table = odd if which == "odd" else empty
+    table.select(*[c for c in table.columns if c != "m"]).write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert bool(rows) == (which == "odd")
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        ends = sorted(parts)
+        assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False)) and sum(n for _, n in parts) <= 1024
