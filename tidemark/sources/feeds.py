@@ -117,7 +117,7 @@ def write_people(people: DataFrame, path: str) -> None:
 
 def people_of(spark: SparkSession, path: str, *files: str) -> DataFrame:
     """The rows of some files (MM-DD, or categories) of write_people; only their folders are read."""
-    return spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(path).where(F.col("file").isin(*files))
+    return spark.read.parquet(path).where(F.col("file").isin(*files))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:

@@ -76,7 +76,7 @@ def keep_good(answers: DataFrame, path: str) -> None:
 
 def last_good(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The copies and their states that keep_good has written."""
-    return tuple(spark.read.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}").withColumn("province", F.col("province").cast("string")) for name in ("rows", "states"))
+    return tuple(spark.read.parquet(f"{path}/{name}").withColumn("province", F.col("province").cast("string")) for name in ("rows", "states"))
 
 
 class Province(InputPartition):
