@@ -14,7 +14,8 @@ def test_network_gradients_against_differences():
     y, w = np.array([1.0, 0, 1]), np.array([1.0, 2, 0.5])
 
     def loss():
-        logit = net.logits({d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}, mask)
+        tables = {d: (x @ net.p[f"W{d}"] + net.p[f"c{d}"]).reshape(-1, 3 * toxicity.HIDDEN) for d in "fb"}
+        logit = net.logits(tables, np.arange(mask.size).reshape(mask.shape), mask)
         return float((w * (np.logaddexp(0, logit) - y * logit)).sum())
 
     grads, _ = net.step(x, mask, y, w)
@@ -90,7 +91,7 @@ def test_every_byte_of_a_long_word_is_scored():
         changed = clean[:at] + other + clean[at + 9 :]
         cut = {t for w in toxicity.pieces([changed]) for t in (w.strip(b"\n")[i : i + 3] for i in range(len(w.strip(b"\n")) - 2))}
         assert cut == {changed[i : i + 3] for i in range(len(changed) - 2)}
-        x, y = (net.inputs(list(map(toxicity.hashed, toxicity.pieces([w])))) for w in (clean, changed))
+        x, y = (net.inputs(*toxicity.hashed(toxicity.pieces([w]))) for w in (clean, changed))
         assert abs(x - y).max() > 1e-3
     assert max(map(len, toxicity.pieces([clean]))) <= toxicity.PIECE + 2
     assert toxicity.pieces([b"short", b"a" * 38]) == [b"short", b"a" * 38]
@@ -99,7 +100,19 @@ def test_every_byte_of_a_long_word_is_scored():
 
 def test_a_short_last_piece_has_grams():
     for n in range(36, 130):
-        assert all(grams for _, grams in map(toxicity.hashed, toxicity.pieces([b"x" * n])))
+        assert (toxicity.hashed(toxicity.pieces([b"x" * n]))[2] > 1).all()
+
+
+def test_hashes_of_many_words_are_those_of_each():
+    words = [b"a", b"(it's)", b"...", "é".encode(), b"x" * 37, *toxicity.pieces(["中文字".encode() * 30])]
+    rows, grams, many = toxicity.hashed(words)
+    parts = np.split(grams, np.cumsum(many)[:-1])
+    for word, row, got in zip(words[:5], rows, parts, strict=False):
+        bare = word.strip(toxicity.MARKS) or word
+        padded = b"^" + bare + b"$"
+        want = [zlib.crc32(padded[i : i + 3]) for i in range(len(padded) - 2)] + [zlib.crc32(padded[:5])]
+        assert row == zlib.crc32(bare) % toxicity.WORD_ROWS and got.tolist() == [w % toxicity.CHAR_ROWS for w in want]
+    assert len(parts) == len(words) and [len(x) for x in toxicity.hashed([])] == [0, 0, 0]
 
 
 def plain_score(p, text):

@@ -35,6 +35,8 @@ RARE, DROPPED, DECAY, PRIOR = 3, 0.1, 1e-4, 0.3
 MARKS = b".,;:!?()\"'"
 SAMPLE, EPOCHS, FEW, CUT, SEED, KNOWN = 2400, 10, 24_000, 0.3, 23, 200_000
 WHOLE = 2  # epochs in which every window of a text teaches
+CRC = np.zeros(256, np.uint32)
+CRC[np.arange(256) ^ 0xFF] = [crc32(bytes([b])) ^ 0xFF000000 for b in range(256)]  # what a byte does to crc32
 
 
 def held_out() -> Column:
@@ -57,15 +59,32 @@ def pieces(words: list[bytes]) -> list[bytes]:
     return out
 
 
-def hashed(word: bytes) -> tuple[int, list[int]]:
-    """Rows of the word, and of its trigrams and first letters (bytes of UTF-8), ends marked; punctuation around it is left off."""
-    if b"\n" in word:  # a piece
-        padded = (word[1:] if word[:1] == b"\n" else b"^" + word).removesuffix(b"\n") + (b"" if word[-1:] == b"\n" else b"$")
-    else:
-        word = word.strip(MARKS) or word
-        padded = b"^" + word + b"$"
-    grams = [crc32(padded[i : i + 3]) % CHAR_ROWS for i in range(max(1, len(padded) - 2))]
-    return crc32(word) % WORD_ROWS, [*grams, crc32(padded[:5]) % CHAR_ROWS]
+def crc32s(data: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """crc32 of data[at : at + size] for each place, many at once; sizes are small."""
+    crc, size = np.full(len(at), 0xFFFFFFFF, np.uint32), np.broadcast_to(size, len(at))
+    for i in range(int(size.max(initial=0))):
+        on = np.flatnonzero(size > i)
+        crc[on] = CRC[(crc[on] ^ data[at[on] + i]) & 0xFF] ^ (crc[on] >> 8)
+    return ~crc
+
+
+def hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words: their rows; the rows of their trigrams and first letters (bytes of UTF-8), ends marked, word by word; how many of these each has. Punctuation around a word is left off."""
+    bare, padded = [], []
+    for word in words:
+        if b"\n" in word:  # a piece
+            padded.append((word[1:] if word[:1] == b"\n" else b"^" + word).removesuffix(b"\n") + (b"" if word[-1:] == b"\n" else b"$"))
+        else:
+            word = word.strip(MARKS) or word
+            padded.append(b"^" + word + b"$")
+        bare.append(word)
+    data, sizes = np.frombuffer(b"".join(padded), np.uint8), np.fromiter(map(len, padded), np.int64, len(padded))
+    first, many = np.cumsum(sizes) - sizes, np.maximum(1, sizes - 2) + 1  # the last of a word's is its first letters
+    last = np.cumsum(many) - 1
+    at = np.arange(many.sum()) - np.repeat(last + 1 - many - first, many)
+    length = np.minimum(3, np.repeat(sizes, many))
+    at[last], length[last] = first, np.minimum(5, sizes)
+    return np.fromiter(map(crc32, bare), np.int64, len(bare)) % WORD_ROWS, (crc32s(data, at, length) % CHAR_ROWS).astype(np.int64), many
 
 
 def starts(n: int) -> range:
@@ -86,12 +105,11 @@ class Network:
         for d in "fb":
             self.p |= {f"W{d}": near(SIZE, 3 * HIDDEN), f"U{d}": near(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, words: list[tuple[int, list[int]]]) -> np.ndarray:
-        if not words:
+    def inputs(self, rows: np.ndarray, grams: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Of words as hashed() gives them."""
+        if not len(rows):
             return np.zeros((0, SIZE), np.float32)
-        sizes = np.array([len(g) for _, g in words])
-        grams = self.p["char"][np.concatenate([g for _, g in words])]
-        return self.p["word"][[w for w, _ in words]] + np.add.reduceat(grams, np.cumsum(sizes) - sizes) / sizes[:, None]
+        return self.p["word"][rows] + np.add.reduceat(self.p["char"][grams], np.cumsum(many) - many) / many[:, None].astype(np.float32)
 
     def run(self, gates: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """Hidden states (time, windows, HIDDEN) of one direction; gates: inputs times W plus c."""
@@ -117,8 +135,23 @@ class Network:
         mean = (weight[:, :, None] * states).sum(0)
         return weight, mean, mean @ self.p["o"] + self.p["b"][0]
 
-    def logits(self, gates: dict[str, np.ndarray], mask: np.ndarray) -> np.ndarray:
-        return self.pooled(np.concatenate([self.run(gates[d], mask, d) for d in "fb"], 2), mask)[2]
+    def logits(self, tables: dict[str, np.ndarray], ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Of windows given as rows (time, windows) of tables of gates. Windows lie along the last axis, so that numpy's inner loops are long."""
+        time, n = ids.shape
+        states, full = np.empty((time, 2 * HIDDEN, n), np.float32), mask.all(1)
+        for k, d in enumerate("fb"):
+            u, h = np.ascontiguousarray(self.p[f"U{d}"].T), np.zeros((HIDDEN, n), np.float32)
+            for t in range(time) if d == "f" else range(time - 1, -1, -1):
+                gate, r = np.ascontiguousarray(tables[d][ids[t]].T), u @ h
+                zs = _sigmoid(gate[: 2 * HIDDEN] + r[: 2 * HIDDEN])
+                new = np.tanh(gate[2 * HIDDEN :] + zs[HIDDEN:] * r[2 * HIDDEN :])
+                new += zs[:HIDDEN] * (h - new)
+                h = new if full[t] else np.where(mask[t], new, h)
+                states[t, k * HIDDEN : (k + 1) * HIDDEN] = h
+        energy = np.where(mask, self.p["v"] @ np.tanh(states), np.float32(-1e9))
+        weight = np.exp(energy - energy.max(0))
+        weight /= weight.sum(0)
+        return self.p["o"] @ (weight[:, None] * states).sum(0) + self.p["b"][0]
 
     def step(self, x: np.ndarray, mask: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the weighted cross-entropy: by parameter, and of x (time, windows, SIZE)."""
@@ -164,8 +197,9 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
     vocabulary: dict[bytes, int] = {}
     epochs = epochs or min(24, max(EPOCHS, FEW // max(1, len(texts))))
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], np.int64) for t in texts]
-    words = [hashed(w) for w in vocabulary]
-    common = np.bincount(np.concatenate([np.unique(c) for c in coded] or [[]]).astype(np.int64), minlength=len(words)) >= RARE
+    words = hashed(list(vocabulary))
+    ends = np.cumsum(words[2])
+    common = np.bincount(np.concatenate([np.unique(c) for c in coded] or [[]]).astype(np.int64), minlength=len(ends)) >= RARE
     y = np.array(labels, np.float32)
     balance = np.where(y == 1, PRIOR / max(y.mean(), 0.02), (1 - PRIOR) / max(1 - y.mean(), 0.02)) if len(y) else y
 
@@ -175,6 +209,12 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
         total[at] += grad**2
         net.p[name][at] -= rate * grad / np.sqrt(total[at])
 
+    def some(used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of hashed words, those of these numbers."""
+        many = words[2][used]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - ends[used], many)
+        return words[0][used], words[1][at], many
+
     def laid(picked: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         ids, mask = np.zeros((WINDOW, len(picked)), np.int64), np.zeros((WINDOW, len(picked)), bool)
         for j, (i, a) in enumerate(picked):
@@ -184,13 +224,13 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
 
     def highest() -> list[int]:
         """Each text's highest window of all, some 4,000 windows at a time."""
-        x = net.inputs(words)
+        x = net.inputs(*words)
         gates = {d: x @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
         best, top, held = np.full(len(coded), -np.inf), [0] * len(coded), []
 
         def score() -> None:
             ids, mask = laid(held)
-            for (i, a), logit in zip(held, net.logits({d: gates[d][ids] for d in "fb"}, mask).tolist(), strict=True):
+            for (i, a), logit in zip(held, net.logits(gates, ids, mask).tolist(), strict=True):
                 if logit > best[i]:
                     best[i], top[i] = logit, a
             held.clear()
@@ -219,22 +259,22 @@ def train(texts: list[list[bytes]], labels: list[int], epochs: int | None = None
             mine = np.array([i for i, _ in flat[k : k + 128]])
             used, place = np.unique(ids, return_inverse=True)
             seen = (mask & (rng.random(ids.shape) >= DROPPED))[:, :, None]
-            x = net.inputs([words[i] for i in used])[place.reshape(ids.shape)] * seen
+            now = some(used)
+            x = net.inputs(*now)[place.reshape(ids.shape)] * seen
             weights = balance[mine] * (share[k : k + 128] if epoch >= WHOLE else np.minimum(0.2, 2.4 * share[k : k + 128]))
             grads, d_x = net.step(x, mask, y[mine], weights)
             for name, grad in grads.items():
                 apply(name, grad)
             d_word = np.zeros((len(used), SIZE), np.float32)
             np.add.at(d_word, place.ravel(), (d_x * seen).reshape(-1, SIZE))
-            rows, at = np.unique([words[i][0] for i in used[common[used]]], return_inverse=True)
+            rows, at = np.unique(now[0][common[used]], return_inverse=True)
             if len(rows):
                 total = DECAY * net.p["word"][rows]
                 np.add.at(total, at, d_word[common[used]])
                 apply("word", total, rows)
-            sizes = [len(words[i][1]) for i in used]
-            rows, at = np.unique(np.concatenate([words[i][1] for i in used]), return_inverse=True)
+            rows, at = np.unique(now[1], return_inverse=True)
             total = DECAY * net.p["char"][rows]
-            np.add.at(total, at, np.repeat(d_word / np.array(sizes)[:, None], sizes, axis=0))
+            np.add.at(total, at, np.repeat(d_word / now[2][:, None], now[2], axis=0))
             apply("char", total, rows)
     return net
 
@@ -247,38 +287,40 @@ class Scorer:
         self.gates = {d: np.zeros((KNOWN, 3 * HIDDEN), np.float32) for d in "fb"}
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
-        at = list(map(self.rows.get, words))
-        if None in at:
-            new = list({w for w, i in zip(words, at, strict=True) if i is None})
+        new = list(set(words).difference(self.rows))
+        if new:
             first = len(self.rows)
-            x = self.net.inputs([hashed(w) for w in new])
+            x = self.net.inputs(*hashed(new))
             for d in "fb":
                 self.gates[d][first : first + len(new)] = x @ self.net.p[f"W{d}"] + self.net.p[f"c{d}"]
             self.rows.update(zip(new, range(first, first + len(new)), strict=True))
-            at = list(map(self.rows.get, words))
-        return np.array(at, np.int32)
+        return np.fromiter(map(self.rows.__getitem__, words), np.int32, len(words))
 
-    def scores(self, texts: list[list[bytes]], most: int = 60_000) -> np.ndarray:
-        """Each text's highest window; words are taken up `most` at a time, whole windows together."""
+    def scores(self, texts: list[list[bytes]], most: int = 16_384) -> np.ndarray:
+        """Each text's highest window; a stretch of a text holds about `most` words, whole strides, and those that its last windows share with the next one."""
+        most = max(1, most // STRIDE) * STRIDE
         best, held, of, size = np.full(len(texts), -np.inf), [], [], 0
 
         def flush() -> None:
             nonlocal held, of, size
             if held:
-                ids, mask = np.zeros((WINDOW, len(held)), np.int32), np.zeros((WINDOW, len(held)), bool)
                 flat = [w for ws in held for w in ws]
                 if len(self.rows) + len(flat) > KNOWN:
                     self.rows.clear()
-                at, rows = 0, self.rows_of(flat)
-                for j, ws in enumerate(held):
-                    ids[: len(ws), j], mask[: len(ws), j] = rows[at : at + len(ws)], True
-                    at += len(ws)
-                np.maximum.at(best, of, self.net.logits({d: self.gates[d][ids] for d in "fb"}, mask))
+                rows, sizes = self.rows_of(flat), np.array(list(map(len, held)))
+                windows = np.array([len(starts(n)) for n in sizes.tolist()])
+                stretch = np.repeat(np.arange(len(held)), windows)
+                ends, firsts = np.cumsum(sizes), np.cumsum(windows) - windows
+                begin = (ends - sizes)[stretch] + STRIDE * (np.arange(len(stretch)) - firsts[stretch])
+                places = begin + np.arange(WINDOW)[:, None]
+                mask = places < ends[stretch]
+                logits = self.net.logits(self.gates, rows[np.where(mask, places, begin)], mask)
+                np.maximum.at(best, np.array(of)[stretch], logits)
             held, of, size = [], [], 0
 
         for i, words in enumerate(map(pieces, texts)):
-            for a in starts(len(words)) if words else ():
-                held.append(words[a : a + WINDOW])
+            for a in range(0, max(1, len(words) - WINDOW + STRIDE), most) if words else ():
+                held.append(words[a : a + most + WINDOW - STRIDE])
                 of.append(i)
                 size += len(held[-1])
                 if size >= most:
