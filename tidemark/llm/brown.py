@@ -204,8 +204,8 @@ def gains(matrix: np.ndarray, own: np.ndarray, counts: np.ndarray, twice: np.nda
 class Moves:
     """The best class of many units, classes staying as they are in matrix.
 
-    Where no neighbour is in a unit's own class (or it has none yet: -1), taking it out changes its own
-    class's column only, so the other columns add up changes that are looked up.
+    Taking a unit out of its class changes that class's column and row only. All other cells add up changes that
+    are looked up; cells of that row, which a unit with neighbours in its own class meets, are mended one by one.
     """
 
     def __init__(self, matrix: np.ndarray) -> None:
@@ -225,46 +225,50 @@ class Moves:
             out[many] = _xlogx(rows + n[many, None]) - self.f.reshape(-1, self.k)[cell[many]]
         return out
 
-    def _lone(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Best classes of units without neighbours in their own class."""
+    def put(self, own: np.ndarray, counts: np.ndarray, twice: np.ndarray) -> np.ndarray:
+        """gains() of these units but for what a unit's classes share; own -1: in no class yet."""
         n, k = len(own), self.k
+        placed = np.flatnonzero(own >= 0)
+        home, t = own[placed], np.where(own >= 0, twice, 0.0)
+        if t.any():
+            counts = counts.copy()
+            for side in (0, 1):
+                counts[placed, side, home] -= t[placed]
         unit, cell = np.nonzero(counts.reshape(n, 2 * k))
         x, put = counts.reshape(n, 2 * k)[unit, cell], np.zeros((n, k))
-        for a in range(0, n, 1024):
-            i, j = np.searchsorted(unit, (a, a + 1024))
+        for a in range(0, n, 256):
+            i, j = np.searchsorted(unit, (a, a + 256))
             if i < j:
                 first = np.flatnonzero(np.diff(unit[i:j], prepend=-1))
                 put[unit[i:j][first]] = np.add.reduceat(self._changes(cell[i:j], x[i:j]), first)
-        i, c = np.nonzero(counts.min(1))
+        i, c = np.nonzero((counts.min(1) > 0) | (t > 0)[:, None])
         a, b, d = counts[i, 0, c], counts[i, 1, c], np.diag(self.matrix)[c]
-        put[i, c] += _xlogx(d + a + b) + _xlogx(d) - _xlogx(d + a) - _xlogx(d + b)
-        totals = counts.sum(2)
+        put[i, c] += _xlogx(d + a + b + t[i]) + _xlogx(d) - _xlogx(d + a) - _xlogx(d + b)
+        for side in (0, 1):
+            beside = placed[counts[placed, side, home] > 0]
+            i, c = np.nonzero(counts[beside, 1 - side])
+            i = beside[i]
+            v, m = counts[i, side, own[i]], self.sides[side][own[i], c]
+            less = np.maximum(m - counts[i, 1 - side, c], 0)
+            put[i, c] += _xlogx(less + v) - _xlogx(less) - _xlogx(m + v) + _xlogx(m)
+        totals = counts.sum(2) + t[:, None]
         pair, which = np.unique(totals, axis=0, return_inverse=True)
         cost = sum(_xlogx(s + pair[:, side, None]) - _xlogx(s) for side, s in enumerate(self.sums))
         put -= cost[which.ravel()]
-        placed = np.flatnonzero(own >= 0)
-        home = own[placed]
-        mine = self.sides.reshape(-1, k)[cell, own[unit]]
-        back = np.bincount(unit, np.where(own[unit] >= 0, _xlogx(mine) - _xlogx(mine - x), 0), n)[placed]
-        put[placed, home] = back - sum(_xlogx(s[home]) - _xlogx(s[home] - totals[placed, side]) for side, s in enumerate(self.sums))
-        best = put.argmax(1)
-        stays = (own >= 0) & (put[np.arange(n), best] <= put[np.arange(n), own] + 1e-6)
-        return np.where(stays, own, best)
+        away = (own[unit] >= 0) & (cell % k != own[unit])
+        mine = self.sides.reshape(-1, k)[cell[away], own[unit[away]]]
+        back = np.bincount(unit[away], _xlogx(mine) - _xlogx(np.maximum(mine - x[away], 0)), n).astype(float)[placed]
+        d = np.diag(self.matrix)[home]
+        back += _xlogx(d) - _xlogx(np.maximum(d - counts[placed, 0, home] - counts[placed, 1, home] - t[placed], 0))
+        put[placed, home] = back - sum(_xlogx(s[home]) - _xlogx(np.maximum(s[home] - totals[placed, side], 0)) for side, s in enumerate(self.sums))
+        return put
 
     def best(self, own: np.ndarray, counts: np.ndarray, twice: np.ndarray) -> np.ndarray:
-        at, out = np.arange(len(own)), own.copy()
-        beside = (own >= 0) & ((twice > 0) | (counts[at, :, own] > 0).any(1))
-        lone = np.flatnonzero(~beside)
-        if len(lone):
-            out[lone] = self._lone(own[lone], counts[lone])
-        rest = np.flatnonzero(beside)
-        rest = rest[np.argsort((counts[rest] > 0).sum((1, 2)), kind="stable")]
-        for at in (rest[i : i + 256] for i in range(0, len(rest), 256)):
-            put = gains(self.matrix, own[at], counts[at], twice[at])
-            best, here = put.argmax(1), np.arange(len(at))
-            better = put[here, best] > put[here, own[at]] + 1e-6
-            out[at[better]] = best[better]
-        return out
+        if not len(own):
+            return own.copy()
+        put, at = self.put(own, counts, twice), np.arange(len(own))
+        best = put.argmax(1)
+        return np.where((own >= 0) & (put[at, best] <= put[at, own] + 1e-6), own, best)
 
 
 def _move(matrix: np.ndarray, own: int, counts: np.ndarray, twice: float) -> int:
@@ -515,26 +519,30 @@ def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) ->
     links = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("side"), "n").unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n"))
     kinds = OUTER + ", met array<long>, twice long"
 
-    def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """By word: head neighbours, and neighbours outside the head, by side * k + class."""
-        near = np.zeros((batch.num_rows, 2 * k))
-        of, cell, n = _flat(batch.column(5), batch.column(6))
-        near[of, cell] = n
+    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of head neighbours, then of those outside the head: the word, side * k + class, and how many."""
+        yield _flat(batch.column(5), batch.column(6))
         met = batch.column(7)
-        far, packed = np.zeros((batch.num_rows, 2 * k)), met.flatten().to_numpy()
-        of = np.repeat(np.arange(batch.num_rows), np.diff(met.offsets.to_numpy()))
-        far[of, packed % (2 * k)] = packed // (2 * k)
-        return near, far
+        packed = met.flatten().to_numpy()
+        yield np.repeat(np.arange(batch.num_rows), np.diff(met.offsets.to_numpy())), packed % (2 * k), packed // (2 * k)
+
+    def counted(batch: pa.RecordBatch) -> np.ndarray:
+        """By word, side and class: neighbours."""
+        of, cell, n = (np.concatenate(x) for x in zip(*entries(batch), strict=True))
+        return np.bincount(of * 2 * k + cell, n, batch.num_rows * 2 * k).reshape(-1, 2, k)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """By pair of classes: a word's head neighbours on both sides, and, of the words beside it, those after."""
-        total = np.zeros((k, k))
+        total = np.zeros(k * k)
         for batch in _slices(batches, 4000):
-            c, (near, far) = batch.column(3).to_numpy(), counted(batch)
-            member = np.eye(k)[c]
-            total += near[:, :k].T @ member + member.T @ (near[:, k:] + far[:, k:])
+            c = batch.column(3).to_numpy().astype(np.int64)
+            for (of, cell, n), sides in zip(entries(batch), ((0, 1), (1,)), strict=True):
+                mine, other = c[of], cell % k
+                for side in sides:
+                    on = cell // k == side
+                    total += np.bincount((mine * k + other if side else other * k + mine)[on], n[on], k * k)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].round().astype(np.int64))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].round().astype(np.int64))], ["cell", "n"])
 
     going, kept = None, None
     for turn in count():
@@ -552,6 +560,7 @@ def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) ->
         elif kept:
             dropped(kept[2], kept[3])
         if going.over():
+            dropped(pairs, several)
             return state, now
         kept = whole, now, state, several
 
@@ -560,7 +569,7 @@ def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) ->
             moves = Moves(now)
             for batch in _slices(batches, 2500):
                 u, c = batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
-                counts = sum(counted(batch)).reshape(-1, 2, k)
+                counts = counted(batch)
                 may = np.flatnonzero(going.movers((u >> 7) & 63))
                 new = c.copy()
                 new[may] = moves.best(c[may], counts[may], batch.column(8).to_numpy()[may].astype(float))
@@ -580,6 +589,7 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
     end = F.col("word") == F.lit(END)
     common = words.where(~end).orderBy(F.desc("n"), "word").limit(head).union(words.where(end)).collect()
     n_of = {bytes(r["word"]): r["n"] for r in common}
+    dropped(words)
     first = [END, *sorted(n_of.keys() - {END}, key=lambda w: (-n_of[w], w))]
     counts = np.array([n_of.get(w, 0) for w in first], np.int64)
     codes = written(coded(rows, first), "codes")
@@ -641,6 +651,8 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
             yield out(np.array([held]), sums[:, None])
 
     done = written(codes.mapInArrow(inner, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"), "scores")
+    dropped(codes)
+    released(docs.sparkSession)
     met = occurring.join(found.select("u", "word", "n", "c"), ["u", "word"], "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
     rest = met.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(others, "row long, known_rest long, base_rest double, own_rest double")
     some = lambda name: F.coalesce(name, F.lit(0))
