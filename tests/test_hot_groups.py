@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import places
-from tidemark.operators import conflicts, lockout, merge, panel
+from tidemark.operators import conflicts, lockout, merge, panel, people
+from tidemark.plans.cases import QUERIES
 from test_operators import SCHEMA, plain_merge
 
 NAMES = "Ulu Camii Yeni Mahallesi Fatih Merkez Çarşı Köyü Kale Hz Ali Mah Orta".split()
@@ -108,3 +109,15 @@ def test_block_maps_are_short():
     at = np.arange(20_000.0)
     fresh, froms, exits = lockout.block_map(at, np.zeros(20_000, bool), 5, 60.0)
     assert len(froms) == len(exits) < 400 and len(fresh) == 5
+
+
+def _plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_cards_work_out_each_value_once(spark, small):
+    """What the blurb uses several times is no copy for each use; a plan of copies takes minutes for any table."""
+    assert _plan_size(QUERIES["people_cards"](spark, small)) < 50_000
+    rows = spark.createDataFrame([("1", "A", "sanatcilar", "1939-01-01", 60, False, 1, None, ["Yazar", " yazar", "Şair", "Oyuncu", "x"], "12 dilde; Türk şair; Zqxw kurucusu", None, None, None)],
+                                 "wikidata_id string, ad string, file string, vefat_tarihi string, vefat_yasi int, vefat_yasi_yaklasik boolean, sitelink int, turk boolean, meslek array<string>, neden_onemli string, aciklama string, aciklama_kaynak string, sira string")
+    assert people.card(rows).first().blurb == "Yazar, şair, oyuncu"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF
 INNER_STOP, CEMETERY = r"\.(?=[^\s\d])", (r"(^|\s)Mez\.(?=\s|$)", "$1Mezarlığı")
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, where f uses it several times: c is worked out once for a row, not once for each use (and each use of these)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def bare(c: Column) -> Column:
     """Without white space at its ends."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import text as X
 from tidemark.operators import alerts, cards, gender, listing, merge, panel, people, state, suppress
-from tidemark.plans.queries import DAY, QUERIES, SQL, _events, _key, _low, _table, _up, query
+from tidemark.plans.queries import DAY, QUERIES, SQL, _events, _key, _low, _spread, _table, _up, query
 from tidemark.sources import feeds, scan
 from tidemark.streaming import answers
 
@@ -147,7 +147,7 @@ def people_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("p_size") % 5, F.col("p_size").cast("string")
     work = F.get(F.split("p_type", " "), F.lit(0))
     why = F.when(k == 0, F.concat(F.lit("12 dilde; "), work)).when(k == 1, F.lit("Vikipedi maddesi; (x) Görev: zqxw yapıtı; sonra")).when(k == 2, "Vqzw kurucusu; 2. Türkiye Cumhurbaşkanı").when(k == 3, F.concat((F.col("p_size") + 1).cast("string"), F.lit(". Başbakan")))
-    rows = _table(spark, sf_dir, "part").select(
+    rows = _spread(_table(spark, sf_dir, "part")).select(
         "p_partkey", F.col("p_partkey").cast("string").alias("wikidata_id"), F.col("p_name").alias("ad"), F.when(k == 2, "cumhurbaskanlari").when(k == 3, "basbakanlar").otherwise("12-03").alias("file"),
         F.when(k == 4, "39").otherwise("1939-12-05").alias("vefat_tarihi"), F.when(k != 1, F.col("p_size")).alias("vefat_yasi"), (k == 0).alias("vefat_yasi_yaklasik"), F.lit(1).alias("sitelink"), F.lit(None).cast("boolean").alias("turk"),
         F.array(work, F.lit(" "), F.concat(F.lit(" "), work)).alias("meslek"), why.alias("neden_onemli"), F.when(k == 4, "wxqz notu (y)").alias("aciklama"), F.when(k == 4, "wikidata_tr").alias("aciklama_kaynak"), F.when(k == 2, F.concat(s, F.lit("."))).alias("sira"))

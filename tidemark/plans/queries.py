@@ -47,6 +47,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: a small file is one task or two, however much is done with each of its rows."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").withColumn("day", D.day_text(F.col("ts")))
 
