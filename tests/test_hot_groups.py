@@ -121,3 +121,8 @@ def test_cards_work_out_each_value_once(spark, small):
     rows = spark.createDataFrame([("1", "A", "sanatcilar", "1939-01-01", 60, False, 1, None, ["Yazar", " yazar", "Şair", "Oyuncu", "x"], "12 dilde; Türk şair; Zqxw kurucusu", None, None, None)],
                                  "wikidata_id string, ad string, file string, vefat_tarihi string, vefat_yasi int, vefat_yasi_yaklasik boolean, sitelink int, turk boolean, meslek array<string>, neden_onemli string, aciklama string, aciklama_kaynak string, sira string")
     assert people.card(rows).first().blurb == "Yazar, şair, oyuncu"
+
+
+def test_notices_of_a_json_text_parse_it_once(spark, small):
+    plan = QUERIES["notice_whitelist"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

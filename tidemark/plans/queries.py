@@ -326,8 +326,8 @@ def notice_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.to_json(F.struct(F.when(~odd, F.concat(F.lit(" n"), F.col("event_id").cast("string"))).alias("id"), F.concat(F.lit(" "), "event_type").alias("ad_soyad"), F.col("day").alias("vefat_tarihi"), F.when(F.col("event_type") == "error", "aile").alias("kaynak_turu"), F.lit("secret").alias("telefon")))
     age = F.get(F.array(k, F.concat(k, F.lit(".9")), F.concat(F.lit('" '), k, F.lit('"')), F.concat(F.lit('"'), k, F.lit('.5"')), F.lit("true")), (F.col("event_id") % 5).cast("int"))
     raw = F.concat(F.lit('{"yas": '), age, F.lit(", "), F.substr(told, F.lit(2)))
-    n = feeds.notice(F.from_json(raw, feeds.NOTICE_IN))
-    return _events(spark, sf_dir).select("event_id", n.alias("n")).select("event_id", "n.id", F.col("n.yas").cast("long").alias("yas"), "n.aile")
+    rows = feeds.notices_of(_spread(_events(spark, sf_dir)), raw, "event_id")
+    return rows.select("event_id", "n.id", F.col("n.yas").cast("long").alias("yas"), "n.aile")
 
 
 @query(f"""
