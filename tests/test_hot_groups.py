@@ -126,3 +126,18 @@ def test_cards_work_out_each_value_once(spark, small):
 def test_notices_of_a_json_text_parse_it_once(spark, small):
     plan = QUERIES["notice_whitelist"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_notices_of_one_place_meet_officers_in_blocks(spark, monkeypatch):
+    """Places are folded before their tokens meet, and a place with many notices is several blocks; repeated ids and officers stay."""
+    monkeypatch.setattr(panel, "BLOCK", 3)
+    notices = [(i % 17, "P", ("D", "Q", None)[i % 3], 0, False, False, "Öğle-Ulu Kale Camii" if i % 2 else None, "Çarşı Mah.", i) for i in range(40)]
+    officers = [(k % 5, "P", ("d", None, "D")[k % 3], ("Kale Camii", "çarşı", "Başka Yer")[k % 3 if k < 6 else 0]) for k in range(12)]
+    rows = spark.createDataFrame(notices, "id long, province string, district string, section int, gorevli boolean, sehit boolean, namaz_yeri_vakti string, mahalle string, at long")
+    told = spark.createDataFrame(officers, "officer long, il string, ilce string, gorev_yeri string")
+    from tidemark.functions.dates import period_and_mosque
+    pairs = rows.crossJoin(told).where("il = province AND (ilce IS NULL OR lower(ilce) = lower(district))")
+    want = pairs.where(places.places_match(F.col("gorev_yeri"), period_and_mosque(F.col("namaz_yeri_vakti"))["mosque"], F.col("mahalle"), F.col("ilce"))).select("officer", "at")
+    got = panel.of_place(rows, told)
+    assert got.columns == ["officer", *rows.columns]
+    assert sorted(map(tuple, got.select("officer", "at").collect())) == sorted(map(tuple, want.collect())) != []

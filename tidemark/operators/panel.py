@@ -9,26 +9,38 @@ from tidemark.functions.dates import day_of, period_and_mosque
 from tidemark.functions.places import duty_tokens, place_tokens
 from tidemark.functions.text import SPACE, bare, tr_lower, trimmed
 from tidemark.operators.listing import funeral_day
+from tidemark.operators.tables import free_mark
+
+#: Notices of one place that meet officers in one block.
+BLOCK = 4096
 
 
 def of_place(rows: DataFrame, officers: DataFrame) -> DataFrame:
     """Automatic notices (none of officers or martyrs) that match an officer's place, with the officer's id.
 
     officers: officer, il, ilce, gorev_yeri. An officer without a province or place gets none; one without a district is
-    shown all districts. Both sides are cut to words once and meet through an index of place tokens, by province,
-    district (or none) and token; two that share several meet at the least of these only, so nothing is told twice.
+    shown all districts. Both sides are folded to what is told of a place and what is asked for; these are cut to tokens once
+    and meet through an index of them, by province, district (or none) and token, each pair at the least token that it shares.
+    Officers and notices then meet by the pair alone, a place's notices in blocks of BLOCK, so one place is many tasks.
     """
-    c, text = F.col, lambda x: F.coalesce(x, F.lit(""))
-    named = officers.where("coalesce(il, '') <> '' AND coalesce(gorev_yeri, '') <> ''")
-    asked = named.select(c("officer").alias("_officer"), c("il").alias("_il"), tr_lower(text(c("ilce"))).alias("_at"), duty_tokens(c("gorev_yeri"), c("ilce")).alias("_asked"))
-    asked = asked.select("*", F.explode("_asked").alias("_sought"))
-    own = rows.where("section = 0 AND NOT gorevli AND NOT sehit")
-    told = own.select("*", place_tokens(period_and_mosque(c("namaz_yeri_vakti"))["mosque"], c("mahalle")).alias("_told"))
-    told = told.select("*", F.explode(F.array_distinct(F.array(tr_lower(text(c("district"))), F.lit("")))).alias("_place"))
-    told = told.select("*", F.explode("_told").alias("_token"))
-    met = told.join(asked, (c("province") == c("_il")) & (c("_place") == c("_at")) & (c("_token") == c("_sought")))
-    once = F.array_min(F.array_intersect("_asked", "_told")) == c("_token")
-    return met.where(once).select(c("_officer").alias("officer"), *rows.columns)
+    c, text, m = F.col, lambda x: F.coalesce(x, F.lit("")), free_mark(rows, officers)
+    asks, tells, block = f"{m}asks", f"{m}tokens_of", f"{m}block"
+    asked_by = {f"{m}il": c("il"), f"{m}at": tr_lower(text(c("ilce"))), f"{m}duty": c("gorev_yeri"), f"{m}ilce": c("ilce")}
+    told_by = {f"{m}province": c("province"), f"{m}district": tr_lower(text(c("district"))), f"{m}prayer": c("namaz_yeri_vakti"), f"{m}quarter": c("mahalle")}
+    named = officers.where("coalesce(il, '') <> '' AND coalesce(gorev_yeri, '') <> ''").select(c("officer").alias(f"{m}officer"), F.sha2(F.to_json(F.struct(*(v.alias(k) for k, v in asked_by.items()))), 256).alias(asks), *(v.alias(k) for k, v in asked_by.items()))
+    own = rows.where("section = 0 AND NOT gorevli AND NOT sehit").withColumn(tells, F.sha2(F.to_json(F.struct(*(v.alias(k) for k, v in told_by.items()))), 256))
+
+    asked = named.select(asks, *asked_by).distinct().withColumn("asked", duty_tokens(c(f"{m}duty"), c(f"{m}ilce"))).select(asks, f"{m}il", f"{m}at", "asked", F.explode("asked").alias("token"))
+    told = own.groupBy(tells, *(v.alias(k) for k, v in told_by.items())).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    told = told.withColumn("told", place_tokens(period_and_mosque(c(f"{m}prayer"))["mosque"], c(f"{m}quarter")))
+    told = told.select("*", F.explode(F.array_distinct(F.array(c(f"{m}district"), F.lit("")))).alias("place")).select("*", F.explode("told").alias("token"))
+    met = told.join(asked, (c(f"{m}province") == c(f"{m}il")) & (c("place") == c(f"{m}at")) & (told["token"] == asked["token"]))
+    met = met.where(F.array_min(F.array_intersect("asked", "told")) == told["token"]).select(asks, tells, "blocks")
+
+    sought = named.select(f"{m}officer", asks).join(met, asks).select(f"{m}officer", tells, F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias(block))
+    sizes = told.select(tells, "blocks").distinct()
+    dealt = own.join(sizes, tells).withColumn(block, F.pmod(F.xxhash64("id" if "id" in rows.columns else rows.columns[0]), "blocks").cast("int"))
+    return dealt.join(sought, [tells, block]).select(c(f"{m}officer").alias("officer"), *rows.columns)
 
 
 def correction_form(rows: DataFrame) -> DataFrame:
