@@ -141,3 +141,8 @@ def test_notices_of_one_place_meet_officers_in_blocks(spark, monkeypatch):
     got = panel.of_place(rows, told)
     assert got.columns == ["officer", *rows.columns]
     assert sorted(map(tuple, got.select("officer", "at").collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_round_trip_parses_each_text_once(spark, small):
+    plan = QUERIES["round_trip"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 6

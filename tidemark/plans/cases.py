@@ -103,7 +103,7 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.concat(F.lit("P"), F.col("p").cast("string")).alias("il"), "ilceler", "ilce_belirsiz", "il_disi"))
     rows = feeds.flat(files.select(F.from_json(body, feeds.PROVINCE_IN).alias("f")).select("f.*"))
     told = feeds.as_json(rows, "province", "section", "district", "district_no", "ordinal")
-    back = told.select("province", "section", "district", "district_no", "ordinal", feeds.notice(F.from_json("json", feeds.NOTICE_IN)).alias("n"))
+    back = feeds.notices_of(_spread(told), F.col("json"), "province", "section", "district", "district_no", "ordinal")
     return back.select("province", "section", "district", "district_no", "ordinal", *(f"n.{c}" for c in ("id", "vefat_tarihi", "yas", "sehit", "defin_il", "defin_ilce")))
 
 
