@@ -127,3 +127,14 @@ def test_one_id_for_all_rows_is_cut_into_ranges(spark):
         table = merkle.compared(docs, rows_per_range=20)
         got = Counter((r.doc_id, r.edited_sha256, r.fingerprint) for r in table.collect())
         assert got == want and table.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_words_ends_are_merged_as_by_the_library():
+    """Pieces whose last byte has an id of its own, merged by ranks behind an end mark."""
+    import public_tokenizers
+    from tidemark.llm.tokens import Encoder
+
+    coder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert coder.ended
+    for word in "a Z zebra Unbelievably's straße İstanbul ÿ x1y22 don't ªº é­é ... a...b \n\tmixed,Case,&&&### Tiontionble 9999".split(" ") + ["q" * 500, "ab" * 40]:
+        assert coder.chunk(word, {}, " ") == coder.plain(word), word

@@ -20,6 +20,8 @@ SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 UNSPACED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Below this code point no character changes under NFC and the libraries' letter classes agree.
 PLAIN = "ɐ"
+#: Fixed value: a byte that no UTF-8 has.
+END = b"\xff"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,6 +50,7 @@ class Encoder:
         self.letters, self.merge = _byte_letters(), self.whole.model.tokenize
         self.find = regex.compile(SPACED if self.spaced else UNSPACED).findall
         self.ranked = self._ranked(kind["model"]) if self.spaced else None
+        self.ended = self._ended(kind["model"]) if self.unspaced else None
         self.chunks, self.firsts, self.pieces = {}, {}, {}
 
     def _ranked(self, model: dict):
@@ -63,13 +66,29 @@ class Encoder:
         ranks = {token: i for token, i in ranks.items() if i < 256 + len(order)}
         return tiktoken.Encoding("file", pat_str=SPACED, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _ended(self, model: dict):
+        """tiktoken's merging of one piece where bytes at a word's end have ids of their own, the last before the merges: a byte that UTF-8 never has marks the end, and joins the last byte first."""
+        import tiktoken
+
+        suffix, vocab = model.get("end_of_word_suffix"), model["vocab"]
+        back = {letter: byte for byte, letter in self.letters.items()}
+        order = [vocab["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
+        ends = sorted(vocab.get(letter + (suffix or ""), -1) for letter in back)
+        if not suffix or model.get("continuing_subword_prefix") or order != list(range(512, 512 + len(order))) or sorted(map(vocab.get, back)) != list(range(256)) or ends != list(range(256, 512)):
+            return None
+        ranks = {bytes(map(back.get, token.removesuffix(suffix))) + END * token.endswith(suffix): i for token, i in vocab.items() if i < 512 + len(order)}
+        return tiktoken.Encoding("ended", pat_str=UNSPACED, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
     def plain(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
 
     def piece(self, text: str) -> bytes:
         if (ids := self.pieces.get(text)) is None:
-            spelled = text.encode().decode("latin1").translate(self.letters)
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.merge(spelled))
+            if self.ended:
+                ids = array("I", self.ended(text.encode() + END)).tobytes()
+            else:
+                spelled = text.encode().decode("latin1").translate(self.letters)
+                ids = b"".join(t.id.to_bytes(4, "little") for t in self.merge(spelled))
             if len(self.pieces) < KEEP:
                 self.pieces[text] = ids
         return ids
@@ -79,8 +98,11 @@ class Encoder:
             ids = self.plain(lead + text if self.spaced else text)
         elif self.ranked:
             ids = array("I", self.ranked(lead + text)).tobytes()
+        elif self.spaced:
+            ids = b"".join(map(self.piece, self.find(lead + text)))
         else:
-            ids = b"".join(map(self.piece, self.find(lead + text if self.spaced else text.lower())))
+            low = text.lower()
+            ids = self.piece(low) if low.isalpha() else b"".join(map(self.piece, self.find(low)))
         if len(kept) < KEEP and len(text) < 64:
             kept[text] = ids
         return ids
