@@ -20,7 +20,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts alike (five-word shingles, similarity 0.8), the row with the smallest id stays."""
+    """Of each group of texts linked by SimHash (operator 8: two bits) or alike (five-word shingles, similarity 0.8), the row with the smallest id stays."""
     from tidemark.llm.near import near_dedup
 
     return near_dedup(docs)

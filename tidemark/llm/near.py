@@ -1,12 +1,14 @@
-"""The pipeline's near-duplicates: word shingles of SHINGLE words, exact Jaccard similarity of SIMILARITY or more.
+"""The pipeline's near-duplicates: SimHash fingerprints that differ in at most two bits, found by operator 8's anchors
+(simhash.alike_rows), and word shingles of SHINGLE words with an exact Jaccard similarity of SIMILARITY or more. Both kinds of links
+make the components: nothing that operator 8 links is left apart, nor are copies whose fingerprints differ in more bits.
 
-Texts are nodes; copies (by a 128-bit hash of their words, A-Z lower-cased) are one node. Candidates
+For the second kind texts are nodes; copies (by a 128-bit hash of their words, A-Z lower-cased) are one node. Candidates
 share one of BANDS buckets, each made of ROWS least hashes of the text's shingles; a pair of
 similarity s shares none by a chance of (1 - s^ROWS)^BANDS, 0.00005 at 0.8. A sketch of one byte for
 each of BINS parts of the hash range tells how alike two candidates are, to within 0.02 or so for long texts
 and nearly exactly for short ones; those of LIKELY or more are held against their shingles themselves.
 
-First each bucket's texts are held against STARS of them. Then, in buckets where several components are left,
+First each bucket's texts are held against STARS of them. Then, in buckets where several components (of both kinds of links) are left,
 every two texts of different components are: a bucket's largest component against the others' texts, and
 these against each other, in blocks of at most BLOCK by BLOCK texts, dealt over all tasks. So no link that
 matters to a component is left out, and a bucket of close copies is compared no more than STARS times a row.
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, free_names, written
+from .common import byte_words, components, dropped, free_names, released, written
+from .simhash import alike_rows
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 25, 5, 42
 BINS, LIKELY, STARS, BLOCK = 512, 0.72, 3, 2048
@@ -216,13 +219,17 @@ def verified(pairs: DataFrame, keyed: DataFrame, key: str, similarity: float, sh
     needed = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     sets = written(keyed.select(key, "text").join(needed, key, "left_semi").mapInArrow(cut, "node long, set binary"), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(hold, "a long, b long"), "links")
+    links = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(hold, "a long, b long"), "links")
+    dropped(pairs, sets)
+    return links
 
 
 def rooted(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, str, DataFrame]:
-    """docs with a key of each row, written; the key's name; and (row, root) of every row."""
+    """docs with a key of each row, written; the key's name; and (row, root) of every row, written."""
     key = free_names(docs, "row")[0]
     keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    same_prints = alike_rows(keyed, key)
+    released(docs.sparkSession)
     sketched = written(sketches(keyed, key, shingle), "sketches")
     first = sketched.groupBy("copy_of").agg(F.min("row").alias("node"))
     rows = written(sketched.select("row", "copy_of").join(first, "copy_of").select("row", "node"), "rows")
@@ -230,14 +237,18 @@ def rooted(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame,
     several = nodes.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
     members = nodes.join(several, "bucket", "left_semi").join(sketched.select(F.col("row").alias("node"), "keys", "sketch"), "node")
     members = written(members.select("bucket", "node", "keys", "sketch"), "members")
-    near = components(verified(star_pairs(members), keyed, key, similarity, shingle))
-    labelled = members.join(near, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "keys", "sketch")
-    more = verified(rest_pairs(written(labelled, "labelled")), keyed, key, similarity, shingle)
+    by_print = same_prints.join(rows.where("row = node").select(F.col("row").alias("b")), "b", "left_semi").select("a", "b")  # a, a component's least row, is a node
+    near = components(verified(star_pairs(members), keyed, key, similarity, shingle).unionByName(by_print))
+    labelled = written(members.join(near, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "keys", "sketch"), "labelled")
+    more = verified(rest_pairs(labelled), keyed, key, similarity, shingle)
     root_of = lambda name: near.select(F.col("node").alias(name), F.col("root").alias(f"r{name}"))
     joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     far = components(joined).withColumnsRenamed({"node": "_x", "root": "_far"})
     at = rows.join(near, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
-    return keyed, key, at.join(far, F.col("root") == F.col("_x"), "left").select("row", F.coalesce("_far", "root").alias("root"))
+    roots = written(at.join(far, F.col("root") == F.col("_x"), "left").select("row", F.coalesce("_far", "root").alias("root")), "roots")
+    dropped(same_prints, sketched, rows, nodes, members, labelled)
+    released(docs.sparkSession)
+    return keyed, key, roots
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

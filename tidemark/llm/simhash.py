@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, components, free_names, written
+from .common import byte_words, components, dropped, free_names, written
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
 #: Fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -209,6 +209,15 @@ def _labelled(prints: DataFrame, threshold: int, hot: int) -> DataFrame:
     return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
+def alike_rows(keyed: DataFrame, key: str, threshold: int = THRESHOLD, hot: int = 4096) -> DataFrame:
+    """(a, b), written: the least row and each other one of every component, rows told apart by key, a column of long numbers."""
+    prints = written(fingerprints(keyed, key=key), "prints")
+    rooted = written(prints.join(_labelled(prints, threshold, hot), "fp").select(F.col(key).alias("b"), "root"), "rooted")
+    found = written(rooted.join(rooted.groupBy("root").agg(F.min("b").alias("a")), "root").where("a < b").select("a", "b"), "alike")
+    dropped(prints, rooted)
+    return found
+
+
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, hot: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
     prints = written(fingerprints(docs), "prints")
