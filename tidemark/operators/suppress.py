@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slug
+from tidemark.operators.tables import free_mark
 
 #: kind is il, ilce ("province/district") or id.
 HIDES = "kind string, value string"
@@ -32,29 +33,36 @@ def _endings(key: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "-")))
 
 
-def hidden_by(rows: DataFrame, hidden: DataFrame, province: str = "province", district: str = "district", key: str = "id", own: str = "ilce") -> DataFrame:
-    """Adds hidden: by province or "province/district" (folded alike), or by an id, whole or after a dash; hidden: HIDES.
+def _with_sides(rows: DataFrame, entries: DataFrame, province: str = "province", district: str = "district", key: str = "id", own: str = "ilce") -> tuple[DataFrame, str]:
+    """rows with the sides (bits, 0 for none) of the entries (kind, value, sides) that hide them, and that column's name.
 
-    A row of the general section (district null) is hidden by the district that it names itself, in
-    column `own` if rows have that. The lists are a table: each kind is one join by equality, and of the ids
-    only the rows' distinct ones are cut at their dashes; so lists may be as long as the rows.
+    Each kind is one join by equality, however many sides; of the ids only the rows' distinct ones are cut at their dashes.
     """
-    names = {c.lower() for c in rows.columns}
-    mark = "_h"
-    while any(n.startswith(mark) for n in names):
-        mark += "_"
-    named = F.coalesce(F.col(district), F.col(own)) if own in rows.columns else F.col(district)
-    said = hidden.where("value IS NOT NULL").distinct()
+    mark = free_mark(rows)
+    sides = lambda name: F.bit_or("sides").alias(f"{mark}{name}")
+    named = F.coalesce(F.col(district), F.col(own)) if own.lower() in {c.lower() for c in rows.columns} else F.col(district)
+    said = entries.where("value IS NOT NULL")
     place = F.concat(slug(F.substring_index("value", "/", 1)), F.lit("/"), slug(F.expr("substr(value, instr(value, '/') + 1)")))
-    at = said.where("kind = 'il'").select(slug(F.col("value")).alias(f"{mark}p")).distinct().withColumn(f"{mark}il", F.lit(True))
-    pairs = said.where("kind = 'ilce' AND contains(value, '/')").select(place.alias(f"{mark}d")).distinct().withColumn(f"{mark}ilce", F.lit(True))
-    ids = said.where("kind = 'id'").select(F.col("value").alias("ending"))
+    at = said.where("kind = 'il'").groupBy(slug(F.col("value")).alias(f"{mark}p")).agg(sides("il"))
+    pairs = said.where("kind = 'ilce' AND contains(value, '/')").groupBy(place.alias(f"{mark}d")).agg(sides("ilce"))
+    ids = said.where("kind = 'id'").groupBy(F.col("value").alias("ending")).agg(F.bit_or("sides").alias("sides"))
     told = rows.select(F.col(key).alias("id")).where("id IS NOT NULL").distinct().select("id", F.explode(_endings(F.col("id"))).alias("ending"))
-    hit = told.join(ids, "ending", "left_semi").select(F.col("id").alias(f"{mark}k")).distinct().withColumn(f"{mark}id", F.lit(True))
+    hit = told.join(ids, "ending").groupBy(F.col("id").alias(f"{mark}k")).agg(sides("id"))
     out = rows.join(at, slug(F.col(province)) == F.col(f"{mark}p"), "left")
     out = out.join(pairs, F.concat(slug(F.col(province)), F.lit("/"), slug(named)) == F.col(f"{mark}d"), "left")
     out = out.join(hit, F.col(key) == F.col(f"{mark}k"), "left")
-    return out.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(f"{mark}il", f"{mark}ilce", f"{mark}id", F.lit(False)).alias("hidden"))
+    il, ilce, by_id = (F.coalesce(f"{mark}{k}", F.lit(0)) for k in ("il", "ilce", "id"))
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), il.bitwiseOR(ilce).bitwiseOR(by_id).alias(f"{mark}sides")), f"{mark}sides"
+
+
+def hidden_by(rows: DataFrame, hidden: DataFrame, province: str = "province", district: str = "district", key: str = "id", own: str = "ilce") -> DataFrame:
+    """Adds hidden: by province or "province/district" (folded alike), or by an id, whole or after a dash; hidden: HIDES.
+
+    A row of the general section (district null) is hidden by the district that it names itself, in
+    column `own` if rows have that. The lists are a table, so they may be as long as the rows.
+    """
+    out, sides = _with_sides(rows, hidden.select("kind", "value", F.lit(1).alias("sides")), province, district, key, own)
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col(sides) > 0).alias("hidden"))
 
 
 def hidden_flags(rows: DataFrame, provinces: list[str], districts: list[str], ids: list[str], **names: str) -> DataFrame:
@@ -69,11 +77,9 @@ def shown(rows: DataFrame, provinces: list[str], districts: list[str], ids: list
 def late_changes(rows: DataFrame, before: DataFrame, after: DataFrame, **names: str) -> DataFrame:
     """What settings that come late change of rows already loaded: the rows to withdraw or to bring back, with change (withdrawn, returned).
 
-    Only rows that an added or a removed entry touches are judged again; a row that another entry hides all along is no change.
+    Both lists meet the rows in one pass, each entry with the list that it's from; a row that entries of both hide is no change.
     """
-    before, after = (h.where("value IS NOT NULL").distinct() for h in (before, after))
-    moved = after.exceptAll(before).unionByName(before.exceptAll(after))
-    touched = hidden_by(rows, moved, **names).where("hidden").drop("hidden")
-    was = hidden_by(touched, before, **names).withColumnRenamed("hidden", "_was")
-    both = hidden_by(was, after, **names).where("hidden <> _was")
-    return both.withColumn("change", F.when(F.col("hidden"), "withdrawn").otherwise("returned")).drop("hidden", "_was")
+    side = lambda hidden, n: hidden.select("kind", "value", F.lit(n).alias("sides"))
+    out, sides = _with_sides(rows, side(before, 1).unionByName(side(after, 2)), **names)
+    change = F.when(F.col(sides) == 2, "withdrawn").otherwise("returned")
+    return out.where(F.col(sides).isin(1, 2)).select(*(F.col(f"`{c}`") for c in rows.columns), change.alias("change"))
