@@ -6,6 +6,7 @@ only on earlier rows that share its id, its person and near days, or that correc
 round settles every row whose earlier rivals are settled, or which a settled one shuts out for certain; rows of
 unlike days or ages never wait for each other. Rivals are folded before they meet: by id to the first of each
 kind, by person, day and age likewise, so a hot person or id makes as many pairs as it has days and ages.
+A round keeps only the folds that rows still waiting look for, so later rounds cost what waits, not what is settled.
 
 Only ids that some correction names (mortal ones) need more: their adds and removals are read in order within the
 id. What still waits after ROUNDS rounds is a chain in which each row hangs on the one before; such rows are
@@ -68,8 +69,10 @@ class Merge:
         self.base = self._marked(base)
         self.waiting = written(self._marked(feed), "waiting")
         self.kept: list[DataFrame] = []
-        self.base_cells = written(self._cells(tokens(self.base).select(*TOKEN).distinct(), base=F.lit(True)), "base-cells")
-        self.base_ids = self.base.where("mortal").select("scope", "id").distinct()
+        self.told: list[DataFrame] = []  # of the kept rows, those with mortal ids and the corrections
+        self.cells = written(self._cells(tokens(self.base).select(*TOKEN).distinct(), base=F.lit(True)), "base-cells")
+        self.base_mortal = written(self.base.where("mortal"), "base-mortal") if self.any_targets else self.base.where("mortal")
+        self.base_ids = self.base_mortal.select("scope", "id").distinct()
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Adds mortal: whether a correction names the id."""
@@ -85,13 +88,17 @@ class Merge:
     def all_kept(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.kept) if self.kept else self.waiting.where(F.lit(False))
 
-    def _rivals(self, kept: DataFrame) -> DataFrame:
+    def _rivals(self) -> DataFrame:
         """scope, place of waiting rows with the folded rows that hold their id (i_base, i_sure, i_pending) and that are their person (p_ likewise)."""
         place = F.col("place")
-        parts = [self.base_cells, self._cells(tokens(kept), sure=place), self._cells(tokens(self.waiting, "waits"), pending=place)]
-        cells = reduce(DataFrame.unionByName, parts).groupBy(*TOKEN).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
+        folded = lambda rows: rows.groupBy(*TOKEN).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
         own = tokens(self.waiting, "asks")
-        met = own.select(*TOKEN).distinct().join(near(cells.withColumnRenamed("age", "its_age")), TOKEN[:-1]).where(alike(F.col("age"), F.col("its_age")))
+        asked = near(own.select(*TOKEN).distinct().withColumn("at", F.col("day")))  # what waits goes to the days around it
+        if self.kept:  # no row asks for a cell that none of now asks for
+            settled = self.cells.unionByName(self._cells(tokens(self.kept[-1]), sure=place))
+            self.cells = written(folded(settled.join(asked.select(*TOKEN[:-1]).distinct(), TOKEN[:-1], "left_semi")), "cells")
+        cells = folded(self.cells.unionByName(self._cells(tokens(self.waiting, "waits"), pending=place)))
+        met = asked.join(cells.withColumnRenamed("age", "its_age"), TOKEN[:-1]).where(alike(F.col("age"), F.col("its_age"))).withColumn("day", F.col("at"))
         met = met.groupBy(*TOKEN).agg(F.max("base").alias("base"), F.min("sure").alias("sure"), F.min("pending").alias("pending"))
         met = met.withColumnsRenamed({c: f"m_{c}" for c in TOKEN})
         same = [F.col(c) == F.col(f"m_{c}") for c in TOKEN[:-1]] + [F.col("age").eqNullSafe(F.col("m_age"))]
@@ -116,7 +123,7 @@ class Merge:
     def _mortal_persons(self, kept: DataFrame) -> DataFrame:
         """scope, place of waiting rows that a kept row with a mortal id shuts out: for certain, or unless a waiting correction takes it away."""
         columns = ["scope", "id", "key", "age", "days"]
-        there = self.base.where("mortal").select(*columns, F.lit(None).cast(self.place).alias("since")).unionByName(kept.where("mortal").select(*columns, F.col("place").alias("since")))
+        there = self.base_mortal.select(*columns, F.lit(None).cast(self.place).alias("since")).unionByName(kept.where("mortal").select(*columns, F.col("place").alias("since")))
         for name, rows in (("gone", kept), ("may_go", self.waiting)):  # the first correction after it came
             fixes = rows.where("corrects IS NOT NULL").select(F.col("scope").alias("s"), F.col("corrects").alias("c"), F.col("place").alias("at"))
             after = (F.col("scope") == F.col("s")) & (F.col("id") == F.col("c")) & (F.col("since").isNull() | (F.col("at") > F.col("since")))
@@ -129,12 +136,13 @@ class Merge:
 
     def round(self) -> None:
         """Settle what can be settled now."""
-        kept, no, place = self.all_kept(), F.lit(False), F.col("place")
-        rows = self.waiting.join(self._rivals(kept), ["scope", "place"], "left")
+        no, place = F.lit(False), F.col("place")
+        rows = self.waiting.join(self._rivals(), ["scope", "place"], "left")
         held, unsure = F.coalesce("i_base", no) | F.coalesce(F.col("i_sure") < place, no), F.coalesce(F.col("i_pending") < place, no)
         certain, maybe = F.coalesce("p_base", no) | F.coalesce(F.col("p_sure") < place, no), F.coalesce(F.col("p_pending") < place, no)
         unsure = unsure & ~held
         if self.any_targets:
+            kept = reduce(DataFrame.unionByName, self.told) if self.told else self.waiting.where(no)
             rows = rows.join(self._mortal_ids(kept), ["scope", "place"], "left").join(self._mortal_persons(kept), ["scope", "place"], "left")
             held, unsure = F.when(F.col("mortal"), F.coalesce("held", no)).otherwise(held), F.when(F.col("mortal"), F.coalesce("unsure", no)).otherwise(unsure)
             certain, maybe = certain | F.coalesce("shut", no), maybe | F.col("shut").isNotNull()
@@ -144,6 +152,8 @@ class Merge:
         verdict = F.when(out, "out").when(stays, "kept").otherwise("waits")
         settled = written(rows.select(*self.waiting.columns, verdict.alias("verdict")), "round")
         self.kept.append(settled.where("verdict = 'kept'").drop("verdict"))
+        if self.any_targets:
+            self.told.append(written(self.kept[-1].where("mortal OR corrects IS NOT NULL"), "told"))
         self.waiting = settled.where("verdict = 'waits'").drop("verdict")
 
     def fold_rest(self) -> None:
