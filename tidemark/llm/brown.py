@@ -596,9 +596,8 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
     training = codes.where("not held_out")
     pairs = written(head_pairs(training, len(first)), "pairs")
     by_class, matrix = cluster(pairs, len(first), classes, core, rounds)
-    occurring = written(occurrences(codes), "occurrences")
     dropped(pairs)
-    known = occurring.where("not held_out")
+    known = occurrences(training)  # cut anew from the codes wherever they are read: as a table they would take more room than the text
     found, matrix = cluster_outer(written(outer_words(known, by_class, matrix), "outer"), known, matrix)
     rare = 1 / (total + kinds + 1)
     share = (matrix.sum(0) + 1) / (matrix.sum() + classes)
@@ -651,9 +650,8 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
             yield out(np.array([held]), sums[:, None])
 
     done = written(codes.mapInArrow(inner, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"), "scores")
-    dropped(codes)
     released(docs.sparkSession)
-    met = occurring.join(found.select("u", "word", "n", "c"), ["u", "word"], "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
+    met = occurrences(codes).join(found.select("u", "word", "n", "c"), ["u", "word"], "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
     rest = met.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(others, "row long, known_rest long, base_rest double, own_rest double")
     some = lambda name: F.coalesce(name, F.lit(0))
     return done.join(rest, "row", "left").select(
