@@ -3,7 +3,8 @@
 Words are what white space leaves, A-Z lower-cased; every document ends with one end token, which is
 also what its first word follows. The vocabulary and its counts cover all training documents and are
 a table. Texts are cut into words twice: for the vocabulary, and for the table of codes that all
-later steps read, in which the HEAD commonest words (and the end) are numbers and others stay words.
+later steps read: chunks of texts, in which the HEAD commonest words (and the end) are numbers and others
+places in the chunk's list of words. Those others are dealt to buckets by their hash, about BUCKET occurrences each.
 
 Every training word gets its class by exchange, that is, by moving to the class that raises the
 class bigrams' log-likelihood most, until a round gains less than GAIN for each training token:
@@ -12,8 +13,8 @@ class bigrams' log-likelihood most, until a round gains less than GAIN for each
 2. the head: each word first joins the class that fits its neighbours in the core; then in each round every
    word says whether it would move, and those that would do so one after another, in one task. Pair counts are
    a table dealt by word, which no round shuffles;
-3. every other word by its neighbours' classes, all against the classes as the round found them. Words with head neighbours
-   only need no join; for others a round joins the classes of their neighbours. Nothing here is held by word in memory.
+3. every other word by its neighbours' classes, all against the classes as the round found them. A bucket's words, their head
+   neighbours and their links to words of other buckets are one row; a round sends classes along the links, from bucket to bucket.
 
 A round that does not raise the likelihood is taken back, and half as many words move in the next.
 
@@ -27,6 +28,7 @@ length are read whole; extra columns play no part; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import count, repeat
@@ -45,6 +47,9 @@ CLASSES, HEAD, CORE, MIX = 64, 30_000, 2_048, 0.05
 GAIN = 5e-3
 MOST = 8  # changes of a count by up to so many are looked up
 END = b"\n"  # no word holds white space
+CHUNK, BUCKET = 600_000, 400_000  # about so many words in a chunk; occurrences outside the head in a bucket
+CODED = "chunk long, ids array<long>, held array<boolean>, sizes binary, codes binary, words binary, dealt binary"
+_CODED = [x.split()[0] for x in CODED.split(", ")]
 
 
 def held_out() -> Column:
@@ -73,36 +78,70 @@ def vocabulary(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def coded(rows: DataFrame, head: list[bytes]) -> DataFrame:
-    """row, doc_id, held_out, codes (32-bit numbers: a head word's place, -1 for others; the end last) and others, those words in order, joined by ends."""
+def hashes(words: list[bytes]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+
+
+class _Places(dict):
+    """A head word's place; other words get -1, -2 and so on as they come."""
+
+    def __init__(self, head: list[bytes]) -> None:
+        super().__init__(zip(head, count()))
+        self.heads = len(head)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = self.heads - len(self) - 1
+        return code
+
+
+def coded(rows: DataFrame, head: list[bytes], buckets: int = 8) -> DataFrame:
+    """A row for each chunk of texts: ids and held (of its documents), sizes (their numbers of codes), codes (32-bit numbers: a head
+    word's place, -1 - i for the chunk's other word i; a text's last is the end), words (the other words, each once, joined by
+    ends) and dealt (how many of them each bucket has; they stand by bucket, which is their hash's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, row = {w: i for i, w in enumerate(head)}.get, TaskContext.get().partitionId() << 33
+        chunk, places, parts, held = TaskContext.get().partitionId() << 33, _Places(head), [], 0
+
+        def out() -> pa.RecordBatch:
+            ids, out_of, codes = zip(*parts, strict=True)
+            words = list(places)[len(head) :]
+            bucket = (hashes(words) >> np.uint64(20)) % np.uint64(buckets)
+            order, flat = np.argsort(bucket, kind="stable"), np.concatenate(codes)
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words))
+            flat[flat < 0] = -1 - rank[-1 - flat[flat < 0]]
+            dealt = np.bincount(bucket.astype(np.int64), minlength=buckets)
+            blobs = [np.array([len(x) for x in codes], "<i4").tobytes(), flat.tobytes(), END.join([words[i] for i in order.tolist()]), dealt.astype("<i4").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([out_of], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in blobs)], _CODED)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                codes, others = [], []
-                for text in part.column(1):
-                    words = byte_words(text.as_py())
-                    words.append(END)
-                    code = np.fromiter(map(place, words, repeat(-1)), np.int32, len(words))
-                    codes.append(code.tobytes())
-                    others.append(END.join([words[i] for i in np.flatnonzero(code < 0).tolist()]))
-                rows = np.arange(row, row + part.num_rows)
-                row += part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(rows), part.column(0), part.column(2), pa.array(codes, pa.binary()), pa.array(others, pa.binary())], ["row", "doc_id", "held_out", "codes", "others"])
+            for text, doc_id, out_of in zip(batch.column(1), batch.column(0), batch.column(2), strict=True):
+                words = byte_words(text.as_py())
+                words.append(END)
+                parts.append((doc_id.as_py(), out_of.as_py(), np.fromiter(map(places.__getitem__, words), np.int32, len(words))))
+                held += len(words)
+                if held > CHUNK:
+                    yield out()
+                    chunk, places, parts, held = chunk + 1, _Places(head), [], 0
+        if parts:
+            yield out()
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, CODED)
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, codes binary, others binary")
 
+def _array(column: pa.Array, i: int, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(column[i].as_buffer(), kind)
 
-def _joined(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All codes of a batch, after one end (0), and each document's number of codes."""
-    flat = np.frombuffer(b"".join(codes.to_pylist()), "<i4")
-    return np.concatenate((np.zeros(1, np.int32), flat)), pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+
+def _joined(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """A chunk's codes in training, after one end (0)."""
+    learnt = ~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+    flat = _array(batch.column("codes"), i)[np.repeat(learnt, _array(batch.column("sizes"), i))]
+    return np.concatenate((np.zeros(1, np.int32), flat))
 
 
 def head_pairs(codes: DataFrame, size: int) -> DataFrame:
-    """(a, b, n): how often head word b follows head word a. Every text ends as the one before it does, so a batch is one chain."""
+    """(a, b, n): how often head word b follows head word a. Every text ends as the one before it does, so a chunk is one chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
@@ -112,8 +151,8 @@ def head_pairs(codes: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                chain = _joined(batch.column(0).slice(at, 1000))[0].astype(np.int64)
+            for i in range(batch.num_rows):
+                chain = _joined(batch, i).astype(np.int64)
                 keys.append((chain[:-1] * size + chain[1:])[(chain[:-1] >= 0) & (chain[1:] >= 0)])
                 held += len(keys[-1])
                 if held > 4_000_000:
@@ -121,7 +160,7 @@ def head_pairs(codes: DataFrame, size: int) -> DataFrame:
                     keys, held = [], 0
         yield out()
 
-    pairs = codes.select("codes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = codes.select("held", "sizes", "codes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return pairs.selectExpr(f"pair div {size} AS a", f"pair % {size} AS b", "n")
 
 
@@ -437,145 +476,248 @@ def cluster(pairs: DataFrame, size: int, k: int = CLASSES, core: int = CORE, rou
     raise AssertionError
 
 
+def _best(moves: Moves, own: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], twice: np.ndarray) -> np.ndarray:
+    """moves.best() of words by their entries (word, side * k + class, how many). Words with the same two neighbours in all are asked once."""
+    size, cells = len(own), 2 * moves.k
+    key, n = np.unique(entries[0] * cells + entries[1], return_inverse=True)
+    of, cell, n = key // cells, key % cells, np.bincount(n, entries[2], len(key))
+    bounds = np.searchsorted(of, np.arange(size + 1))
+    total = np.bincount(of, n, size)
+    pair = np.flatnonzero((total == 2) & (np.diff(bounds) == 2) & (twice == 0))
+    same = ((own[pair] + 1) * cells + cell[bounds[pair]]) * cells + cell[bounds[pair] + 1]
+    _, first, alike = np.unique(same, return_index=True, return_inverse=True)
+    asked = np.ones(size, bool)
+    asked[pair] = False
+    asked[pair[first]] = True
+    new = np.empty(size, np.int64)
+    at = np.flatnonzero(asked)
+    for part in (at[i : i + 2500] for i in range(0, len(at), 2500)):
+        lengths = bounds[part + 1] - bounds[part]
+        here = np.repeat(bounds[part] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        counts = np.bincount(np.repeat(np.arange(len(part)), lengths) * cells + cell[here], n[here], len(part) * cells).reshape(-1, 2, moves.k)
+        new[part] = moves.best(own[part], counts, twice[part].astype(float))
+    new[pair] = new[pair[first]][alike]
+    return new
+
+
+def _binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """flat[bounds[i] : bounds[i + 1]] as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
 def occurrences(codes: DataFrame) -> DataFrame:
-    """Each occurrence of a word outside the head: word, row, pos, before and next (codes), and the word before where it's outside too."""
+    """What _chunks() cuts the occurrences of words outside the head from; there is no table of these."""
+    return codes.select("chunk", "held", "sizes", "codes", "words", "dealt")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, 500):
-            chain, sizes = _joined(part.column(2))
-            at = np.flatnonzero(chain < 0)  # never a text's last code, which is the end
-            ends = np.cumsum(sizes)
-            of = np.searchsorted(ends, at)
-            first = ends[of] - sizes[of]  # its place in chain is that of the end before the text
-            words = pa.array(END.join(x for x in part.column(3).to_pylist() if x).split(END) if len(at) else [], pa.binary())
-            led = np.where(chain[at - 1] < 0, np.arange(len(at)) - 1, -1)
-            before = words.take(pa.array(led, mask=led < 0))
-            rows = part.column(0).to_numpy()[of]
-            out = part.column(1).to_numpy(zero_copy_only=False)[of].astype(bool)
-            columns = [words, before, pa.array(rows), pa.array(out), pa.array((at - 1 - first).astype(np.int32)), pa.array(chain[at - 1]), pa.array(chain[at + 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["word", "led", "row", "held_out", "pos", "before", "next"])
 
-    found = codes.select("row", "held_out", "codes", "others").mapInArrow(run, "word binary, led binary, row long, held_out boolean, pos int, before int, next int")
-    hashed = lambda name: F.when(F.col(name).isNotNull(), F.xxhash64(name))
-    return found.select(hashed("word").alias("u"), "word", hashed("led").alias("led"), "row", "held_out", "pos", "before", "next")
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows of occurrences(): chunk, its words outside the head, their buckets, and where they occur in training, in order: at (which of them), before and next (codes)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            chain, dealt = _joined(batch, i), _array(batch.column("dealt"), i)
+            at = np.flatnonzero(chain < 0)  # never a text's last code, which is the end
+            if len(at):
+                yield batch.column("chunk")[i].as_py(), batch.column("words")[i].as_py().split(END), np.repeat(np.arange(len(dealt)), dealt), -1 - chain[at], chain[at - 1], chain[at + 1]
 
 
-OUTER = "u long, word binary, n long, c int, far boolean, cells binary, counts binary"
-_OUTER = [x.split()[0] for x in OUTER.split(", ")]
+OUTER = "bucket int, word binary, n long, c int, cells binary, counts binary"
 
 
 def outer_words(occurring: DataFrame, by_class: np.ndarray, matrix: np.ndarray) -> DataFrame:
-    """OUTER of every training word outside the head: its count, whether words outside the head are beside it, and its head
-    neighbours (cell: side * k + class; 64-bit counts); c is the class that fits these best. A word in four starts in a class
-    by its hash: words of unlike kinds would else fill a class without head words alike, and none would gain by leaving it.
-
-    occurring: u, word, before, next of each occurrence. They come sorted; only one word's sums are open at a time.
+    """OUTER of every training word outside the head: its count and its head neighbours (cell: side * k + class; 16-bit; counts
+    of 32 bits); c is the class that fits these best. A word in four starts in a class by its hash: words of unlike kinds would
+    else fill a class without head words alike, and none would gain by leaving it. Words are gathered by bucket.
     """
     k = len(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sums, moves = None, np.zeros(2 * k + 2, np.int64), Moves(matrix)
-        spot = np.append(by_class, 2 * k)  # -1 is the last: a neighbour outside the head
-
-        def out(u: np.ndarray, words: list, counts: np.ndarray) -> pa.RecordBatch:
-            near = counts[:, : 2 * k]
-            c = moves.best(np.full(len(u), -1), near.reshape(-1, 2, k).astype(float), np.zeros(len(u)))
-            c = np.where(near.any(1) & ((u >> 13) & 3 > 0), c, u % k)
-            of, cell = np.nonzero(near)
-            bounds = np.searchsorted(of, np.arange(len(u) + 1)).tolist()
-            lists = [[x[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)] for x in (cell.astype("<i4"), near[of, cell].astype("<i8"))]
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(words, pa.binary()), pa.array(counts[:, -1]), pa.array(c, pa.int32()), pa.array(counts[:, -2] > 0), *(pa.array(x, pa.binary()) for x in lists)], _OUTER)
-
-        for batch in _slices(batches, 4000):
-            u, words = batch.column(0).to_numpy(), batch.column(1)
-            new = np.ones(len(u), bool)
-            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
-            starts, run_of = np.flatnonzero(new), np.cumsum(new) - 1
-            left, right = spot[batch.column(2).to_numpy()], spot[batch.column(3).to_numpy()]
-            cells = np.concatenate([left, np.where(right < 2 * k, right + k, right)])
-            counts = np.bincount(np.tile(run_of, 2) * (2 * k + 2) + cells, minlength=len(starts) * (2 * k + 2)).reshape(-1, 2 * k + 2)
-            counts[:, -1] = np.diff(np.append(starts, len(u)))
-            names = words.take(pa.array(starts)).to_pylist()
-            if held is not None and held[1] == names[0]:
-                counts[0] += sums
-            elif held is not None:
-                yield out(np.array([held[0]]), [held[1]], sums[None])
-            held, sums = (u[-1], names[-1]), counts[-1]
-            yield out(u[starts[:-1]], names[:-1], counts[:-1])
-        if held is not None:
-            yield out(np.array([held[0]]), [held[1]], sums[None])
-
-    return occurring.select("u", "word", "before", "next").repartition("u").sortWithinPartitions("u", "word").mapInArrow(run, OUTER)
+        for chunk, words, bucket, at, before, after in _chunks(batches):
+            n, sides = np.bincount(at, minlength=len(words)), []
+            for side, beside in enumerate((before, after)):
+                inside = np.flatnonzero(beside >= 0)
+                sides.append((at[inside], by_class[beside[inside]] + side * k))
+            of, cell = (np.concatenate(x) for x in zip(*sides, strict=True))
+            order = np.argsort(of, kind="stable")
+            near, cell = np.bincount(of, minlength=len(words)), cell[order].astype("<u2")
+            cuts, used = np.cumsum(near), np.flatnonzero(n)
+            ends = np.flatnonzero(np.diff(bucket[used], append=-1)) + 1
+            starts = np.append(0, ends[:-1])
+            rows = []
+            for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+                some = used[i:j]
+                rows.append((int(bucket[some[0]]), END.join([words[x] for x in some.tolist()]), n[some].astype("<i4").tobytes(), near[some].astype("<i4").tobytes(), cell[cuts[some[0]] - near[some[0]] : cuts[some[-1]]].tobytes()))
+            columns = zip(*rows, strict=True)
+            kinds = [pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "words", "n", "near", "cells"])
+
+    def gathered(table: pa.Table) -> pa.Table:
+        places, which, n, of, cells = {}, [], [], [], []
+        for row in table.to_pylist():
+            words = row["words"].split(END)
+            at = np.array([places.setdefault(w, len(places)) for w in words])
+            which.append(at)
+            n.append(np.frombuffer(row["n"], "<i4"))
+            of.append(np.repeat(at, np.frombuffer(row["near"], "<i4")))
+            cells.append(np.frombuffer(row["cells"], "<u2").astype(np.int64))
+        words, size = list(places), len(places)
+        key, many = np.unique(np.concatenate(of) * 2 * k + np.concatenate(cells), return_counts=True)
+        of, cell, u = key // (2 * k), key % (2 * k), hashes(words)
+        c = _best(Moves(matrix), np.full(size, -1), (of, cell, many), np.zeros(size))
+        bounds = np.searchsorted(of, np.arange(size + 1))
+        c = np.where((np.diff(bounds) > 0) & ((u >> np.uint64(13)) & np.uint64(3) > 0), c, (u % np.uint64(k)).astype(np.int64))
+        n = np.bincount(np.concatenate(which), np.concatenate(n), size).round().astype(np.int64)
+        lists = [_binaries(cell.astype("<u2"), bounds), _binaries(many.astype("<i4"), bounds)]
+        return pa.Table.from_arrays([pa.array(np.full(size, table.column("bucket")[0].as_py()), pa.int32()), pa.array(words, pa.binary()), pa.array(n), pa.array(c, pa.int32()), *lists], [x.split()[0] for x in OUTER.split(", ")])
+
+    dealt = occurring.mapInArrow(run, "bucket int, words binary, n binary, near binary, cells binary")
+    return dealt.groupBy("bucket").applyInArrow(gathered, OUTER)
+
+
+#: A bucket of words: each one's count, class, hash bits, head neighbours (as in OUTER) and how often it follows itself; of links with words
+#: outside the head, before (0) and after (1), the word (own) and the buckets that these are in (to: buckets, then how many links
+#: each), by bucket, chunk and place; near: the classes of these; sums: its part of the class pairs.
+BUCKETS = "bucket int, words binary, n binary, c binary, mix binary, bounds binary, cells binary, counts binary, twice binary, own0 binary, to0 binary, own1 binary, to1 binary, near0 binary, near1 binary, sums binary"
+TOLD = BUCKETS + ", source int, side int"  # a bucket (source -1), or classes (c) for its links on a side from the bucket source
+_BUCKETS, _TOLD = ([x.split()[0] for x in y.split(", ")] for y in (BUCKETS, TOLD))
+_KINDS = {"n": "<i8", "c": "<u2", "mix": "u1", "cells": "<u2", "near0": "<u2", "near1": "<u2", "sums": "<i8"}
+
+
+def _bucket(row: dict) -> dict:
+    return {x: np.frombuffer(v, _KINDS.get(x, "<i4")) if isinstance(v, bytes) and x != "words" else v for x, v in row.items()}
+
+
+def _rows(rows: list[dict], names: list[str]) -> pa.RecordBatch:
+    pack = lambda v: v.tobytes() if isinstance(v, np.ndarray) else v
+    return pa.RecordBatch.from_arrays([pa.array([pack(r.get(x)) for r in rows], pa.int32() if x in ("bucket", "source", "side") else pa.binary()) for x in names], names)
+
+
+def _entries(b: dict, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of head neighbours, then of those outside the head: the word, side * k + class, and how many."""
+    yield np.repeat(np.arange(len(b["c"])), np.diff(b["bounds"])), b["cells"].astype(np.int64), b["counts"].astype(np.int64)
+    own = np.concatenate((b["own0"], b["own1"])).astype(np.int64)
+    yield own, np.concatenate((b["near0"].astype(np.int64), b["near1"].astype(np.int64) + k)), np.ones(len(own), np.int64)
 
 
 def cluster_outer(state: DataFrame, occurring: DataFrame, matrix: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """state (a written outer_words()) with the classes found, and how often each class follows each; matrix: the head's own pairs.
+    """bucket, word, n and the class found, c, of state's words (outer_words()), and how often each class follows each; matrix: the head's own pairs.
 
-    u is a word's 64-bit hash; words that share it (hardly ever) see the neighbours that are outside the head of both.
+    Words stay in their buckets. A round sends a bucket's classes along its links, in an order that both ends know: two bytes a link.
     """
     k, spark = len(matrix), state.sparkSession
-    pairs = occurring.where("led is not null").groupBy(F.col("led").alias("a"), F.col("u").alias("b")).agg(F.count("*").alias("n"))
-    pairs = written(pairs, "outer-pairs")
-    links = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), F.lit(0).alias("side"), "n").unionByName(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(1).alias("side"), "n"))
-    kinds = OUTER + ", met array<long>, twice long"
-
-    def entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of head neighbours, then of those outside the head: the word, side * k + class, and how many."""
-        yield _flat(batch.column(5), batch.column(6))
-        met = batch.column(7)
-        packed = met.flatten().to_numpy()
-        yield np.repeat(np.arange(batch.num_rows), np.diff(met.offsets.to_numpy())), packed % (2 * k), packed // (2 * k)
-
-    def counted(batch: pa.RecordBatch) -> np.ndarray:
-        """By word, side and class: neighbours."""
-        of, cell, n = (np.concatenate(x) for x in zip(*entries(batch), strict=True))
-        return np.bincount(of * 2 * k + cell, n, batch.num_rows * 2 * k).reshape(-1, 2, k)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """By pair of classes: a word's head neighbours on both sides, and, of the words beside it, those after."""
-        total = np.zeros(k * k)
-        for batch in _slices(batches, 4000):
-            c = batch.column(3).to_numpy().astype(np.int64)
-            for (of, cell, n), sides in zip(entries(batch), ((0, 1), (1,)), strict=True):
-                mine, other = c[of], cell % k
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By bucket, a chunk's links in order: for both sides the word (of words) and the other's bucket; same: words that follow themselves."""
+        for chunk, words, bucket, at, before, _ in _chunks(batches):
+            led = np.flatnonzero(before < 0)
+            ends = (at[led], -1 - before[led])  # a link's later word has its other before (0)
+            rows, sides = [], []
+            for side in (0, 1):
+                mine, other = bucket[ends[side]], bucket[ends[1 - side]]
+                order = np.argsort(mine, kind="stable")
+                sides.append((ends[side][order], other[order], np.searchsorted(mine[order], np.arange(bucket[-1] + 2))))
+            same = np.sort(at[led][ends[0] == ends[1]])
+            for x in np.unique(bucket[np.concatenate(ends)]).tolist():
+                own, to = zip(*((a[cuts[x] : cuts[x + 1]], b[cuts[x] : cuts[x + 1]]) for a, b, cuts in sides), strict=True)
+                used = np.unique(np.concatenate(own))
+                place = [np.searchsorted(used, o).astype("<i4").tobytes() for o in own]
+                i, j = np.searchsorted(same, (used[0], used[-1] + 1))
+                rows.append((x, chunk, END.join([words[w] for w in used.tolist()]), place[0], to[0].astype("<i4").tobytes(), place[1], to[1].astype("<i4").tobytes(), np.searchsorted(used, same[i:j]).astype("<i4").tobytes()))
+            if rows:
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "words", "own0", "to0", "own1", "to1", "same"])
+
+    def gathered(words: pa.Table, met: pa.Table) -> pa.Table:
+        names = words.column("word").to_pylist()
+        if not names:
+            return pa.Table.from_batches([_rows([], _TOLD)])
+        places, size = dict(zip(names, count())), len(names)
+        own, to, same = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]), ([np.zeros(0, np.int32)], [np.zeros(0, np.int32)]), [np.zeros(0, np.int64)]
+        for row in met.sort_by("chunk").to_pylist():
+            at = np.array([places[w] for w in row["words"].split(END)])
+            for side in (0, 1):
+                own[side].append(at[np.frombuffer(row[f"own{side}"], "<i4")])
+                to[side].append(np.frombuffer(row[f"to{side}"], "<i4"))
+            same.append(at[np.frombuffer(row["same"], "<i4")])
+        cells, counts = (b"".join(words.column(x).to_pylist()) for x in ("cells", "counts"))
+        lengths = pc.binary_length(words.column("counts")).to_numpy() // 4
+        b = {"bucket": words.column("bucket")[0].as_py(), "words": END.join(names), "cells": cells, "counts": counts, "bounds": np.append(0, np.cumsum(lengths)).astype("<i4")}
+        b |= {"n": words.column("n").to_numpy(), "c": words.column("c").to_numpy().astype("<u2"), "mix": ((hashes(names) >> np.uint64(7)) & np.uint64(63)).astype("u1")}
+        b["twice"] = np.bincount(np.concatenate(same), minlength=size).astype("<i4")
+        for side in (0, 1):
+            all_to = np.concatenate(to[side])
+            b[f"own{side}"] = np.concatenate(own[side])[np.argsort(all_to, kind="stable")].astype("<i4")
+            b[f"to{side}"] = np.concatenate(np.unique(all_to, return_counts=True)).astype("<i4")
+        return pa.Table.from_batches([sent(b)])
+
+    def sent(b: dict) -> pa.RecordBatch:
+        """A bucket, and its classes for the other ends of its links."""
+        out = [b | {"source": -1, "near0": None, "near1": None, "sums": None}]
+        for side in (0, 1):
+            to, many = b[f"to{side}"].reshape(2, -1)
+            parts = np.split(b["c"][b[f"own{side}"]], np.cumsum(many)[:-1]) if len(many) else []
+            out += [{"bucket": x, "source": b["bucket"], "side": 1 - side, "c": c} for x, c in zip(to.tolist(), parts, strict=True)]
+        return _rows(out, _TOLD)
+
+    def moved(buckets: DataFrame, now: np.ndarray, going: Rounds) -> DataFrame:
+        """Every word meets the classes as the round found them, so how words are dealt to buckets doesn't matter."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            moves = Moves(now)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    b = _bucket(batch.slice(i, 1).to_pylist()[0])
+                    best = _best(moves, b["c"].astype(np.int64), tuple(np.concatenate(x) for x in zip(*_entries(b, k), strict=True)), b["twice"])
+                    yield sent(b | {"c": np.where(going.movers(b["mix"]), best, b["c"]).astype("<u2")})
+
+        return buckets.mapInArrow(run, TOLD)
+
+    def told(sending: DataFrame) -> DataFrame:
+        """Buckets with the classes of their links' other ends, and their sums."""
+
+        def receive(table: pa.Table) -> pa.Table:
+            rows = sorted(table.to_pylist(), key=lambda r: r["source"])
+            b = _bucket(rows[0])
+            for side in (0, 1):
+                b[f"near{side}"] = np.frombuffer(b"".join(r["c"] for r in rows[1:] if r["side"] == side), "<u2")
+            total, c = np.zeros(k * k), b["c"].astype(np.int64)
+            for (of, cell, n), sides in zip(_entries(b, k), ((0, 1), (1,)), strict=True):  # of links, the earlier end counts
                 for side in sides:
                     on = cell // k == side
-                    total += np.bincount((mine * k + other if side else other * k + mine)[on], n[on], k * k)
+                    mine, other = c[of[on]], cell[on] % k
+                    total += np.bincount(mine * k + other if side else other * k + mine, n[on], k * k)
+            b["sums"] = total.round().astype("<i8")
+            return pa.Table.from_batches([_rows([b], _BUCKETS)])
+
+        return sending.groupBy("bucket").applyInArrow(receive, BUCKETS)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                total += _array(batch.column(0), i, "<i8")
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].round().astype(np.int64))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    going, kept = None, None
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in map(_bucket, batch.to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b["n"]), b["bucket"]), pa.int32()), pa.array(b["words"].split(END), pa.binary()), pa.array(b["n"]), pa.array(b["c"], pa.int32())], ["bucket", "word", "n", "c"])
+
+    met = occurring.mapInArrow(links, "bucket int, chunk long, words binary, own0 binary, to0 binary, own1 binary, to1 binary, same binary")
+    start = state.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(gathered, TOLD)
+    buckets, going, kept = written(told(start), "outer-0"), None, None
     for turn in count():
-        classes = state.where("far").groupBy(F.col("u").alias("v")).agg(F.min_by("c", "word").alias("cv"))
-        same = F.when((F.col("u") == F.col("v")) & (F.col("side") == 1), F.col("n")).otherwise(0)
-        by_cell = links.join(classes, "v").groupBy("u", (F.col("side") * k + F.col("cv")).alias("cell")).agg(F.sum("n").alias("n"), F.sum(same).alias("t"))
-        met = by_cell.groupBy("u").agg(F.collect_list(F.col("n") * (2 * k) + F.col("cell")).alias("met"), F.sum("t").alias("twice"))  # at most 2 * k
-        several = written(state.where("far").join(met, "u").select(*_OUTER, "met", "twice"), f"outer-met-{turn}")
-        whole = several.unionByName(state.where("not far").select(*_OUTER, F.array().cast("array<long>").alias("met"), F.lit(0).cast("long").alias("twice")))
-        now = matrix + _matrix(whole.mapInArrow(sums, "cell long, n long"), k)
+        now = matrix + _matrix(buckets.select("sums").mapInArrow(sums, "cell long, n long"), k)
         going = going or Rounds(now.sum())
         if going.lower(likelihood(now)):
-            dropped(state, several)
-            whole, now, state, several = kept
+            dropped(buckets)
+            buckets, now = kept
         elif kept:
-            dropped(kept[2], kept[3])
+            dropped(kept[0])
         if going.over():
-            dropped(pairs, several)
-            return state, now
-        kept = whole, now, state, several
-
-        def move(batches: Iterator[pa.RecordBatch], now=now, going=going) -> Iterator[pa.RecordBatch]:
-            """Every word meets the classes as the round found them, so how words are dealt to tasks doesn't matter."""
-            moves = Moves(now)
-            for batch in _slices(batches, 2500):
-                u, c = batch.column(0).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
-                counts = counted(batch)
-                may = np.flatnonzero(going.movers((u >> 7) & 63))
-                new = c.copy()
-                new[may] = moves.best(c[may], counts[may], batch.column(8).to_numpy()[may].astype(float))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.int32()), *batch.columns[4:7]], _OUTER)
-
-        state = written(whole.mapInArrow(move, OUTER), f"outer-{turn + 1}")
+            return buckets.select("bucket", "words", "n", "c").mapInArrow(opened, "bucket int, word binary, n long, c int"), now
+        kept = buckets, now
+        buckets = written(told(moved(buckets, now, going)), f"outer-{turn + 1}")
         going.turn += 1
         released(spark)
     raise AssertionError
@@ -592,69 +734,52 @@ def lm_scores(docs: DataFrame, classes: int = CLASSES, head: int = HEAD, core: i
     dropped(words)
     first = [END, *sorted(n_of.keys() - {END}, key=lambda w: (-n_of[w], w))]
     counts = np.array([n_of.get(w, 0) for w in first], np.int64)
-    codes = written(coded(rows, first), "codes")
-    training = codes.where("not held_out")
-    pairs = written(head_pairs(training, len(first)), "pairs")
+    codes = written(coded(rows, first, max(1, math.ceil((total - int(counts.sum())) / BUCKET))), "codes")
+    released(docs.sparkSession)
+    pairs = written(head_pairs(codes, len(first)), "pairs")
     by_class, matrix = cluster(pairs, len(first), classes, core, rounds)
     dropped(pairs)
-    known = occurrences(training)  # cut anew from the codes wherever they are read: as a table they would take more room than the text
-    found, matrix = cluster_outer(written(outer_words(known, by_class, matrix), "outer"), known, matrix)
+    released(docs.sparkSession)
+    known = occurrences(codes)  # cut anew from the codes wherever they are read: as a table they would take more room than the text
+    found, matrix = cluster_outer(outer_words(known, by_class, matrix), known, matrix)
+    released(docs.sparkSession)
     rare = 1 / (total + kinds + 1)
     share = (matrix.sum(0) + 1) / (matrix.sum() + classes)
     follow = np.vstack([(matrix + 2 * share) / (matrix.sum(1, keepdims=True) + 2), share])
     #: By class before (the last for none) and class: what a word's count is to be multiplied by.
     factor = (1 - rare) * (1 - mix) * follow / np.maximum(matrix.sum(0), 1)
 
-    def chance(before: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.log10(np.where(n > 0, factor[before, c] * n + mix * (n + 1) * rare, rare))
-
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.log10((counts + 1) * rare)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                chain, sizes = _joined(part.column(3))
-                code, before = chain[1:], chain[:-1]
-                mine, both = code >= 0, (code >= 0) & (before >= 0)
-                score = np.zeros(len(code))
-                score[both] = chance(by_class[before[both]], by_class[code[both]], counts[code[both]])
-                bounds = np.cumsum(sizes) - sizes  # no document is without its end
-                sums = [np.add.reduceat(x, bounds) if len(bounds) else x for x in (mine & (counts[code] > 0), np.where(mine, base[code], 0), score)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes), pa.array(sums[0].astype(np.int64)), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "own"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by document and place: sums by document. A document that ends a batch is held until the next."""
-        held, sums, last = None, np.zeros(3), classes
-
-        def out(rows: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(parts[0].astype(np.int64)), pa.array(parts[1]), pa.array(parts[2])], ["row", "known_rest", "base_rest", "own_rest"])
-
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's words outside the head, by bucket."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            row, before, after, n, c = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
-            beside = np.append(last, c[:-1])  # the class of the word outside the head that stands before
-            own = chance(np.where(before < 0, beside, by_class[before]), np.minimum(c, classes - 1), n)
-            led = after >= 0
-            own[led] += chance(c[led], by_class[after[led]], counts[after[led]])
-            starts = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
-            parts = np.stack([np.add.reduceat(x.astype(float), starts) for x in (n > 0, np.log10((n + 1) * rare), own)])
-            rows = row[starts]
-            if held is not None and rows[0] == held:
-                parts[:, 0] += sums
-            elif held is not None:
-                yield out(np.array([held]), sums[:, None])
-            held, sums, last = rows[-1], parts[:, -1].copy(), c[-1]
-            yield out(rows[:-1], parts[:, :-1])
-        if held is not None:
-            yield out(np.array([held]), sums[:, None])
-
-    done = written(codes.mapInArrow(inner, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, own double"), "scores")
-    released(docs.sparkSession)
-    met = occurrences(codes).join(found.select("u", "word", "n", "c"), ["u", "word"], "left").select("row", "pos", "before", "next", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("c", F.lit(classes)).cast("long").alias("c"))
-    rest = met.repartition("row").sortWithinPartitions("row", "pos").mapInArrow(others, "row long, known_rest long, base_rest double, own_rest double")
-    some = lambda name: F.coalesce(name, F.lit(0))
-    return done.join(rest, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + some("known_rest")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + some("base_rest")).alias("base_score"), (F.col("own") + some("own_rest")).alias("score"),
+            for i in range(batch.num_rows):
+                words, ends = batch.column("words")[i].as_py().split(END), np.cumsum(_array(batch.column("dealt"), i))
+                bounds = [0, *ends.tolist()]
+                asked = [(x, END.join(words[a:b])) for x, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in asked], pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(asked), pa.int64()), pa.array([w for _, w in asked], pa.binary())], ["bucket", "chunk", "words"])
+
+    def answer(words: pa.Table, asked: pa.Table) -> pa.Table:
+        """Counts and classes of the words asked for; 0 and the number of classes for those not in training."""
+        place = dict(zip(words.column("word").to_pylist(), count())).get
+        n, c = (np.append(words.column(x).to_numpy(), none) for x, none in (("n", 0), ("c", classes)))
+        found = [np.fromiter(map(place, w, repeat(-1)), np.int64, len(w)) for w in (x.split(END) for x in asked.column("words").to_pylist())]
+        columns = [asked.column("chunk"), asked.column("bucket"), *(pa.array([x[at].astype(kind).tobytes() for at in found], pa.binary()) for x, kind in ((n, "<i8"), (c, "<u2")))]
+        return pa.Table.from_arrays(columns, ["chunk", "bucket", "n", "c"])
+
+    def scores(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket")
+        n, c = (np.frombuffer(b"".join(answers.column(x).to_pylist()), kind).astype(np.int64) for x, kind in (("n", "<i8"), ("c", "<u2")))
+        n, c = np.concatenate((counts, n[::-1])), np.concatenate((by_class, c[::-1]))  # -1 - i is the chunk's other word i
+        code, sizes = (_array(chunk.column(x), 0) for x in ("codes", "sizes"))
+        n, c = n[code], c[code]
+        own = np.log10(np.where(n > 0, factor[np.append(by_class[:1], c[:-1]), np.minimum(c, classes - 1)] * n + mix * (n + 1) * rare, rare))
+        bounds = np.cumsum(sizes) - sizes  # no document is without its end
+        sums = [np.add.reduceat(x, bounds) for x in ((n > 0).astype(np.int64), np.log10((n + 1) * rare), own)]
+        ids, held = (chunk.column(x)[0].values for x in ("ids", "held"))
+        return pa.Table.from_arrays([ids, held, pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(sizes), int(total))), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    asked = codes.select("chunk", "words", "dealt").mapInArrow(ask, "bucket int, chunk long, words binary")
+    answers = found.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, n binary, c binary")
+    return codes.select("chunk", "ids", "held", "sizes", "codes").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
